@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contracts: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,3 +83,8 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
+    """The schema of ``df`` with more fields at its end."""
+    return T.StructType([*df.schema.fields, *[T.StructField(k, t) for k, t in types.items()]])

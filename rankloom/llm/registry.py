@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import mixing, simhash, urlfilter, warc
-from rankloom.llm.common import table
+from rankloom.llm import bpe, langid, mixing, simhash, toxicity, urlfilter, warc
+from rankloom.llm.common import held_out, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.classify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_simhash_near_dedup, op7_url_filters, op8_warc, op10_mixing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op7_url_filters, op8_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
