@@ -2,14 +2,15 @@
 
 Headers (page id, payload digest, length) are shuffled by digest without payloads; of equal payloads one record keeps the
 payload as a ``response`` and the others become ``revisit`` records that refer to it. The archives are written with fresh
-headers by Spark's text writer, whose record separator is WARC's blank lines, so a write survives lost executors and
-reaches any file system Spark reaches. Reading parses the records by their Content-Length, checks every payload against
+headers by Spark's text writer, gzipped, whose record separator is WARC's blank lines, so a write survives lost executors
+and reaches any file system Spark reaches. Reading parses the records by their Content-Length, checks every payload against
 its digest and joins revisits to their responses by record id.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -90,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "payload_digest")
     revisits = resolve(rows.select("page_id", "payload_digest", "payload_bytes"), min_bytes).select(key.alias("key"), "original").repartition(files, "key")
     joined = rows.withColumn("key", key).repartition(files, "key").join(revisits, "key", "left")
-    joined.select(_record(date).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    joined.select(_record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -120,7 +121,7 @@ def _parser(payloads: bool):
         for b in batches:
             for content in b.column(0):
                 some: list[tuple] = []
-                for record in parse(content.as_py()):
+                for record in parse(gzip.decompress(content.as_py())):
                     some.append(record if payloads else (*record[:-1], None))
                     if len(some) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
