@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, langid, mixing, simhash, toxicity, urlfilter, warc
+from rankloom.llm import bpe, hmm, langid, mixing, neardup, simhash, toxicity, urlfilter, warc
 from rankloom.llm.common import held_out, table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
     model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -29,6 +33,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.digest(table(spark, sf_dir, "pages"))
 
@@ -42,8 +50,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op7_url_filters, op8_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_url_filters, op8_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": urlfilter.oracle(), "op8_warc": warc.oracle()}
+    return {"op1_embedding_near_dedup": neardup.oracle(), "op7_url_filters": urlfilter.oracle(), "op8_warc": warc.oracle()}
