@@ -1 +1,55 @@
-"""Corpus pipeline (stages are added with the operators)."""
+"""Corpus pipeline: language ID, toxicity, SimHash near-dedup, source mixing, BPE encoding and decoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.llm import bpe, langid, mixing, simhash, toxicity
+from rankloom.llm.common import Scratch, held_out, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language can be told: null texts and texts without a letter go."""
+    model = langid.fit(docs.where(~held_out("doc_id", 3, 1)).select("doc_id", "text", "lang"))
+    return langid.classify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the classifier of confirmed toxic examples and unlabelled text doesn't call toxic."""
+    model = toxicity.fit(docs.where(~held_out("doc_id", 5, 0)).select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates: the one with the smallest doc_id."""
+    return simhash.keep_first(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's rows: a row of a document's taken words for each pass over its source that takes any."""
+    return mixing.Mix(docs, keep=True).documents()
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix."""
+    return bpe.encode_decode(docs)
+
+
+STAGES = [("language ID", language_id), ("toxicity", toxicity_filter), ("SimHash near-dedup", simhash_dedup), ("mixing sources to target weights", source_mixing), ("BPE encoding and decoding", encoding)]
+
+#: No SQL: the classifiers, the fingerprints and the tokenizer aren't expressible there; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, hmm, langid, mixing, neardup, simhash, toxicity, urlfilter, warc
+import corpus_pipeline
+from rankloom.llm import ann, bpe, hmm, langid, mixing, neardup, simhash, toxicity, urlfilter, warc
 from rankloom.llm.common import held_out, table
 
 
@@ -45,12 +46,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_url_filters, op8_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_url_filters, op8_warc, op9_ann, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

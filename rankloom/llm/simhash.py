@@ -52,12 +52,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         text = b.column("text").cast(pa.large_binary())
         fp = pa.array([fingerprint(x.as_py()) for x in text], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), fp], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for each row of ``docs``; other columns of ``docs`` play no part."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp long) for each row of ``docs``; other columns of ``docs`` play no part."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -80,8 +80,9 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp long, component_id long.
+    """One row per row of ``docs``: doc_id, text_hash, fp, root, component_id, all long.
 
+    root is the component's smallest fingerprint, and names the component whatever its ids.
     component_id is the smallest doc_id reachable over links, the row's own included. Fingerprint zero (null, empty or
     white-space text) links like any other. A null doc_id keeps its row and counts as no id; a component without ids has
     a null component_id. Repeated rows stay; an empty table gives an empty result; extra columns are ignored.
@@ -92,8 +93,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(links(classes, scratch), scratch)
     member = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that with the smallest doc_id, then text hash.
+
+    Rows without an id stay only where no row of their component has one.
+    """
+    key = lambda h: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), h)
+    groups = near_duplicates(docs).where("component_id <=> doc_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    first = groups.select(key("text_hash").alias("__key"))
+    return docs.withColumn("__key", key(F.xxhash64("text"))).join(first, "__key").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
