@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from rankloom.plans import dataset_queries  # noqa: F401  registers
+from rankloom.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
