@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.plans import dataset_queries  # noqa: F401  registers
+from rankloom.plans import dataset_queries, model_queries  # noqa: F401  register
 from rankloom.plans.base import ORACLES, QUERIES
 
 
