@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
-BY_QUERY = W.partitionBy("qid")
+
+def by_query() -> WindowSpec:
+    """The documents of a query. Made when asked for, as windows need a session."""
+    return W.partitionBy("qid")
 
 
 def dice(*columns: str, salt: str) -> Column:
@@ -35,7 +39,7 @@ def first_queries(df: DataFrame, k: int) -> DataFrame:
 
 def min_group(df: DataFrame, least: int) -> DataFrame:
     """Queries with at least so many documents."""
-    return df.withColumn("_n", F.count("*").over(BY_QUERY)).where(F.col("_n") >= least).drop("_n")
+    return df.withColumn("_n", F.count("*").over(by_query())).where(F.col("_n") >= least).drop("_n")
 
 
 def random_queries(df: DataFrame, k: int, salt: str = "q") -> DataFrame:
@@ -53,7 +57,7 @@ def sample_queries(df: DataFrame, size: float, salt: str = "s") -> DataFrame:
 
 def cap_items(df: DataFrame, most: int, salt: str = "c") -> DataFrame:
     """At most so many documents of each query, drawn by md5."""
-    w = BY_QUERY.orderBy(dice("qid", "doc_id", salt=salt), "doc_id")
+    w = by_query().orderBy(dice("qid", "doc_id", salt=salt), "doc_id")
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 
 
@@ -86,7 +90,7 @@ def sort_by_query(df: DataFrame) -> DataFrame:
 
 def rank_by(df: DataFrame, score: str, out: str = "rank") -> DataFrame:
     """1-based rank inside the query, best score first, ties by doc_id."""
-    return df.withColumn(out, F.row_number().over(BY_QUERY.orderBy(F.col(score).desc_nulls_last(), "doc_id")).cast("long"))
+    return df.withColumn(out, F.row_number().over(by_query().orderBy(F.col(score).desc_nulls_last(), "doc_id")).cast("long"))
 
 
 def rank_grades(df: DataFrame, score: str, bands: Sequence[tuple[int, int]] = ((2, 4), (4, 3), (7, 2), (9, 1))) -> DataFrame:
@@ -124,7 +128,7 @@ def concat(*parts: DataFrame) -> DataFrame:
 def concat_by_query(*parts: DataFrame) -> DataFrame:
     """All rows with their place: by query, then table, then doc_id; ``position`` counts inside the query."""
     marked = concat(*[p.withColumn("src", F.lit(i).cast("long")) for i, p in enumerate(parts)])
-    return marked.withColumn("position", F.row_number().over(BY_QUERY.orderBy("src", "doc_id")).cast("long"))
+    return marked.withColumn("position", F.row_number().over(by_query().orderBy("src", "doc_id")).cast("long"))
 
 
 # -- summaries ----------------------------------------------------------------------------------------------------

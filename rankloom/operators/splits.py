@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.operators.dataset import BY_QUERY, dice, query_ids
+from rankloom.operators.dataset import by_query, dice, query_ids
 
 
 def holdout_queries(df: DataFrame, train: float, valid: float, salt: str = "h") -> DataFrame:
@@ -23,8 +23,8 @@ def holdout_queries(df: DataFrame, train: float, valid: float, salt: str = "h")
 
 def holdout_per_query(df: DataFrame, train: float, valid: float, salt: str = "p") -> DataFrame:
     """``df`` with ``split`` inside each query: fewer than three documents train; a single one left over is valid."""
-    n = F.count("*").over(BY_QUERY)
-    at = F.row_number().over(BY_QUERY.orderBy(dice("qid", "doc_id", salt=salt), "doc_id"))
+    n = F.count("*").over(by_query())
+    at = F.row_number().over(by_query().orderBy(dice("qid", "doc_id", salt=salt), "doc_id"))
     n_train = F.floor(F.col("_n") * F.lit(train))
     rest = F.col("_n") - n_train
     test = 1 - train - valid
@@ -37,7 +37,7 @@ def query_kfold(df: DataFrame, n: int) -> DataFrame:
     """``df`` with ``fold`` 0 to n - 1: every query's documents in n chunks in order of doc_id; fold f tests on chunk f."""
     if n < 2:
         raise ValueError("two folds at least")
-    return df.withColumn("fold", (F.ntile(n).over(BY_QUERY.orderBy("doc_id")) - 1).cast("long"))
+    return df.withColumn("fold", (F.ntile(n).over(by_query().orderBy("doc_id")) - 1).cast("long"))
 
 
 def query_batches(df: DataFrame, per_batch: int) -> DataFrame:
@@ -48,10 +48,20 @@ def query_batches(df: DataFrame, per_batch: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, by: str, train: float, salt: str = "t") -> DataFrame:
-    """``df`` with ``split`` train or test: floor of each stratum's share trains."""
+    """``df`` with ``split`` train or test: floor of each stratum's share trains.
+
+    Strata are few and large, so ranks are found in two levels: stratum sizes up to each md5 prefix, then a window inside
+    one prefix. No task holds a stratum.
+    """
+    key = dice("qid", "doc_id", salt=salt)
+    marked = df.withColumn("_d", key).withColumn("_b", F.substring("_d", 1, 3))
+    sizes = marked.groupBy(by, "_b").agg(F.count("*").alias("_n"))
     w = W.partitionBy(by)
-    at = F.row_number().over(w.orderBy(dice("qid", "doc_id", salt=salt), "doc_id"))
-    return df.withColumn("split", F.when(at <= F.floor(F.count("*").over(w) * F.lit(train)), F.lit("train")).otherwise(F.lit("test")))
+    before = sizes.select(F.col(by).alias("_s"), F.col("_b").alias("_k"), (F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    inner = F.row_number().over(W.partitionBy(by, "_b").orderBy("_d", "doc_id"))
+    ranked = marked.withColumn("_at", inner).join(before, F.col(by).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_k")))
+    split = F.when(F.col("_before") + F.col("_at") <= F.floor(F.col("_all") * F.lit(train)), F.lit("train")).otherwise(F.lit("test"))
+    return ranked.withColumn("split", split).select(*df.columns, "split")
 
 
 def fold_leakage(df: DataFrame) -> DataFrame:

@@ -37,7 +37,9 @@ def ids(df, **cols):
     return df.select("qid", F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), *[F.round(c, 6).alias(n) for n, c in cols.items()])
 
 
-fa, fb = F.col("features_a"), F.col("features_b")
+def ab():
+    """The features of a pair's two sides."""
+    return F.col("features_a"), F.col("features_b")
 
 
 @query("pair_self_join", f"{PAIRS} SELECT qid, a, b FROM p")
@@ -52,13 +54,13 @@ def pair_cross(spark, sf):
 
 @query("zeta_features", f"{PAIRS} SELECT qid, a, b, round(a0, 6) AS z0, round(b1, 6) AS z3, round(abs(a0 - b0), 6) AS z4, round((a1 - b1) * (a1 - b1), 6) AS z7, 8::BIGINT AS d FROM p")
 def zeta_features(spark, sf):
-    z = vectors.pair_features(fa, fb, ("pair", "abs_diff", "sq_diff"))
+    z = vectors.pair_features(*ab(), ("pair", "abs_diff", "sq_diff"))
     return ids(event_pairs(spark, sf), z0=z[0], z3=z[3], z4=z[4], z7=z[7]).withColumn("d", F.lit(8).cast("long"))
 
 
 @query("pair_view", f"{PAIRS} SELECT qid, a, b, round(abs(a0 - b0), 6) AS v0, round(abs(a1 - b1), 6) AS v1 FROM p")
 def pair_view(spark, sf):
-    z = vectors.pair_features(fa, fb, ("abs_diff",))
+    z = vectors.pair_features(*ab(), ("abs_diff",))
     return ids(event_pairs(spark, sf), v0=z[0], v1=z[1])
 
 
@@ -98,13 +100,13 @@ def pair_target_supervised(spark, sf):
 
 @query("pair_target_precomputed", f"{PAIRS} SELECT p.qid, p.a, p.b, round(sqrt((a0 - b0) * (a0 - b0)), 6) AS target FROM p")
 def pair_target_precomputed(spark, sf):
-    full = P.pairs(L.event_lists(spark, sf), ["qid"]).select("qid", "doc_id_a", "doc_id_b", F.sqrt(F.pow(fa[0] - fb[0], 2)).alias("d"))
+    full = P.pairs(L.event_lists(spark, sf), ["qid"]).select("qid", "doc_id_a", "doc_id_b", F.sqrt(F.pow(F.col("features_a")[0] - F.col("features_b")[0], 2)).alias("d"))
     return ids(event_pairs(spark, sf).join(full, ["qid", "doc_id_a", "doc_id_b"]), target=F.col("d"))
 
 
 @query("pair_metric", f"{PAIRS} SELECT qid, a, b, round(sqrt((a0 - b0) * (a0 - b0) + (a1 - b1) * (a1 - b1)), 6) AS euclidean, round(abs(a0 - b0) + abs(a1 - b1), 6) AS manhattan, round(1 - (a0 * b0 + a1 * b1) / (sqrt(a0 * a0 + a1 * a1) * sqrt(b0 * b0 + b1 * b1)), 6) + 0.0 AS cosine FROM p")
 def pair_metric(spark, sf):
-    out = ids(event_pairs(spark, sf), **{m: vectors.METRICS[m](fa, fb) for m in ("euclidean", "manhattan", "cosine")})
+    out = ids(event_pairs(spark, sf), **{m: vectors.METRICS[m](*ab()) for m in ("euclidean", "manhattan", "cosine")})
     return out.withColumn("cosine", F.col("cosine") + 0.0)
 
 
@@ -399,7 +401,7 @@ NAMES = ["value", "hour"]
 
 
 def card_pairs(spark, sf):
-    return event_pairs(spark, sf).select("qid", F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), vectors.pair_features(fa, fb).alias("features"), F.pow(F.col("y_a") - F.col("y_b"), 2).alias("target"))
+    return event_pairs(spark, sf).select("qid", F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), vectors.pair_features(*ab()).alias("features"), F.pow(F.col("y_a") - F.col("y_b"), 2).alias("target"))
 
 
 @query("gam_fit")
