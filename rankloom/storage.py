@@ -1,15 +1,41 @@
-"""Cutting lineage: intermediate tables of iterative operators go to the cluster's shared checkpoint folder."""
+"""Cutting lineage: intermediate tables of iterative operators go to the cluster's shared folder as Parquet.
+
+A reliable checkpoint would compute its input twice; a written table is computed once, is columnar, and survives lost
+executors as well.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_ROOTS: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """This session's folder under the one of ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
+        _ROOTS[app] = f"{shared.rstrip('/')}/rankloom-{uuid.uuid4().hex[:12]}"
+        atexit.register(_clear, spark, _ROOTS[app])
+    return _ROOTS[app]
+
 
-from pyspark.sql import DataFrame
+def _clear(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  at exit the JVM may be gone
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back; lost executors lose nothing of it."""
+    """``df`` written once and read back."""
     spark = df.sparkSession
-    if not spark._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rankloom-')}")
-    return df.checkpoint(eager=True)
+    at = f"{_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
