@@ -105,7 +105,7 @@ def fit(train: DataFrame, config: Config, keys: Sequence[str] = ("model_key",))
         slim = store.select(*dict.fromkeys([*leaf_keys, "qid", "doc_id", "y", "features", "value"]))
         met = P.pairs(slim, leaf_keys, config.subsample)
         learn = met.select(*leaf_keys, vectors.pair_features(F.col("features_a"), F.col("features_b"), config.use).alias("features"), pair_target(config.objective).alias("target"))
-        distances = T.grow(cut(learn), leaf_keys, config.distance_depth)
+        distances = T.grow(learn, leaf_keys, config.distance_depth)
     return Ranker(config, keys, trees, store, distances, leaf_keys)
 
 

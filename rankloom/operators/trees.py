@@ -45,7 +45,8 @@ def grow(rows: DataFrame, keys: Sequence[str], depth: int, target: str = "target
     """
     keys = list(keys)
     by = [*keys, "node"]
-    at = rows.select(*keys, "features", target).withColumn("node", F.lit(1).cast("long"))
+    # Every level reads the rows again; what they come from is computed once.
+    at = cut(rows.select(*keys, "features", target)).withColumn("node", F.lit(1).cast("long"))
     levels = [best_splits(at, keys, target, min_split).limit(0)]
     for level in range(depth):
         front = at.where(F.col("node") >= 2**level)
