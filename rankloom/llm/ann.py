@@ -13,7 +13,6 @@ to all parts of its lists, and every part keeps its best k.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +25,8 @@ from pyspark.sql import Window as W
 from rankloom.llm.common import Scratch, n_partitions
 from rankloom.llm.neardup import usable
 
-#: Vectors a list has about; most and least lists; bound of the sample; relative distances up to which a vector is replicated and a query's lists are kept; most lists of a vector; rows of a part; neighbours of a centroid.
-LIST, MOST_LISTS, LEAST_LISTS, SAMPLE, REPLICATE, PRUNE, COPIES, ROWS, DEGREE = 200, 16_384, 8, 20_000, 0.05, 0.14, 3, 2048, 24
+#: Vectors a list has about; most and least lists; bound of the sample; relative distances up to which a vector is replicated and a query's lists are kept; most lists of a vector; rows of a part; neighbours of a centroid; queries whose finds a task combines; entries, for each neighbour wanted, that a query's lists must hold before pruning begins.
+LIST, MOST_LISTS, LEAST_LISTS, SAMPLE, REPLICATE, PRUNE, COPIES, ROWS, DEGREE, COMBINED, NEED = 200, 16_384, 8, 20_000, 0.05, 0.14, 3, 2048, 24, 100_000, 25
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -70,30 +69,51 @@ class Graph:
         far = rng.integers(0, len(c), (len(c), 4))
         return Graph(c, np.concatenate([best, far], axis=1), rng.choice(len(c), min(len(c), 8), replace=False))
 
-    def nearest(self, x: np.ndarray, ratio: float, most: int | None = None, slack: float = 0.04, least: int = 24) -> list[int]:
-        """Lists with distances up to (1 + ratio) times the nearest's, nearest first: a best-first walk that ends where
-        the next centroid is farther than that and some slack, after ``least`` centroids."""
-        c, seen = self.centroids, set(self.entries.tolist())
-        d = np.sqrt(((c[self.entries] - x) ** 2).sum(axis=1))
-        heap = list(zip(d.tolist(), self.entries.tolist(), strict=True))
-        found = list(heap)
-        heapq.heapify(heap)
-        low, walked = min(heap)[0], 0
-        while heap:
-            at, i = heapq.heappop(heap)
-            walked += 1
-            if walked > least and at > low * (1 + ratio + slack):
-                break
-            new = [j for j in self.neighbours[i].tolist() if j not in seen]
-            if new:
-                new = list(dict.fromkeys(new))
-                seen.update(new)
-                for pair in zip(np.sqrt(((c[new] - x) ** 2).sum(axis=1)).tolist(), new, strict=True):
-                    heapq.heappush(heap, pair)
-                    found.append(pair)
-                    low = min(low, pair[0])
-        found.sort()
-        return [i for at, i in found if at <= low * (1 + ratio)][:most]
+    def nearest(self, x: np.ndarray, ratio: float, most: int | None = None, sizes: np.ndarray | None = None, need: int = 0, slack: float = 0.04, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs of the lists of each row of ``x`` with distances up to (1 + ratio) times the nearest's.
+
+        Best-first walks of all rows in step: each expands the nearest centroid that it knows and has not expanded, and
+        ends where that is farther than the ratio and some slack allow, after ``least`` steps. Only centroids met for the
+        first time are measured. With the lists' ``sizes``, the ratio counts from the list with which ``need`` vectors are
+        reached instead of the nearest, so that a query beside a small tight cluster looks beyond it. Pairs come by row,
+        nearest first, ``most`` a row.
+        """
+        c, n = self.centroids, len(x)
+        known = np.full((n, len(c)), np.inf)
+        known[:, self.entries] = np.sqrt(_distances(x, c[self.entries]))
+        ahead = known.copy()
+        low = known.min(axis=1)
+
+        def walk(least: int, settled: bool) -> None:
+            rows, step = np.arange(n), 0
+            while len(rows):
+                at = ahead[rows].argmin(axis=1)
+                d = ahead[rows, at]
+                go = np.isfinite(d) & ((step < least) | (d <= low[rows] * (1 + ratio + slack)))
+                rows, at, step = rows[go], at[go], step + 1
+                ahead[rows, at] = np.inf
+                near = self.neighbours[at]
+                r, k = np.nonzero(np.isinf(known[rows[:, None], near]))
+                i, j = rows[r], near[r, k]
+                d = np.sqrt(((c[j] - x[i]) ** 2).sum(axis=1))
+                known[i, j] = ahead[i, j] = d
+                if not settled:
+                    np.minimum.at(low, i, d)
+
+        walk(least, False)
+        if sizes is not None:
+            order = np.argsort(known, axis=1)
+            reach = (np.cumsum(np.where(np.isfinite(np.take_along_axis(known, order, 1)), sizes[order], 0), axis=1) < need).sum(axis=1)
+            base = np.take_along_axis(known, order, 1)[np.arange(n), np.minimum(reach, len(c) - 1)]
+            low = np.where(reach < len(c), base, np.inf)
+            walk(0, True)
+        known[np.isinf(known)] = np.nan
+        i, j = np.nonzero(known <= low[:, None] * (1 + ratio))
+        order = np.lexsort((j, known[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < (most or len(c))
+        return i[keep], j[keep]
 
 
 def _lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
@@ -103,7 +123,7 @@ def _lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
     return np.append(x, np.sqrt(max(0.0, largest * largest - float(x @ x))))
 
 
-def _place(shared, ratio: float, most: int | None, query: bool):
+def _place(shared, ratio: float, most: int | None, query: bool, sizes: np.ndarray | None = None, need: int = 0):
     """(id, data) -> a row for each list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +131,11 @@ def _place(shared, ratio: float, most: int | None, query: bool):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                rows, lists = [], []
-                for i, v in enumerate(part.column("x")):
-                    got = graph.nearest(_lift(np.asarray(v.as_py(), np.float64), largest, query), ratio, most)
-                    rows += [i] * len(got)
-                    lists += got
-                data = pa.array([np.asarray(v.as_py(), "<f8").tobytes() for v in part.column("x")], pa.binary())
+                x = np.array([np.asarray(v.as_py(), np.float64) for v in part.column("x")])
+                rows, lists = graph.nearest(np.array([_lift(v, largest, query) for v in x]), ratio, most, sizes, need)
+                data = pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())
                 take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), pa.array(lists, pa.int32()), data.take(take)], names=["id", "list", "data"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), pa.array(lists.astype(np.int32)), data.take(take)], names=["id", "list", "data"])
 
     return run
 
@@ -134,30 +151,50 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(k: int):
-    """Rows sorted by (list, part, side): vectors (side 0) come before the queries (side 1) that want them."""
+    """Rows sorted by (list, part, side): vectors (side 0) come before the queries (side 1) that want them.
+
+    A task combines a query's finds from all its lists, so it gives k rows a query, not k a list; beyond ``COMBINED``
+    queries it gives what it has and begins anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def frame(out: list[tuple]) -> pa.RecordBatch:
-            q, v, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "vec_id", "score"])
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def answer(ids: np.ndarray, x: np.ndarray, asked: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        def frame() -> pa.RecordBatch:
+            n = [len(v) for v, _ in found.values()]
+            q = np.repeat(np.fromiter(found, np.int64, len(found)), n)
+            v, s = (np.concatenate([np.zeros(0), *[f[i] for f in found.values()]]) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "vec_id", "score"])
+
+        def answer(ids: np.ndarray, x: np.ndarray, asked: list[tuple[int, bytes]]) -> None:
             q = np.frombuffer(b"".join(d for _, d in asked), "<f8").reshape(len(asked), -1)
             scores = q @ x.T
             for (i, _), s in zip(asked, scores, strict=True):
-                other = ids != i
-                own, got = ids[other], s[other]
-                at = best(own, got, k)
-                yield np.full(len(at), i), own[at], got[at]
-
-        key, vectors, ids, x, asked, out = None, [], None, None, [], []
+                own = ids
+                old = found.get(i)
+                if old is not None and len(old[0]) == k:
+                    some = np.flatnonzero(s >= old[1][-1])
+                    own, s = ids[some], s[some]
+                s, own = s[own != i], own[own != i]
+                if old is not None:
+                    own, s = np.concatenate([old[0], own]), np.concatenate([old[1], s])
+                at = best(own, s, 2 * k + COPIES * k)
+                own, s = own[at], s[at]
+                _, first = np.unique(own, return_index=True)
+                first.sort()
+                found[i] = own[first][:k], s[first][:k]
+
+        key, vectors, ids, x, asked = None, [], None, None, []
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("list", "part", "side", "id", "data")]
             for lst, part, side, i, data in zip(*cols, strict=True):
                 if (lst, part) != key:
                     if asked:
-                        out += answer(ids, x, asked)
+                        answer(ids, x, asked)
                     key, vectors, ids, asked = (lst, part), [], None, []
+                    if len(found) > COMBINED:
+                        yield frame()
+                        found.clear()
                 if side == 0:
                     vectors.append((i, data))
                     continue
@@ -169,14 +206,11 @@ def _search(k: int):
                     vectors = []
                 asked.append((i, data))
                 if len(asked) >= 512:
-                    out += answer(ids, x, asked)
+                    answer(ids, x, asked)
                     asked = []
-                if len(out) > 4096:
-                    yield frame(out)
-                    out = []
         if asked:
-            out += answer(ids, x, asked)
-        yield frame(out)
+            answer(ids, x, asked)
+        yield frame()
 
     return run
 
@@ -206,9 +240,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, per_list: int = LIS
     shared = spark.sparkContext.broadcast((graph, largest))
     placed, at = "id long, list int, data binary", "list int, parts int"
     posted = scratch.table(good.select("id", "x").mapInArrow(_place(shared, REPLICATE, COPIES, False), placed), "postings")
-    asked = good.where("asks").select("id", "x").dropDuplicates(["id"]).mapInArrow(_place(shared, prune, None, True), placed)
     # One row a list, of which there are MOST_LISTS at most.
-    parts = spark.createDataFrame([(r["list"], -(-r["count"] // rows)) for r in posted.groupBy("list").count().collect()], at)
+    held = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
+    sizes_ = np.array([held.get(i, 0) for i in range(len(graph.centroids))])
+    parts = spark.createDataFrame([(i, -(-c // rows)) for i, c in held.items()], at)
+    asked = good.where("asks").select("id", "x").dropDuplicates(["id"]).mapInArrow(_place(shared, prune, None, True, sizes_, NEED * k), placed)
     posted = posted.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "data")
     asked = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "data")
     met = posted.unionByName(asked).repartition(n_partitions(spark), "list", "part").sortWithinPartitions("list", "part", "side")

@@ -54,6 +54,20 @@ def test_walks_find_what_a_scan_finds():
     for x in rng.normal(size=(40, 8)):
         d = np.sqrt(((c - x) ** 2).sum(axis=1))
         want = set(np.flatnonzero(d <= 1.2 * d.min()).tolist())
-        miss += len(want - set(g.nearest(x, 0.2)))
+        rows, lists = g.nearest(np.array([x, c[0]]), 0.2)
+        assert rows.tolist() == sorted(rows) and lists[rows == 1][0] == 0
+        miss += len(want - set(lists[rows == 0].tolist()))
         total += len(want)
     assert miss / total < 0.05
+
+
+def test_a_query_in_a_small_tight_cluster_looks_beyond_it(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tight = x[0] + rng.normal(size=(6, 16)) * 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([tight, x[6:]]))]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 6, k=20, per_list=40).collect()
+    want = brute(rows, lambda i: i < 6, 20)
+    assert len(got) == 120
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * 120
