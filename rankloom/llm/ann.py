@@ -4,8 +4,9 @@ Inner products become Euclidean distances by one more coordinate that lifts ever
 k-means on a bounded sample gives centroids; a vector near the boundary of clusters is in each list whose centroid is at
 most ``REPLICATE`` farther than its nearest. Workers search the centroids by best-first walks on an in-memory graph of
 neighbouring centroids, both to place vectors and to find a query's lists; distance-ratio pruning keeps the lists whose
-centroid is at most ``PRUNE`` farther than the nearest. Queries meet the lists' vectors by list, and inner products are
-computed exactly in double precision.
+centroid is at most so much farther than the nearest. The ratio is ``PRUNE`` at least; at build time it is widened until
+the lists of ``PROBES`` sample queries hold the share ``RECALL`` of their exact neighbours among all rows. Queries meet the
+lists' vectors by list, and inner products are computed exactly in double precision.
 
 Lists that are long all the same (equal vectors) are dealt to parts by hash, so no task holds a whole list; a query goes
 to all parts of its lists, and every part keeps its best k.
@@ -27,6 +28,8 @@ from rankloom.llm.neardup import usable
 
 #: Vectors a list has about; most and least lists; bound of the sample; relative distances up to which a vector is replicated and a query's lists are kept; most lists of a vector; rows of a part; neighbours of a centroid; queries whose finds a task combines; entries, for each neighbour wanted, that a query's lists must hold before pruning begins.
 LIST, MOST_LISTS, LEAST_LISTS, SAMPLE, REPLICATE, PRUNE, COPIES, ROWS, DEGREE, COMBINED, NEED = 200, 16_384, 8, 20_000, 0.05, 0.14, 3, 2048, 24, 100_000, 25
+#: Sample queries whose exact neighbours set the pruning ratio; the recall that it must give them; a walk over more than one in so many centroids measures all at once.
+PROBES, RECALL, WIDE = 256, 0.95, 8
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -91,6 +94,11 @@ class Graph:
                 d = ahead[rows, at]
                 go = np.isfinite(d) & ((step < least) | (d <= low[rows] * (1 + ratio + slack)))
                 rows, at, step = rows[go], at[go], step + 1
+                if step > least and step * WIDE > len(c):
+                    known[rows], ahead[rows] = np.sqrt(_distances(x[rows], c)), np.inf
+                    if not settled:
+                        low[rows] = known[rows].min(axis=1, initial=np.inf)
+                    break
                 ahead[rows, at] = np.inf
                 near = self.neighbours[at]
                 r, k = np.nonzero(np.isinf(known[rows[:, None], near]))
@@ -150,6 +158,72 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+def _exact(shared, k: int):
+    """Postings -> for each sample query the k nearest ids of each stretch, with the lists that hold the nearest row of the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, q = shared.value
+        low = np.full(len(asks), -np.inf)
+        for b in batches:
+            for at in range(0, b.num_rows, 8192):
+                part = b.slice(at, 8192)
+                ids, lists = part.column("id").to_numpy(), part.column("list").to_numpy()
+                x = np.frombuffer(b"".join(part.column("data").to_pylist()), "<f8").reshape(len(ids), -1)
+                order = np.argsort(ids, kind="stable")
+                ids, lists, scores = ids[order], lists[order], q @ x[order].T
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                length = np.diff(np.append(first, len(ids)))
+                top = np.maximum.reduceat(scores, first, axis=1)
+                top[asks[:, None] == ids[first]] = -np.inf
+                n = min(k, len(first))
+                g = np.argpartition(-top, n - 1, axis=1)[:, :n]
+                s = np.take_along_axis(top, g, 1)
+                i, j = np.nonzero(np.isfinite(s) & (s >= low[:, None]))
+                if n == k:
+                    np.maximum(low, s.min(axis=1), out=low)
+                g, s = g[i, j], s[i, j]
+                pair = np.repeat(np.arange(len(g)), length[g])
+                row = first[g][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(length[g]) - length[g], length[g])
+                near = scores[i[pair], row] >= s[pair] - 1e-9 * (1 + np.abs(s[pair]))
+                ends = np.append(0, np.cumsum(np.bincount(pair[near], minlength=len(g))))
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists[row[near]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(asks[i]), pa.array(ids[first][g]), pa.array(s), held], names=["query_id", "vec_id", "score", "lists"])
+
+    return run
+
+
+def calibrated(posted: DataFrame, asked: DataFrame, graph: Graph, largest: float, sizes: np.ndarray, k: int, prune: float, seed: int = 9) -> float:
+    """The pruning ratio, ``prune`` at least, with which sample queries reach ``RECALL`` of their exact k nearest among all postings."""
+    spark = posted.sparkSession
+    probes = asked.orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(PROBES).collect()
+    if not probes:
+        return prune
+    asks, q = np.array([r["id"] for r in probes]), np.array([r["x"] for r in probes], np.float64)
+    shared = spark.sparkContext.broadcast((asks, q))
+    near = posted.mapInArrow(_exact(shared, k), "query_id long, vec_id long, score double, lists array<int>").groupBy("query_id", "vec_id").agg(F.max_by("lists", "score").alias("lists"), F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    truth: dict[int, list[list[int]]] = {}
+    for r in near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "lists").collect():
+        truth.setdefault(r["query_id"], []).append(r["lists"])
+    total = sum(map(len, truth.values()))
+    if not total:
+        return prune
+    x = np.array([_lift(v, largest, True) for v in q])
+
+    def recall(ratio: float) -> float:
+        hits = 0
+        for at in range(0, len(x), 64):
+            rows, lists = graph.nearest(x[at : at + 64], ratio, None, sizes, NEED * k)
+            for i, ask in enumerate(asks[at : at + 64].tolist()):
+                own = set(lists[rows == i].tolist())
+                hits += sum(not own.isdisjoint(held) for held in truth.get(ask, []))
+        return hits / total
+
+    while recall(prune) < RECALL:
+        prune = prune * 1.1 + 0.005
+    return prune
+
+
 def _search(k: int):
     """Rows sorted by (list, part, side): vectors (side 0) come before the queries (side 1) that want them.
 
@@ -221,7 +295,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, per_list: int = LIS
     ``queries`` says which rows of ``vectors`` (vec_id, embedding) ask; every usable row is indexed. Null ids, null or
     zero vectors, vectors with null or non-finite components, and vectors of another length than most take no part.
     Rows with the same id count once, with their best score; a query is never its own neighbour. Fewer than k candidates
-    give fewer rows; an empty table gives an empty result; other columns are ignored.
+    give fewer rows; an empty table gives an empty result; other columns are ignored. ``prune`` is the least pruning ratio.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -244,7 +318,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, per_list: int = LIS
     held = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
     sizes_ = np.array([held.get(i, 0) for i in range(len(graph.centroids))])
     parts = spark.createDataFrame([(i, -(-c // rows)) for i, c in held.items()], at)
-    asked = good.where("asks").select("id", "x").dropDuplicates(["id"]).mapInArrow(_place(shared, prune, None, True, sizes_, NEED * k), placed)
+    asked = scratch.table(good.where("asks").select("id", "x").dropDuplicates(["id"]), "asked")
+    prune = calibrated(posted, asked, graph, largest, sizes_, k, prune, seed)
+    asked = asked.mapInArrow(_place(shared, prune, None, True, sizes_, NEED * k), placed)
     posted = posted.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "data")
     asked = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "data")
     met = posted.unionByName(asked).repartition(n_partitions(spark), "list", "part").sortWithinPartitions("list", "part", "side")

@@ -71,3 +71,14 @@ def test_a_query_in_a_small_tight_cluster_looks_beyond_it(spark):
     want = brute(rows, lambda i: i < 6, 20)
     assert len(got) == 120
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * 120
+
+
+def test_pruning_widens_until_sample_queries_reach_the_recall(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0, k=5, per_list=20, prune=0.0).collect()
+    want = brute(rows, lambda i: i % 30 == 0, 5)
+    assert len(got) == 500
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= ann.RECALL * 500
