@@ -240,9 +240,12 @@ def _search(k: int):
             v, s = (np.concatenate([np.zeros(0), *[f[i] for f in found.values()]]) for i in range(2))
             return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-        def answer(ids: np.ndarray, x: np.ndarray, asked: list[tuple[int, bytes]]) -> None:
+        def answer(ids: np.ndarray, first: np.ndarray, x: np.ndarray, asked: list[tuple[int, bytes]]) -> None:
+            """``ids``: the distinct ids of the rows ``x``, which are sorted by id; ``first``: where each id's rows begin."""
             q = np.frombuffer(b"".join(d for _, d in asked), "<f8").reshape(len(asked), -1)
             scores = q @ x.T
+            if len(ids) < len(x):
+                scores = np.maximum.reduceat(scores, first, axis=1)
             for (i, _), s in zip(asked, scores, strict=True):
                 own = ids
                 old = found.get(i)
@@ -252,19 +255,19 @@ def _search(k: int):
                 s, own = s[own != i], own[own != i]
                 if old is not None:
                     own, s = np.concatenate([old[0], own]), np.concatenate([old[1], s])
-                at = best(own, s, 2 * k + COPIES * k)
+                at = best(own, s, 2 * k)  # an id is in it twice at most: as found before and as found here
                 own, s = own[at], s[at]
                 _, first = np.unique(own, return_index=True)
                 first.sort()
                 found[i] = own[first][:k], s[first][:k]
 
-        key, vectors, ids, x, asked = None, [], None, None, []
+        key, vectors, ids, first, x, asked = None, [], None, None, None, []
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("list", "part", "side", "id", "data")]
             for lst, part, side, i, data in zip(*cols, strict=True):
                 if (lst, part) != key:
                     if asked:
-                        answer(ids, x, asked)
+                        answer(ids, first, x, asked)
                     key, vectors, ids, asked = (lst, part), [], None, []
                     if len(found) > COMBINED:
                         yield frame()
@@ -275,15 +278,18 @@ def _search(k: int):
                 if ids is None:
                     if not vectors:
                         continue
+                    vectors.sort(key=lambda v: v[0])
                     ids = np.array([v for v, _ in vectors])
                     x = np.frombuffer(b"".join(d for _, d in vectors), "<f8").reshape(len(ids), -1)
+                    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                    ids = ids[first]
                     vectors = []
                 asked.append((i, data))
                 if len(asked) >= 512:
-                    answer(ids, x, asked)
+                    answer(ids, first, x, asked)
                     asked = []
         if asked:
-            answer(ids, x, asked)
+            answer(ids, first, x, asked)
         yield frame()
 
     return run
@@ -304,8 +310,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, per_list: int = LIS
     schema = "query_id long, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n, largest = sizes["n"], float(np.sqrt(sizes["square"]))
-    good = scratch.table(good.where(F.size("x") == sizes["dim"]), "vectors")
+    largest = float(np.sqrt(sizes["square"]))
+    # Rows that repeat id and vector count once, also in the sample and in the number of lists.
+    good = scratch.table(good.where(F.size("x") == sizes["dim"]).groupBy("id", "x").agg(F.max("asks").alias("asks")), "vectors")
+    n = good.count()
     pick = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003))
     sample = good.where(pick < 1_000_003 * min(1.0, 0.9 * SAMPLE / n)).select("id", "x").toArrow().sort_by("id")
     points = np.array([_lift(np.asarray(v.as_py()), largest, False) for v in sample.column("x")] or [np.zeros(sizes["dim"] + 1)])
@@ -321,7 +329,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, per_list: int = LIS
     asked = scratch.table(good.where("asks").select("id", "x").dropDuplicates(["id"]), "asked")
     prune = calibrated(posted, asked, graph, largest, sizes_, k, prune, seed)
     asked = asked.mapInArrow(_place(shared, prune, None, True, sizes_, NEED * k), placed)
-    posted = posted.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "data")
+    posted = posted.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id", "data"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "data")
     asked = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "data")
     met = posted.unionByName(asked).repartition(n_partitions(spark), "list", "part").sortWithinPartitions("list", "part", "side")
     found = met.mapInArrow(_search(k), schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

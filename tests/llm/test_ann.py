@@ -82,3 +82,17 @@ def test_pruning_widens_until_sample_queries_reach_the_recall(spark):
     want = brute(rows, lambda i: i % 30 == 0, 5)
     assert len(got) == 500
     assert sum(r.vec_id in want[r.query_id] for r in got) >= ann.RECALL * 500
+
+
+def test_a_row_repeated_often_leaves_room_for_others(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 6)) * 0.05 + 1)]
+    near = [(7, (np.array(rows[7][1]) + 2 + 1e-4 * j).tolist()) for j in range(300)]
+    df = spark.createDataFrame(rows + [rows[3]] * 400 + near, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id").isin(0, 1), k=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    best = [(i, v) for i, v in rows if i != 7] + [near[-1]]
+    for q in (0, 1):
+        want = sorted((-float(np.dot(rows[q][1], v)), i) for i, v in best if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i) for n, (_, i) in enumerate(want)]
