@@ -434,17 +434,17 @@ def rulecard_fallback(spark, sf):
 
 @query("query_groups")
 def query_groups(spark, sf):
-    from rankloom.operators.clustering import greedy_groups, query_distances, query_embeddings
+    from rankloom.operators.clustering import greedy_query_groups, query_embeddings
 
-    return greedy_groups(query_distances(query_embeddings(L.event_lists(spark, sf))), 8)
+    return greedy_query_groups(query_embeddings(L.event_lists(spark, sf)), 8)
 
 
 @query("greedy_groups")
 def greedy(spark, sf):
-    from rankloom.operators.clustering import greedy_groups, query_distances
+    from rankloom.operators.clustering import greedy_query_groups
 
     vectors_ = L.lineitem_lists(spark, sf).groupBy("qid").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(5)]).alias("features"))
-    return greedy_groups(query_distances(vectors_), 5)
+    return greedy_query_groups(vectors_, 5)
 
 
 @query("synthetic_ltr")

@@ -130,6 +130,25 @@ def test_groups_are_complete_and_of_one_size(spark):
     assert {r.qid for r in got if r.group_id == 0} == {0, *sorted(range(1, 11), key=lambda q: dist[(0, q)])[:3]}
 
 
+def test_more_queries_than_the_driver_held_before(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2100, 4))
+    x[5] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "qid long, features array<double>")
+    assert clustering.query_distances(df).select("qid", "other").distinct().count() == 2100 * 2100
+    with np.errstate(invalid="ignore"):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.nan_to_num(np.round(1 - u @ u.T, 12), nan=2.0)
+    left, want = np.ones(2100, bool), {}
+    for seed in range(2100):
+        if left[seed]:
+            left[seed] = False
+            near = [q for q in np.argsort(d[seed], kind="stable").tolist() if left[q]][:7]
+            left[near] = False
+            want |= dict.fromkeys([seed, *near], len(set(want.values())))
+    assert {r.qid: r.group_id for r in clustering.greedy_query_groups(df, 8).collect()} == want
+
+
 def test_generator_repeats_itself(spark):
     a, b = (sorted(map(str, synthetic.generate(spark, 5, 8, 3).repartition(n).collect())) for n in (1, 3))
     assert a == b and len(a) == 40
