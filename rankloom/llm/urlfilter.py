@@ -23,6 +23,9 @@ INLINE = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?i)<link\s[^>]*rel\s*=\s*["']?canonical["'\s/>][^>]*"""
 REFRESH = r"""(?i)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["'\s/>][^>]*"""
+#: All such tags of a page, and rel lists that hold canonical among other words. The two above are the oracle's.
+CANONICALS = r"""(?i)<link\s[^>]*rel\s*=\s*(?:["']?canonical(?=["'\s/>])|"(?:[^">]*\s)?canonical(?=["\s])|'(?:[^'>]*\s)?canonical(?=['\s]))[^>]*"""
+REFRESHES = r"""(?i)<meta\s[^>]*http-equiv\s*=\s*["']?refresh(?=["'\s/>])[^>]*"""
 HREF = r"""(?i)href\s*=\s*["']?([^"'>\s]+)"""
 URL_AT = r"""(?i)url\s*=\s*["']?([^"'>\s]+)"""
 
@@ -93,11 +96,10 @@ def _absolute(url: Column, link: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls without fragments from each page's canonical link and refresh redirect."""
+    """(src, dst) urls without fragments from each page's canonical links and refresh redirects."""
     url, html = F.col("url"), F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), URL_AT, 1)
-    found = pages.where(url.isNotNull() & html.isNotNull()).select(F.regexp_replace(url, "#.*", "").alias("src"), F.explode(F.array(_absolute(url, canonical), _absolute(url, refresh))).alias("dst"))
+    links = lambda tags, at: F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda t: _absolute(url, F.regexp_extract(t, at, 1)))
+    found = pages.where(url.isNotNull() & html.isNotNull()).select(F.regexp_replace(url, "#.*", "").alias("src"), F.explode(F.concat(links(CANONICALS, HREF), links(REFRESHES, URL_AT))).alias("dst"))
     return found.where("dst is not null and src <> dst").distinct()
 
 

@@ -79,3 +79,10 @@ def test_min_bytes_empty_and_damage(spark):
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 17\r\n\r\nHTTP/1.1 200\r\n\r\nab"
     with pytest.raises(ValueError, match="digest"):
         list(warc.parse(record.replace(b"17", b"18") + b"\r\n\r\n"))
+
+
+def test_every_canonical_and_refresh_tag_is_an_edge(spark):
+    html = """<link href=/a rel=canonical><link rel="nofollow canonical" href="/b"><link rel='canonical'><link rel='canonical' href='/c'>
+<link rel="noncanonical" href="/no"><meta http-equiv=refresh content="0;url=/d"><meta http-equiv="refresh" content="1;url=/e">"""
+    pages = spark.createDataFrame([("http://h.org/p", html)], "url string, html string")
+    assert sorted(r.dst for r in urlfilter.link_edges(pages).collect()) == [f"http://h.org/{x}" for x in "abcde"]
