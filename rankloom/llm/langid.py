@@ -40,7 +40,7 @@ def _letters() -> np.ndarray:
 
 def grams(text: str) -> Iterator[np.ndarray]:
     """Buckets of the text's n-grams, by stretches that overlap so that none is lost or counted twice."""
-    text = f" {text} "
+    text = f" {text}  "  # one space more, so that the last letter begins a stretch of three as well
     for at in range(0, max(1, len(text) - 2), CHUNK):
         part = np.frombuffer(text[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), "<u4")
         c = _letters()[part]

@@ -85,3 +85,10 @@ def test_risk_needs_no_labelled_negatives():
     u = [np.array([0, *rng.integers(2, 6, 2)]) if i < 60 else rng.integers(2, 6, 2) for i in range(600)]
     w, b = toxicity.train([np.unique(x) for x in p], [np.unique(x) for x in u], 6, 0.1)
     assert w[0] + b > 0 > b and abs(w[2:6]).max() < w[0] / 2
+
+
+def test_grams_count_the_last_letter():
+    for text, n in (("a", 1 + 2 + 1), ("ab", 2 + 3 + 2), ("", 0), ("ab c", 3 + 5 + 3)):
+        assert sum(map(len, langid.grams(text))) == n
+    last = next(langid.grams("ab")).tolist()
+    assert next(langid.grams("b")).tolist()[0] in last[:2]
