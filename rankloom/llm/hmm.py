@@ -205,7 +205,10 @@ def _class_totals(own: set[bytes], classes: int):
 
 
 def vocabulary(counts: DataFrame, top: int = TOP, classes: int = CLASSES, cached: int = CACHED) -> Vocabulary:
-    """Tables from the word counts; words with equal counts are taken or left together, so the bounds hold without ties."""
+    """Tables from the word counts; the ``top`` first by count and word have symbols of their own.
+
+    Words with equal counts are cached or left together, but for the first of them by word that ``top`` has room for.
+    """
     words = counts.where(F.col("word") != F.lit(END))
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
     spread = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().where("n > 1").collect()), reverse=True)
@@ -220,8 +223,10 @@ def vocabulary(counts: DataFrame, top: int = TOP, classes: int = CLASSES, cached
 
     kept = words.where(F.col("n") >= least(cached)).toArrow()
     rows = sorted(zip(kept.column("n").to_pylist(), kept.column("word").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-    low = least(top)
-    own = sum(n >= low for n, _ in rows)
+    rest = [n for n, _ in spread if n < least(cached)]
+    if len(rows) < top and rest:
+        rows += [(r["n"], bytes(r["word"])) for r in words.where(F.col("n") == rest[0]).orderBy("word").limit(top - len(rows)).collect()]
+    own = min(top, len(rows))
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
     shared = counts.sparkSession.sparkContext.broadcast({w for _, w in rows[:own]})
 

@@ -100,3 +100,11 @@ def test_empty_and_nothing_to_learn_from(spark):
     assert hmm.score(spark.createDataFrame([], schema), held_out("doc_id", 5, 1)).collect() == []
     (r,) = hmm.score(spark.createDataFrame([(None, "a b")], schema), held_out("doc_id", 5, 1)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0 and math.isfinite(r.score)
+
+
+def test_a_large_tie_group_fills_the_room_left(spark):
+    counts = spark.createDataFrame([(b"z", 9)] + [(b"w%02d" % i, 5) for i in range(30)] + [(b"a", 2)], "word binary, n long")
+    for cached in (100, 20, 5):
+        v = hmm.vocabulary(counts, top=11, classes=4, cached=cached)
+        assert v.own == 11 and list(v.symbols)[:11] == [b"z"] + [b"w%02d" % i for i in range(10)]
+        assert v.mass.sum() == 20 * 5 + 2 and v.types.sum() == 21
