@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a private temporary one only where the session names none (tests, local use)."""
+    """The shared folder; a private temporary one only where a local session names none (tests, local use)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(remove, spark, found)
@@ -56,9 +59,10 @@ class Scratch:
         out.rankloom_path = at
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        remove(self.spark, df.rankloom_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            remove(self.spark, df.rankloom_path)
 
     def _clear(self) -> None:
         try:
@@ -85,6 +89,17 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``taken`` has it, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
     """The schema of ``df`` with more fields at its end."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, t) for k, t in types.items()]])
