@@ -1,7 +1,7 @@
 """Operator 8 - WARC archives with revisit resolution.
 
-Headers (page id, payload digest, length) are shuffled by digest without payloads; of equal payloads one record keeps the
-payload as a ``response`` and the others become ``revisit`` records that refer to it. The archives are written with fresh
+Headers (page id, payload digest, length) are written once and shuffled by digest without payloads; of equal payloads one
+record keeps the payload as a ``response`` and the others become ``revisit`` records that refer to it. The archives are written with fresh
 headers by Spark's text writer, gzipped, whose record separator is WARC's blank lines, so a write survives lost executors
 and reaches any file system Spark reaches. Reading parses the records by their Content-Length, checks every payload against
 its digest and joins revisits to their responses by record id.
@@ -26,12 +26,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Archive files hold about so many payload bytes; a file is read by one task, as one row.
 FILE_BYTES = 24 << 20
+#: Rows that repeat an id and a payload more often than this, and than one in ``SHARE`` of all rows, are dealt to several tasks; there are at most ``SHARE`` such groups, and their list is broadcast.
+REPEATED, SHARE = 1024, 10_000
 PARSED = "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to_record string, payload_bytes long, payload binary"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base-32 SHA-1: each 5 hex digits are 20 bits, and so 4 characters."""
-    digits = F.sha1(data)
+def base32(digits: Column) -> Column:
+    """Upper-case base 32 of 40 hex digits: each 5 of them are 20 bits, and so 4 characters."""
     bits = [F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
     return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for v in bits for s in (15, 10, 5, 0)])
 
@@ -44,8 +45,14 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def _with_digest(pages: DataFrame) -> DataFrame:
-    html = F.coalesce("html", F.lit(""))
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html.cast("binary")).alias("payload_digest"))
+    """page_id, url, html, payload_bytes and payload_digest.
+
+    The two explodes of one value are borders that the optimizer doesn't fold expressions over: without them the hash would
+    be computed anew for each of the digest's 32 characters, and the characters for each use of the digest.
+    """
+    lean = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
+    hashed = lean.select("*", F.explode(F.array(F.sha1(F.col("html").cast("binary")))).alias("hex"))
+    return hashed.select("page_id", "url", "html", F.octet_length("html").cast("long").alias("payload_bytes"), F.explode(F.array(base32(F.col("hex")))).alias("payload_digest"))
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -79,19 +86,27 @@ def _record(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, repeated: int = REPEATED) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) to archive files under ``path``.
 
     A null html is an empty payload; null urls and ids leave their header out; a row without an id never is an original,
-    and equal payloads without any id all stay responses. Rows repeated with the same id and payload get the same type.
+    and equal payloads without any id all stay responses. Rows repeated with the same id and payload get the same type;
+    where there are more than ``repeated`` of them, they are dealt to several tasks and files.
     """
+    scratch = Scratch(pages.sparkSession, "warc-headers")
     rows = _with_digest(pages)
-    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
+    headers = scratch.table(rows.select("page_id", "payload_digest", "payload_bytes"), "headers")
+    total, n = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
     files = max(1, -(-total // FILE_BYTES))
+    most = max(repeated, n // SHARE)
     key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "payload_digest")
-    revisits = resolve(rows.select("page_id", "payload_digest", "payload_bytes"), min_bytes).select(key.alias("key"), "original").repartition(files, "key")
-    joined = rows.withColumn("key", key).repartition(files, "key").join(revisits, "key", "left")
+    hot = F.broadcast(headers.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    revisits = resolve(headers, min_bytes).select(key.alias("key"), "original").join(hot, "key", "left").select("key", "original", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = rows.withColumn("key", key).join(hot, "key", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("parts")
+    joined = dealt.repartition(files, "key", "part").join(revisits.repartition(files, "key", "part"), ["key", "part"], "left")
     joined.select(_record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    scratch.drop(headers)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -144,7 +159,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """Write the archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    One row per row of ``pages``, repeated ones included. A null html is a payload of no bytes; rows with a null id are
+    revisits of an equal payload that has an id, else responses; an empty table gives an empty result; other columns play
+    no part.
+    """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     at = scratch.path("archives")
