@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch
+from rankloom.llm.common import Scratch, free
 from rankloom.llm.components import connected_components
 
 #: (host, path, decision) of the production query.
@@ -63,26 +63,34 @@ def _inline(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) -
     return best
 
 
-def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, inline: int = INLINE) -> DataFrame:
-    """Adds host, path, rule and decision (null where no rule fits) to a table of distinct or repeated ``url``.
+def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, inline: int = INLINE, decision: str = "decision") -> DataFrame:
+    """Adds host, path, rule and ``decision`` (null where no rule fits) to a table of distinct or repeated ``url``.
 
-    Empty rule hosts fit nothing but urls without a host. Rows are kept one for one.
+    Columns of these four names are replaced. Empty rule hosts fit nothing but urls without a host. Rows are kept one for one.
     """
-    df = urls.select(*[c for c in urls.columns if c not in ("host", "path", "rule", "decision")]).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    df = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", decision)]).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if len(rules) <= inline:
-        return df.withColumn("_best", _inline(rules, F.col("host"), F.col("path"))).select("*", "_best.rule", "_best.decision").drop("_best")
+        (best,) = free([*df.columns, "rule", decision], "_best")
+        return df.withColumn(best, _inline(rules, F.col("host"), F.col("path"))).select("*", F.col(f"{best}.rule").alias("rule"), F.col(f"{best}.decision").alias(decision)).drop(best)
     spark = urls.sparkSession
     table = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, decision string")
     labels = F.split("host", r"\.")
     places = df.select("host", "path").distinct()
     suffixed = places.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))))
     r = table.select(F.col("host").alias("suffix"), F.struct("host", "path", "decision").alias("r"))
-    best = suffixed.join(r, "suffix").where(F.startswith("path", F.col("r.path"))).groupBy("host", "path").agg(F.max(_rank(F.col("r"))).alias("b"))
-    return df.join(best, ["host", "path"], "left").select(*df.columns, F.col("b.rule").alias("rule"), F.col("b.decision").alias("decision"))
+    best = suffixed.join(r, "suffix").where(F.startswith("path", F.col("r.path"))).groupBy("host", "path").agg(F.max(_rank(F.col("r"))).alias("b")).select("host", "path", F.col("b.rule").alias("rule"), F.col("b.decision").alias(decision))
+    return df.join(best, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "rule", decision)
+
+
+def normal(url: Column) -> Column:
+    """A url as a node of the link graph: without its fragment, scheme and host in lower case (A-Z)."""
+    bare = F.regexp_replace(url, "#.*", "")
+    head = F.regexp_extract(bare, r"^[^:/?#]*://[^/?]*", 0)
+    return F.concat(F.translate(head, UPPER, LOWER), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
 def _absolute(url: Column, link: Column) -> Column:
-    """A link as an absolute url without fragment, seen from the page it stands on; null for an empty link."""
+    """A link as an absolute :func:`normal` url, seen from the page it stands on; null for an empty link."""
     scheme = F.regexp_extract(url, r"^[^:/?#]*:", 0)
     base = F.concat(scheme, F.lit("//"), host_of(url))
     folder = F.regexp_extract(path_of(url), r"^(.*/)?", 0)
@@ -92,14 +100,14 @@ def _absolute(url: Column, link: Column) -> Column:
         .when(F.startswith(link, F.lit("/")), F.concat(base, link))
         .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), link))
     )
-    return F.when(F.length(link) > 0, F.regexp_replace(full, "#.*", ""))
+    return F.when(F.length(link) > 0, normal(full))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls without fragments from each page's canonical links and refresh redirects."""
+    """(src, dst) normal urls from each page's canonical links and refresh redirects; ``&amp;`` in a link is ``&``."""
     url, html = F.col("url"), F.col("html")
-    links = lambda tags, at: F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda t: _absolute(url, F.regexp_extract(t, at, 1)))
-    found = pages.where(url.isNotNull() & html.isNotNull()).select(F.regexp_replace(url, "#.*", "").alias("src"), F.explode(F.concat(links(CANONICALS, HREF), links(REFRESHES, URL_AT))).alias("dst"))
+    links = lambda tags, at: F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda t: _absolute(url, F.replace(F.regexp_extract(t, at, 1), F.lit("&amp;"), F.lit("&"))))
+    found = pages.where(url.isNotNull() & html.isNotNull()).select(normal(url).alias("src"), F.explode(F.concat(links(CANONICALS, HREF), links(REFRESHES, URL_AT))).alias("dst"))
     return found.where("dst is not null and src <> dst").distinct()
 
 
@@ -108,25 +116,28 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges
 
     ``edges``: (src, dst) urls that redirect or name each other; by default those found in the html. Null urls and urls
     without ``://`` have empty host and path, fit no rule and are allowed. Repeated rows stay; an empty table gives an
-    empty result; other columns are kept, but for host, path, rule and verdict, which are replaced.
+    empty result, and no edges an empty graph; other columns are kept, but for host, path, rule and verdict, which are
+    replaced. Aliases are joined by their urls, without fragments and with scheme and host in lower case.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
-    found = scratch.table((link_edges(pages) if edges is None else edges.select(*[F.regexp_replace(c, "#.*", "").alias(c) for c in ("src", "dst")]).where("src <> dst")), "edges")
-    matched = match_rules(pages.drop("verdict"), rules)
-    if found.isEmpty():
-        return matched.withColumn("verdict", F.coalesce("decision", F.lit("allow"))).drop("decision")
+    given = link_edges(pages) if edges is None else edges.select(*[normal(F.col(c)).alias(c) for c in ("src", "dst")]).where("src <> dst").distinct()
+    found = scratch.table(given, "edges")
     nodes = scratch.table(found.select(F.explode(F.array("src", "dst")).alias("url")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
     numbered = found.join(nodes.select(F.col("url").alias("src"), F.col("id").alias("a")), "src").join(nodes.select(F.col("url").alias("dst"), F.col("id").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     roots = connected_components(numbered, scratch)
     judged = match_rules(nodes, rules).join(roots, "id").select("url", "root", "decision")
     groups = judged.groupBy("root").agg(F.max(F.col("decision") == "allow").alias("allowed"), F.max(F.col("decision") == "block").alias("blocked"))
-    alias = judged.join(groups, "root").select(F.col("url").alias("_at"), F.when(F.col("allowed"), F.lit("allow")).when(F.col("blocked"), F.lit("block")).alias("_alias"))
-    out = matched.withColumn("_at", F.regexp_replace("url", "#.*", "")).join(alias, "_at", "left")
-    return out.withColumn("verdict", F.coalesce("decision", "_alias", F.lit("allow"))).drop("decision", "_alias", "_at")
+    # Only pages that no rule fits look at their aliases, and only urls of groups with a decision are looked up.
+    own, at, alias = free([*pages.columns, "host", "path", "rule", "verdict"], "decision", "at", "alias")
+    decided = judged.where("decision is null").join(groups.where("allowed or blocked"), "root").select(F.col("url").alias(at), F.when(F.col("allowed"), F.lit("allow")).otherwise(F.lit("block")).alias(alias))
+    matched = match_rules(pages.drop("verdict"), rules, decision=own)
+    out = matched.withColumn(at, F.when(F.col(own).isNull(), normal(F.col("url")))).join(decided, at, "left")
+    return out.withColumn("verdict", F.coalesce(own, alias, F.lit("allow"))).drop(own, alias, at)
 
 
 def digest(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row of ``pages``; nulls, repeats and empty tables as in :func:`judge`."""
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
