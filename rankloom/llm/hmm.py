@@ -7,7 +7,9 @@ unknown word a class, each state's probabilities add up to one.
 
 Word counts cover all training texts and stay distributed; only tables of bounded size (symbols, and the counts of words
 above a frequency) reach the driver and the workers, and other words meet their counts by a join. Baum-Welch counts are
-summed over the partitions of all training texts, in blocks of tokens; a first guess comes from a bounded sample. Scores
+summed over the partitions of all training texts. Texts are cut into blocks of tokens that overlap: the recursions of a
+block begin and end ``MARGIN`` tokens outside it, by when they have all but forgotten how they began, and each token and
+each move from one token to the next is counted in one block. A first guess comes from a bounded sample of blocks. Scores
 are exact: a scaled forward recursion over each whole text.
 """
 
@@ -27,8 +29,8 @@ from rankloom.llm.common import Scratch
 
 #: Words with symbols of their own, classes of other words, latent states; most words whose counts are sent to workers.
 TOP, CLASSES, STATES, CACHED = 8192, 2048, 8, 1 << 18
-#: Rounds over all training texts; sample documents and rounds of the first guess; tokens of a block; tokens handled at once.
-ROUNDS, SAMPLE, FIRST_ROUNDS, BLOCK, HELD = 3, 2000, 15, 512, 1 << 20
+#: Rounds over all training texts; sample blocks and rounds of the first guess; tokens of a block, and of its margins; tokens handled at once; blocks handled at once.
+ROUNDS, SAMPLE, FIRST_ROUNDS, BLOCK, MARGIN, HELD, SLICE = 3, 2500, 15, 512, 16, 1 << 20, 1024
 END = b" "  # no word is a space
 
 
@@ -70,20 +72,19 @@ class Hmm:
         back[order] = out
         return back
 
-    def expect(self, blocks: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, moves, emissions) of blocks (B x T), padded; ``first``: blocks that begin a text.
-
-        Blocks inside a text begin from the states' mean instead of the start.
-        """
-        order = np.argsort(-lengths, kind="stable")
-        blocks, lengths, first = blocks[order], lengths[order], first[order]
+    def expect(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts (start, moves, emissions) of the tokens that blocks count, and of the moves into them."""
+        order = np.argsort(-blocks.lengths, kind="stable")
+        rows, lengths, low, high = blocks.symbols[order], blocks.lengths[order], blocks.low[order], blocks.high[order]
         top, k = int(lengths[0]), len(self.start)
         active = np.searchsorted(-lengths, -np.arange(top), side="left")
         alphas, norms, a = [], [], None
-        begin = np.where(first[:, None], self.start, 1.0 / k)
+        # A block that counts its first token begins its text.
+        begins = low == 0
+        begin = np.where(begins[:, None], self.start, 1.0 / k)
         for t in range(top):
             n = int(active[t])
-            e = self.emits[blocks[:n, t]]
+            e = self.emits[rows[:n, t]]
             a = begin * e if a is None else (a[:n] @ self.moves) * e
             norm = a.sum(axis=1, keepdims=True)
             a = a / norm
@@ -95,15 +96,24 @@ class Hmm:
             n = int(active[t])
             if len(beta) < n:
                 beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-            gammas.append(alphas[t] * beta)
-            symbols.append(blocks[:n, t])
+            counted = ((low[:n] <= t) & (t < high[:n]))[:, None]
+            gammas.append(alphas[t] * beta * counted)
+            symbols.append(rows[:n, t])
             if t:
-                weight = self.emits[blocks[:n, t]] * beta / norms[t]
-                moves += alphas[t - 1][:n].T @ weight
+                weight = self.emits[rows[:n, t]] * beta / norms[t]
+                moves += alphas[t - 1][:n].T @ (weight * counted)
                 beta = weight @ self.moves.T
         gamma, s = np.concatenate(gammas), np.concatenate(symbols)
         emits = np.stack([np.bincount(s, gamma[:, j], len(self.emits)) for j in range(k)], axis=1)
-        return gammas[-1][first].sum(axis=0), moves * self.moves, emits
+        return gammas[-1][begins].sum(axis=0), moves * self.moves, emits
+
+    def expect_all(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same in slices, so that memory doesn't grow with the blocks."""
+        total = [np.zeros(x.shape) for x in (self.start, self.moves, self.emits)]
+        for at in range(0, len(blocks.lengths), SLICE):
+            for into, some in zip(total, self.expect(blocks[at : at + SLICE]), strict=True):
+                into += some
+        return tuple(total)
 
     @staticmethod
     def update(start: np.ndarray, moves: np.ndarray, emits: np.ndarray, unigram: np.ndarray) -> Hmm:
@@ -112,29 +122,42 @@ class Hmm:
         return Hmm((start + 0.1) / (start + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True), e / e.sum(axis=0))
 
 
-def blocks_of(rows: list[np.ndarray], size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows cut into padded blocks, their lengths, and whether each begins its row. Every token is in one block."""
-    n = np.array([-(-len(r) // size) for r in rows])
-    out, lengths, first = np.zeros((int(n.sum()), size), np.int64), np.zeros(int(n.sum()), np.int64), np.zeros(int(n.sum()), bool)
-    at = 0
-    for r in rows:
-        for k in range(0, len(r), size):
-            part = r[k : k + size]
-            out[at, : len(part)], lengths[at], first[at] = part, len(part), k == 0
-            at += 1
-    return out, lengths, first
+@dataclass
+class Blocks:
+    """Padded rows of symbols with their lengths; tokens from ``low`` up to ``high`` count, the others are margins."""
+
+    symbols: np.ndarray
+    lengths: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def __getitem__(self, at: slice) -> Blocks:
+        return Blocks(self.symbols[at], self.lengths[at], self.low[at], self.high[at])
+
+
+def cuts(n: int, size: int, margin: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, low, high) of the blocks of a row of ``n`` tokens; low and high count from the block's first token."""
+    return [(a := max(0, at - margin), min(n, at + size + margin), at - a, min(n, at + size) - a) for at in range(0, n, size)]
+
+
+def blocks_of(rows: list[np.ndarray], size: int = BLOCK, margin: int = MARGIN) -> Blocks:
+    """Rows cut into overlapping blocks. Every token counts in one block; ``margin`` is 1 at least, for the moves over borders."""
+    found = [(r, *c) for r in rows for c in cuts(len(r), size, margin)]
+    symbols = np.zeros((len(found), size + 2 * margin), np.int64)
+    for k, (r, a, b, _, _) in enumerate(found):
+        symbols[k, : b - a] = r[a:b]
+    lengths, low, high = (np.array([f(x) for x in found], np.int64) for f in (lambda x: x[2] - x[1], lambda x: x[3], lambda x: x[4]))
+    return Blocks(symbols, lengths, low, high)
 
 
-def first_guess(rows: list[np.ndarray], unigram: np.ndarray, states: int, rounds: int = FIRST_ROUNDS, seed: int = 6) -> Hmm:
-    """A model from a sample: states begin as noisy copies of the word frequencies that tend to stay."""
+def first_guess(blocks: Blocks | None, unigram: np.ndarray, states: int, rounds: int = FIRST_ROUNDS, seed: int = 6) -> Hmm:
+    """A model from sample blocks: states begin as noisy copies of the word frequencies that tend to stay."""
     rng = np.random.default_rng(seed)
     noisy = unigram[:, None] * np.exp(rng.normal(0, 1.0, (len(unigram), states)))
     model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * (0.95 - 0.05 / max(1, states - 1)), noisy / noisy.sum(axis=0))
     model.moves /= model.moves.sum(axis=1, keepdims=True)
-    if rows:
-        data = blocks_of(rows)
-        for _ in range(rounds):
-            model = Hmm.update(*model.expect(*data), unigram)
+    for _ in range(rounds if blocks is not None and len(blocks.lengths) else 0):
+        model = Hmm.update(*model.expect_all(blocks), unigram)
     return model
 
 
@@ -253,7 +276,8 @@ class _Lookup(dict):
         return -1 - word_class(word, self.classes)
 
 
-_LOOKUPS: dict[int, tuple] = {}
+#: The worker's tables, with the vocabulary that they were made for.
+_LOOKUPS: list[tuple] = []
 
 
 def _symbols(shared):
@@ -261,13 +285,12 @@ def _symbols(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
-        if id(v) not in _LOOKUPS:
-            _LOOKUPS.clear()
+        if not _LOOKUPS or _LOOKUPS[0][0] is not v:
             symbol = np.array(list(v.symbols.values()) or [0], np.int64)
             k = np.maximum(symbol - v.own - 1, 0)
             given = np.where(symbol > v.own, v.known_log(np.append(v.counts[:-1], [1.0] * (not v.symbols)), k), 0.0)
-            _LOOKUPS[id(v)] = (_Lookup(v), symbol, np.append(v.base_log(v.counts[:-1]), 0.0), given)
-        lookup, symbol, base, given = _LOOKUPS[id(v)]
+            _LOOKUPS[:] = [(v, _Lookup(v), symbol, np.append(v.base_log(v.counts[:-1]), 0.0), given)]
+        _, lookup, symbol, base, given = _LOOKUPS[0]
         end = float(v.base_log(v.counts[-1]))
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -313,21 +336,41 @@ def _expected(shared):
         m: Hmm = shared.value
         total = np.zeros(m.start.size + m.moves.size + m.emits.size)
         for rows, _ in _rows(batches, "symbols"):
-            data = blocks_of(rows)
-            for at in range(0, len(data[0]), 1024):
-                total += np.concatenate([x.ravel() for x in m.expect(*(d[at : at + 1024] for d in data))])
+            total += np.concatenate([x.ravel() for x in m.expect_all(blocks_of(rows))])
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["place", "n"])
 
     return run
 
 
+def _sampled(share: float, size: int, margin: int):
+    """Blocks drawn by a hash of what they hold and where: pick, low, high and symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for s in b.column("symbols"):
+                row = np.frombuffer(s.as_py(), "<i2")
+                for no, (a, z, low, high) in enumerate(cuts(len(row), size, margin)):
+                    data = row[a:z].tobytes()
+                    if (pick := zlib.crc32(data, no) / 2**32) < share:
+                        found.append((pick, low, high, data))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.binary()))], names=["pick", "low", "high", "data"])
+
+    return run
+
+
 def baum_welch(train: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Hmm:
-    """A model from (uid, symbols). ``sample`` bounds the documents of the first guess; the rounds count all texts."""
-    n = train.count()
-    some = train.where(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(n, 1))).select("symbols").toArrow()
-    rows = sorted((bytes(s.as_py()) for s in some.column("symbols")), key=lambda s: (zlib.crc32(s), s))[: 2 * sample]
-    model = first_guess([np.frombuffer(s, "<i2") for s in rows], unigram, states)
+    """A model from (uid, n_tokens, symbols). ``sample`` bounds the blocks of the first guess; the rounds count all texts."""
+    n = train.agg(F.coalesce(F.sum(F.ceil(F.col("n_tokens") / BLOCK)), F.lit(0))).first()[0]
+    some = train.select("symbols").mapInArrow(_sampled(sample / max(n, 1), BLOCK, MARGIN), "pick double, low long, high long, data binary").distinct().orderBy("pick", "data").limit(sample).collect()
+    blocks = None
+    if some:
+        symbols = np.zeros((len(some), BLOCK + 2 * MARGIN), np.int64)
+        for i, r in enumerate(some):
+            symbols[i, : len(r["data"]) // 2] = np.frombuffer(r["data"], "<i2")
+        blocks = Blocks(symbols, np.array([len(r["data"]) // 2 for r in some]), np.array([r["low"] for r in some]), np.array([r["high"] for r in some]))
+    model = first_guess(blocks, unigram, states)
     k, size = states, len(unigram)
     for _ in range(rounds if n else 0):
         shared = train.sparkSession.sparkContext.broadcast(model)
@@ -360,7 +403,7 @@ def score(docs: DataFrame, held: Column, top: int = TOP, classes: int = CLASSES,
     counts = scratch.table(lean.where("not held_out").select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     v = vocabulary(counts, top, classes, cached)
     table = scratch.table(lean.mapInArrow(_symbols(spark.sparkContext.broadcast(v)), SYMBOLS).withColumn("uid", F.monotonically_increasing_id()), "symbols")
-    model = baum_welch(table.where("not held_out").select("uid", "doc_id", "n_tokens", "symbols"), v.unigram(), states, rounds)
+    model = baum_welch(table.where("not held_out").select("uid", "n_tokens", "symbols"), v.unigram(), states, rounds)
     chain = table.select("uid", "symbols").mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), "uid long, chain double")
     # Words outside the bounded table meet their counts by a join; repeats in a text are summed first.
     rare = table.select("uid", F.explode(F.arrays_zip("words", "classes")).alias("w")).groupBy("uid", "w.words", "w.classes").agg(F.count("*").alias("times")).withColumnRenamed("words", "word")

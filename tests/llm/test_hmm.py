@@ -44,15 +44,25 @@ def test_expected_counts_are_those_of_all_paths():
                 moves[a, b] += p / total
             for s, a in zip(r, states, strict=True):
                 emits[s, a] += p / total
-    got = m.expect(*hmm.blocks_of(rows, size=8))
+    got = m.expect_all(hmm.blocks_of(rows, size=8))
     assert all(np.allclose(a, b) for a, b in zip(got, (start, moves, emits), strict=True))
 
 
+def test_blocks_count_every_token_and_move_as_the_whole_text_does():
+    rng = np.random.default_rng(5)
+    m = model_of(rng)
+    rows = [rng.integers(0, 5, n) for n in (3000, 1, 512, 513, 40)]
+    whole = m.expect_all(hmm.blocks_of(rows, size=4096))
+    cut = m.expect_all(hmm.blocks_of(rows, size=64))
+    assert abs(cut[1].sum() - sum(len(r) - 1 for r in rows)) < 1e-6 and abs(cut[2].sum() - sum(map(len, rows))) < 1e-6
+    assert all(np.allclose(a, b, rtol=1e-5, atol=1e-6) for a, b in zip(cut, whole, strict=True))
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(3)
     rows = [rng.choice([0, 1, 2] if i % 2 else [3, 4, 5], 40) for i in range(40)]
     unigram = np.full(6, 1 / 6)
-    models = [hmm.first_guess(rows, unigram, 2, rounds=n) for n in (1, 5, 20)]
+    models = [hmm.first_guess(hmm.blocks_of(rows), unigram, 2, rounds=n) for n in (1, 5, 20)]
     scores = [m.forward(rows).sum() for m in models]
     assert scores[0] < scores[1] < scores[2] and scores[2] / 1600 > math.log(1 / 6) + 0.5
 
@@ -86,7 +96,7 @@ def test_columns_against_plain_counting(spark, cached):
 def test_probabilities_add_up(spark):
     counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), 2 + i % 4) for i in range(40)] + [(bytearray(hmm.END), 9)], "word binary, n long")
     v = hmm.vocabulary(counts, top=5, classes=4, cached=100)
-    model = hmm.first_guess([], v.unigram(), 2)
+    model = hmm.first_guess(hmm.blocks_of([]), v.unigram(), 2)
     total = model.emits[: v.own + 1].sum(axis=0)
     for k in range(4):
         inside = sum(10 ** v.known_log(v.counts[i], k) for i, (w, s) in enumerate(v.symbols.items()) if s == v.own + 1 + k) + 10 ** v.unknown_log()[k]
