@@ -1,6 +1,7 @@
 """Operator 10 - mixing sources to target weights.
 
-The words of a source, document after document, are packed into blocks of fixed length. The output is a row of slots in
+The words of a source, document after document by hashed order, are packed into blocks of fixed length. Rows equal in id and
+text are packed side by side as one run, so that neither the order of the rows nor a text that a third of them repeat matters. The output is a row of slots in
 shards; each shard's source counts are a multinomial draw by what the sources still have to give, so that the sums meet
 the targets. The k-th slot of a source maps to a block through the source's pseudorandom permutation of block numbers,
 one permutation for each pass over the source, and slots meet blocks by an equality join on (source, block). A source's
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.llm.common import WORD, Scratch
+from rankloom.llm.common import WORD, Scratch, free, n_partitions
 
 WEIGHTS = (5, 2, 1)
 #: Passes over a source at most; words in a block; most shards; seed of draws and permutations.
 MOST, BLOCK, SHARDS, SEED = 3.0, 512, 256, 20
 #: The table of so many sources at most is broadcast; a longer one is joined by shuffling.
 SMALL = 10_000
+#: Slots that a row of a shard's plan is unfolded to.
+RANGE = 1 << 14
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -161,25 +164,41 @@ class Mix:
         self.rows = scratch.table(rows, "rows")
         stats = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         self.plan = quotas([(r["source"], r["size"]) for r in stats], weights, block, seed)
-        # Prefix sums in two levels: over hashed chunks of a source, then inside each chunk. A hot source is many chunks.
-        chunks = max(64, sum(r["n"] for r in stats) // 4096)
         named = [(i, q.source, q.size, q.target) for i, q in enumerate(self.plan)]
         self.sources = spark.createDataFrame(named, "ix int, source string, source_size long, target double")
         known = self.sources.select("ix", F.col("source").alias("s"))
         known = F.broadcast(known) if len(self.plan) <= SMALL else known
-        lean = self.rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select("uid", "doc_id", "size", "th", "ix", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
+        # ``part`` tells the task that numbered a row: copies of a row are counted there before they meet.
+        lean = self.rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select("uid", "doc_id", "size", "th", "ix", F.shiftright("uid", 33).alias("part"))
         self.numbered = lean
         full = lean.where("size > 0")
-        sums = full.groupBy("ix", "chunk").agg(F.sum("size").alias("words"))
+        run = ["ix", "doc_id", "th", "size"]
+        copies = scratch.table(full.groupBy(*run, "part").agg(F.count("*").alias("n")), "copies")
+        runs = copies.groupBy(*run).agg(F.sum(F.col("n") * F.col("size")).alias("words"))
+        # Prefix sums in two levels: over hashed chunks of a source, then inside each chunk. A hot source is many chunks.
+        chunks = max(64, sum(r["n"] for r in stats) // 4096)
+        runs = scratch.table(runs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th", "size"), F.lit(chunks))), "runs")
+        sums = runs.groupBy("ix", "chunk").agg(F.sum("words").alias("words"))
         before = sums.withColumn("base", F.sum("words").over(W.partitionBy("ix").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).select("ix", "chunk", "base")
-        inner = F.sum("size").over(W.partitionBy("ix", "chunk").orderBy("doc_id", "th", "uid").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-        self.spans = full.withColumn("inner", inner).join(before, ["ix", "chunk"]).select("uid", "ix", (F.col("base") + F.col("inner")).alias("start"), "size")
-
-    def slots(self) -> DataFrame:
-        """(shard, ix, k, block, words): the output's slots; words is negative where only the block's first words fit."""
+        inner = F.sum("words").over(W.partitionBy("ix", "chunk").orderBy("doc_id", "th", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
+        starts = runs.withColumn("inner", inner).join(before, ["ix", "chunk"]).select(*run, (F.col("base") + F.col("inner")).alias("start"))
+        # Copies of a row stand one after the other: by the task that numbered them, then by number.
+        same = lambda a, b: (F.col(f"{a}.ix") == F.col(f"{b}.ix")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
+        earlier = F.sum("n").over(W.partitionBy(*run).orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+        placed = copies.withColumn("earlier", earlier).alias("c").join(starts.alias("s"), same("c", "s")).select("c.*", (F.col("s.start") + F.col("c.earlier") * F.col("c.size")).alias("start"))
+        place = F.row_number().over(W.partitionBy(*run, "part").orderBy("uid")) - 1
+        self.spans = full.withColumn("place", place).alias("f").join(placed.alias("p"), same("f", "p") & (F.col("f.part") == F.col("p.part"))).select("f.uid", "f.ix", (F.col("p.start") + F.col("f.place") * F.col("f.size")).alias("start"), "f.size")
+
+    def slots(self, length: int = RANGE) -> DataFrame:
+        """(shard, ix, k, block, words): the output's slots; words is negative where only the block's first words fit.
+
+        A shard's share of a source is cut into ranges of ``length`` slots, so a row unfolds to that many at most.
+        """
         counts = shard_counts([q.slots for q in self.plan], seed=self.seed)
-        table = self.spark.createDataFrame(counts, "shard int, ix int, first long, n long").repartition(max(1, min(len(counts), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
-        each = table.select("shard", "ix", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("k"))
+        table = self.spark.createDataFrame(counts, "shard int, ix int, first long, n long")
+        last = F.col("first") + F.col("n") - 1
+        ranges = table.select("shard", "ix", last.alias("last"), F.explode(F.sequence("first", last, F.lit(length).cast("long"))).alias("a"))
+        each = ranges.repartition(n_partitions(self.spark)).select("shard", "ix", F.explode(F.sequence("a", F.least("last", F.col("a") + (length - 1)))).alias("k"))
         return each.mapInArrow(_slot_blocks(self.plan, self.block, self.seed), "shard int, ix int, k long, block long, words long")
 
     def pieces(self) -> DataFrame:
@@ -208,8 +227,9 @@ class Mix:
         runs = self.pieces().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times", "part"))).alias("runs"))
         kept = self.rows.join(runs, "uid").select("row", "size", "runs")
         fields = self.rows.schema["row"].dataType
-        flat = kept.select("row.*", F.col("size").alias("__size"), F.col("runs").alias("__runs"))
-        return flat.mapInArrow(_passes, fields)
+        size, own = free(fields.names, "size", "runs")
+        flat = kept.select("row.*", F.col("size").alias(size), F.col("runs").alias(own))
+        return flat.mapInArrow(_passes(size, own), fields)
 
 
 def _cut(text: str, size: int, runs: list[dict]) -> Iterator[str]:
@@ -223,20 +243,25 @@ def _cut(text: str, size: int, runs: list[dict]) -> Iterator[str]:
             yield b" ".join(w for a, b in spans for w in words[a:b]).decode()
 
 
-def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at, texts = [], []
-        for i, (text, size, runs) in enumerate(zip(b.column("text").to_pylist(), b.column("__size").to_pylist(), b.column("__runs").to_pylist(), strict=True)):
-            for piece in _cut(text, size, runs):
-                at.append(i)
-                texts.append(piece)
-        out = b.drop_columns(["__size", "__runs"]).take(pa.array(at, pa.int64()))
-        out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, out.schema.field("text").type))
-        if "n_chars" in out.schema.names:
-            out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array([len(t) for t in texts], out.schema.field("n_chars").type))
-        yield out
+def _passes(size: str, runs: str):
+    """Rows -> a row for each pass over the source that takes words of them; ``size`` and ``runs``: names of two columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, texts = [], []
+            for i, (text, n, own) in enumerate(zip(b.column("text").to_pylist(), b.column(size).to_pylist(), b.column(runs).to_pylist(), strict=True)):
+                for piece in _cut(text, n, own):
+                    at.append(i)
+                    texts.append(piece)
+            out = b.drop_columns([size, runs]).take(pa.array(at, pa.int64()))
+            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, out.schema.field("text").type))
+            if "n_chars" in out.schema.names:
+                out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array([len(t) for t in texts], out.schema.field("n_chars").type))
+            yield out
+
+    return run
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
+    """doc_id, size, source_size, target, taken of every row; nulls, repeats and empty tables as in :class:`Mix`."""
     return Mix(docs).taken()
