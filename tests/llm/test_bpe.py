@@ -32,7 +32,7 @@ def texts_of(rng):
 
 def test_exact_against_the_library(spec, library):
     rng = random.Random(11)
-    small, usual = bpe.Bpe(spec, leaf=7, unsplit=20, window=1), bpe.Bpe(spec)
+    small, usual = bpe.Bpe(spec, part=9, leaf=7, unsplit=20, window=1), bpe.Bpe(spec)
     for t in texts_of(rng):
         want = library.encode(t, add_special_tokens=False).ids
         for b in (small, usual):
@@ -41,6 +41,21 @@ def test_exact_against_the_library(spec, library):
             assert b.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_the_tree_gives_the_rows_and_no_cut_changes_them(spec, library):
+    """Texts of ordinary words come through joins, many of them through cut words, wherever the cuts and windows fall."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgéΣ'1", k=rng.randint(1, 12))) for _ in range(400)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(rng.randint(200, 1500))) for _ in range(6)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for part in (1, 2, 3, 10, 64, 1000, 1024):
+        for window in (1, 3):
+            b = bpe.Bpe(spec, part=part, window=window)
+            assert [np.frombuffer(b.encode(t.encode()), "<u4").tolist() for t in texts] == want
+            leaves = sum(len(list(b.cut(t.encode(), part))) for t in texts)
+            assert b.joins >= leaves / 3 and (b.grown > 0 or part < 64 or window > 1)
+            assert all(len(x) <= max(part, 4) for t in texts for x, _ in b.cut(t.encode(), part))
+
+
 def test_forgetting_changes_nothing(spec, library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     b, rng = bpe.Bpe(spec), random.Random(4)
@@ -59,7 +74,7 @@ def test_query_rows_also_when_texts_are_cut(spark, library):
         want.append((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     want.sort(key=str)
     assert sorted(map(tuple, bpe.encode_decode(docs).collect()), key=str) == want
-    assert sorted(map(tuple, bpe.encode_decode(docs, long=50, leaf=16, unsplit=40, window=1).collect()), key=str) == want
+    assert sorted(map(tuple, bpe.encode_decode(docs, long=50, run=30, part=11, leaf=16, unsplit=40, window=1).collect()), key=str) == want
     one = bpe.encode_decode(docs.where("doc_id = 3"), texts=True).first()
     assert one.decoded == library.decode(one.ids, skip_special_tokens=False)
     assert bpe.encode_decode(docs.limit(0)).collect() == []
