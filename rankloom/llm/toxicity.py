@@ -1,10 +1,13 @@
 """Operator 2 - toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all training documents, whatever their labels, is the unlabelled
-text. Linear numpy classifiers over the presence of words and word beginnings minimise the class-prior-corrected risk
+Confirmed toxic documents are the positives; all training documents, whatever their labels, are the unlabelled text.
+Linear numpy classifiers over the presence of words and word beginnings minimise the class-prior-corrected risk
 ``prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])``; where the second part turns negative, the step
-undoes it instead. A few classifiers on bootstrap samples are averaged. The prior is the toxic share of the labelled
-training rows.
+undoes it instead. The prior is the toxic share of the labelled training rows.
+
+A first guess is the mean of a few classifiers on bootstrap samples of bounded samples of both sides. Features are screened
+on those samples, and chosen by their counts over all training texts; then rounds of steps over all training texts follow,
+whose sums of losses, derivatives and curvatures are added up over the partitions.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import types as T
 
 from rankloom.llm.common import Scratch, with_fields
 
-#: Bounds of the fit: positives, unlabelled documents, features; least positives with a feature, and its least log-likelihood ratio; lengths of word beginnings.
-POSITIVES, UNLABELLED, FEATURES, LEAST, SIGNIFICANT, BEGINNINGS = 2500, 6000, 4000, 3, 18.0, (4, 5, 6, 7)
-MODELS, STEPS, RATE, DECAY = 3, 300, 0.1, 1e-4
+#: Bounds of the labelled positives and of the first guess's unlabelled documents; features of the model, and of those screened; least positives with a feature, and its least log-likelihood ratio, when chosen and when screened; lengths of word beginnings.
+POSITIVES, UNLABELLED, FEATURES, SCREENED, LEAST, SIGNIFICANT, LIKELY, BEGINNINGS = 2500, 6000, 4000, 16_000, 3, 18.0, 9.0, (4, 5, 6, 7)
+#: Classifiers and steps of the first guess, their rate and decay; rounds over all training texts.
+MODELS, STEPS, RATE, DECAY, ROUNDS = 3, 300, 0.1, 1e-4, 4
 REMEMBERED = 200_000
 #: Bytes that separate words: all ASCII but letters and digits.
 _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -135,62 +139,200 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _numbered(number: dict[str, int]):
+class Numbers:
+    """Numbers of the features of texts; words are looked up once."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.seen, self.forms = number, {}, {f.partition("#")[0] for f in number}
+
+    def found(self, text: str | None) -> list[int]:
+        n: Counter = Counter()
+        seen = self.seen
+        for w in words(text):
+            own = seen.get(w)
+            if own is None:
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                own = seen[w] = tuple(f for f in features(w) if f in self.forms)
+            if own:
+                n.update(own)
+        number = self.number
+        return sorted(number[g] for f, c in n.items() for g in (f, f"{f}#2", f"{f}#3")[:c] if g in number)
+
+
+def _numbered(shared):
+    """Replaces text by its features' numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(shared.value)
         for b in batches:
-            rows = [sorted({number[f] for f in document_features(t.as_py()) if f in number}) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "found"])
+            yield b.drop_columns(["text"]).append_column("found", pa.array([numbers.found(t.as_py()) for t in b.column("text")], pa.list_(pa.int32())))
 
     return run
 
 
-def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each entry of a column of lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _frequencies(size: int):
+    """Documents with each number, summed per task; place ``size`` counts all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size + 1, np.int64)
+        for b in batches:
+            n[:size] += np.bincount(flat(b.column("found"))[1], minlength=size)
+            n[size] += b.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+
+    return run
+
+
+def sums(w: np.ndarray, bias: float, place: np.ndarray, batches: Iterator[pa.Array]) -> np.ndarray:
+    """Over documents: sums of s x, of s, of loss(-), of s (1 - s) |x| x, of s (1 - s) |x|, and their number; s is the score.
+
+    ``place``: weight of each number, or the place after the last for numbers without one. |x| counts a document's
+    features and the intercept, so that the last but two sums are rows of a matrix that the curvature doesn't exceed.
+    """
+    n = len(w)
+    out = np.zeros(2 * (n + 1) + 2)
+    for column in batches:
+        row, number = flat(column)
+        at = place[number]
+        row, at = row[at < n], at[at < n]
+        z = np.bincount(row, w[at], len(column)) + bias
+        s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        h = s * (1 - s) * (np.bincount(row, minlength=len(column)) + 1)
+        out[:n] += np.bincount(at, s[row], n)
+        out[n] += s.sum()
+        out[n + 1 : 2 * n + 1] += np.bincount(at, h[row], n)
+        out[2 * n + 1] += h.sum()
+        out[2 * n + 2] += np.logaddexp(0, z).sum()
+        out[2 * n + 3] += len(column)
+    return out
+
+
+def _sums(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sums(*shared.value, (b.column("found") for b in batches))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
+
+    return run
+
+
+def step(w: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """A step down the risk from the sums of the positives and of the unlabelled text.
+
+    The logistic loss has loss(+) - loss(-) = -z, so the risk is ``E_u[loss(-)] - prior * E_p[z]`` and bends with the
+    unlabelled text alone; a bound of its curvature for each weight makes the step a sure descent.
+    """
+    n = len(w)
+    n_p, n_u = p[2 * n + 3], u[2 * n + 3]
+    negative = u[2 * n + 2] / n_u - prior * p[2 * n + 2] / n_p
+    gp, gu = -prior * p[: n + 1] / n_p, u[: n + 1] / n_u
+    g = -(gp + gu)
+    if negative >= 0:
+        # prior * E_p[loss(+)]' is prior * (s - 1) x; ``counts`` are the sums of x.
+        counts = np.append(p[2 * n + 4 :], n_p)
+        g = gu - prior * counts / n_p
+    g[:n] += DECAY * w
+    curve = u[n + 1 : 2 * n + 2] / n_u + prior * p[n + 1 : 2 * n + 2] / n_p + DECAY + 1e-9
+    move = np.clip(g / curve, -1.0, 1.0)
+    return w - move[:n], bias - float(move[n])
+
+
+def gains(p: np.ndarray, u: np.ndarray, n_p: float, n_u: float) -> np.ndarray:
+    """Log-likelihood ratio of "more frequent among positives"; 0 where it isn't."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = lambda k, n: np.where(k > 0, k * np.log(k / ((p + u) * (n / (n_p + n_u)))), 0.0)
+        return np.where(p * n_u > u * n_p, 2 * (term(p, n_p) + term(u, n_u)), 0.0)
+
+
+def _drawn(rows: DataFrame, most: int, salt: str) -> DataFrame:
+    """About ``most`` texts of (doc_id, text), drawn by a hash of both; rows that repeat both count once."""
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    n = rows.agg(F.approx_count_distinct(key)).first()[0]
+    pick = F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(1_000_003)) / 1_000_003.0
+    keyed = rows.withColumn("key", key)
+    return keyed.where(pick < most / max(n, 1)).groupBy("key", "doc_id").agg(F.first("text").alias("text")).select("text")
+
+
+def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model:
     """A model from training rows (doc_id, text) and labels (doc_id, toxic); null ids and null labels teach nothing.
 
-    A document labelled more than once is toxic if any label says so. The samples are drawn by a hash of the id and are
-    bounded by the two parameters. Without toxic training rows every score is 0.
+    A document labelled more than once is toxic if any label says so. ``positives`` bounds the labelled rows, ``unlabelled``
+    the documents of the first guess; both are drawn by a hash of id and text, and repeated rows are drawn once. All rows
+    are unlabelled text in the choice of features and in the rounds, repeated ones as often as they occur. Without toxic
+    training rows every score is 0.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "toxicity")
     ids = rows.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = scratch.table(ids.select("doc_id").join(marks, "doc_id"), "marked")
-    n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    marked = scratch.table(ids.select("doc_id").join(marks, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("toxic").alias("toxic")), "marked")
+    n, toxic = marked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("toxic")), F.lit(0))).first()
     if not toxic:
         return Model({}, -500.0)
     prior = min(0.95, toxic / n)
-    pick = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    chosen = marked.where("toxic = 1").where(pick("p") < positives / toxic).select("doc_id").distinct()
-    total = ids.count()
-    p = ids.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", F.lit(True).alias("positive"))
-    u = ids.where(pick("u") < unlabelled / max(total, 1)).select("doc_id", "text", F.lit(False).alias("positive"))
+    known = ids.join(marked.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    p = _drawn(known, positives, "p").withColumn("positive", F.lit(True))
+    u = _drawn(ids, unlabelled, "u").withColumn("positive", F.lit(False))
     sample = scratch.table(p.unionByName(u), "sample")
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))))
-    # Log-likelihood ratio of "more frequent among positives"; chance finds of a small sample stay out of the features.
-    expect = lambda n: (F.col("p") + F.col("u")) * (n / (n_p + n_u))
-    gain = 2 * (F.col("p") * F.log(F.col("p") / expect(n_p)) + F.when(F.col("u") > 0, F.col("u") * F.log(F.col("u") / expect(n_u))).otherwise(0.0))
+    counted = sample.mapInArrow(_count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
     rises = F.col("p") * n_u > F.col("u") * n_p
-    counted = sample.select("text", "positive").mapInArrow(_count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
-    best = counted.withColumn("gain", gain).where(rises & (F.col("gain") >= SIGNIFICANT)).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
-    names = sorted(distinct_forms({r["feature"]: r["p"] for r in best}))
-    data = sample.select("text", "positive", "doc_id").mapInArrow(_numbered({f: i for i, f in enumerate(names)}), "positive boolean, found array<int>").collect()
-    docs = sorted((r["positive"], list(r["found"])) for r in data)
-    w, bias = train([np.array(f, np.int64) for y, f in docs if y], [np.array(f, np.int64) for y, f in docs if not y], len(names), prior)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}, float(bias))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of these names are replaced, all rows stay."""
+    # Few features with a p of LEAST or more rise at all; the most frequent of them are the candidates.
+    seen = counted.where(rises).orderBy(F.desc(F.col("p") * n_u - F.col("u") * n_p), "feature").limit(8 * SCREENED).toArrow()
+    table = {k: seen.column(k).to_numpy(zero_copy_only=False) for k in ("feature", "p", "u")}
+    gain = gains(table["p"], table["u"], n_p, n_u)
+    order = [i for i in np.lexsort((table["feature"].astype(str), -gain)) if gain[i] >= LIKELY][:SCREENED]
+    names, count_p = [str(table["feature"][i]) for i in order], table["p"][order]
+    numbers = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    found = scratch.table(ids.select("text").mapInArrow(_numbered(numbers), "found array<int>"), "found")
+    counts = np.zeros(len(names) + 1)
+    for r in found.mapInArrow(_frequencies(len(names)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        counts[r["place"]] = r["n"]
+    # Shares of all training texts, in units of the first guess's sample, so that the significance asked for stays the same.
+    gain = gains(count_p, counts[:-1] / max(counts[-1], 1) * n_u, n_p, n_u)
+    best = [i for i in np.lexsort((names, -gain)) if gain[i] >= SIGNIFICANT][:FEATURES]
+    chosen = sorted(distinct_forms({names[i]: int(count_p[i]) for i in best}))
+    at = {f: i for i, f in enumerate(names)}
+    place = np.full(len(names) + 1, len(chosen), np.int64)
+    place[[at[f] for f in chosen]] = np.arange(len(chosen))
+    final = spark.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+    docs = sorted((r["positive"], list(r["found"])) for r in sample.select("positive", "text").mapInArrow(_numbered(final), "positive boolean, found array<int>").collect())
+    p_docs, u_docs = [np.array(f, np.int64) for y, f in docs if y], [np.array(f, np.int64) for y, f in docs if not y]
+    w, bias = train(p_docs, u_docs, len(chosen), prior)
+    p_rows = pa.array([d.tolist() for d in p_docs], pa.list_(pa.int32()))
+    seen_p = np.bincount(flat(p_rows)[1], minlength=len(chosen))
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((w, bias, place))
+        total = np.zeros(2 * (len(w) + 1) + 2)
+        for r in found.mapInArrow(_sums(shared), "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            total[r["place"]] = r["n"]
+        own = sums(w, bias, np.arange(len(chosen) + 1), [p_rows])
+        w, bias = step(w, bias, np.concatenate([own, seen_p]), total, prior)
+        shared.unpersist()
+    scratch.drop(marked, sample, found)
+    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, float(bias))
+
+
+def score(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of the names given are replaced, all rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(score, predicted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             s = [m.score(t.as_py()) for t in b.column("text")]
-            yield b.append_column("score", pa.array(s, pa.float64())).append_column("predicted", pa.array([int(x >= 0.5) for x in s], pa.int32()))
+            yield b.append_column(score, pa.array(s, pa.float64())).append_column(predicted, pa.array([int(x >= 0.5) for x in s], pa.int32()))
 
-    return kept.mapInArrow(run, with_fields(kept, score=T.DoubleType(), predicted=T.IntegerType()))
+    return kept.mapInArrow(run, with_fields(kept, **{score: T.DoubleType(), predicted: T.IntegerType()}))
