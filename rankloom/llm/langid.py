@@ -148,8 +148,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model from rows (doc_id, text, lang); null langs and texts and null ids teach nothing.
 
-    ``per_lang`` bounds the labelled rows of a language that the classifier is fitted on; they are drawn by a hash of the
-    id. Document frequencies count all rows given.
+    ``per_lang`` bounds the labelled rows of a language that the classifier is fitted on; they are drawn by a hash of id
+    and text, and rows that repeat id, text and lang are drawn once. Document frequencies count all rows given.
     """
     known = rows.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -164,9 +164,16 @@ def fit(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
         else:
             df[r["bucket"]] = r["n"]
     idf = np.where(df > 0, np.log((1 + docs) / (1 + df)) + 1, 0.0)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = known.withColumn("pick", pick).where(F.col("pick") < share).select("lang", "pick", "text").mapInArrow(_sparse, "lang string, pick double, at binary, share binary").collect()
+    # The draw is made on distinct keys without texts, so that it is bounded whatever repeats.
+    key = ["lang", "doc_id", "hash"]
+    keyed = known.withColumn("hash", F.xxhash64("text"))
+    distinct = keyed.select(*key).distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in sizes.items()])
+    pick = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1_000_003)) / 1_000_003.0
+    drawn = distinct.withColumn("pick", pick).where(F.col("pick") < share)
+    rows = keyed.join(F.broadcast(drawn), key).groupBy(*key, "pick").agg(F.first("text").alias("text"))
+    sample = rows.select("lang", "pick", "text").mapInArrow(_sparse, "lang string, pick double, at binary, share binary").collect()
     sample.sort(key=lambda r: (r["pick"], r["lang"], bytes(r["at"])))
     data = [(np.append(at := np.frombuffer(r["at"], "<i4"), BUCKETS), np.append(SCALE * np.frombuffer(r["share"], "<f4") * idf[at], 1.0), langs.index(r["lang"])) for r in sample]
     last = [k for k in range(len(data)) if k % round(1 / CALIBRATE) == 1]
@@ -176,18 +183,18 @@ def fit(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, (w * idf[:, None] * SCALE).astype(np.float32), bias, t)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced, all rows stay.
+def classify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its probability; columns of the names given are replaced, all rows stay.
 
     Null texts and texts without a letter get ``und`` and 0; so does every text if no language was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(lang, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             out = [m.predict(t.as_py()) for t in b.column("text")]
-            yield b.append_column("lang_pred", pa.array([x for x, _ in out], pa.string())).append_column("score", pa.array([y for _, y in out], pa.float64()))
+            yield b.append_column(lang, pa.array([x for x, _ in out], pa.string())).append_column(score, pa.array([y for _, y in out], pa.float64()))
 
-    return kept.mapInArrow(run, with_fields(kept, lang_pred=T.StringType(), score=T.DoubleType()))
+    return kept.mapInArrow(run, with_fields(kept, **{lang: T.StringType(), score: T.DoubleType()}))
