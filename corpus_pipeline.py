@@ -10,33 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, langid, mixing, simhash, toxicity
-from rankloom.llm.common import Scratch, held_out, table
+from rankloom.llm.common import Scratch, free, held_out, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told: null texts and texts without a letter go."""
+    """Keep documents whose language can be told: null texts and texts without a letter go.
+
+    Repeated rows, ties and null ids stay; every column of ``docs`` keeps its values whatever its name; an empty table
+    gives an empty one. Without any labelled row no language can be told, and every row goes.
+    """
     model = langid.fit(docs.where(~held_out("doc_id", 3, 1)).select("doc_id", "text", "lang"))
-    return langid.classify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    lang, score = free(docs.columns, "lang_pred", "score")
+    return langid.classify(docs, model, lang, score).where(F.col(lang) != langid.UNDETERMINED).drop(lang, score)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the classifier of confirmed toxic examples and unlabelled text doesn't call toxic."""
+    """Keep documents that the classifier of confirmed toxic examples and unlabelled text doesn't call toxic.
+
+    Null and empty texts have the classifier's base score, and stay; so do repeated rows and null ids. Every column of
+    ``docs`` keeps its values whatever its name; an empty table gives an empty one. Without toxic training rows all stay.
+    """
     model = toxicity.fit(docs.where(~held_out("doc_id", 5, 0)).select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    score, predicted = free(docs.columns, "score", "predicted")
+    return toxicity.score(docs, model, score, predicted).where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one with the smallest doc_id."""
+    """Keep one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Null, empty and white-space texts are one group. Ties, repeated rows and null ids: :func:`simhash.keep_first`. Every
+    column keeps its values whatever its name; an empty table gives an empty one.
+    """
     return simhash.keep_first(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's rows: a row of a document's taken words for each pass over its source that takes any."""
+    """The mix's rows: a row of a document's taken words for each pass over its source that takes any.
+
+    Texts without words give no row; null sources are one source; repeated rows are documents of their own. text and
+    n_chars follow the words taken, other columns keep their values; an empty table gives an empty one.
+    """
     return mixing.Mix(docs, keep=True).documents()
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix, repeated rows and null ids included.
+
+    A null text is empty; columns of ``docs`` with the result's names play no part; an empty table gives an empty one.
+    """
     return bpe.encode_decode(docs)
 
 
