@@ -96,3 +96,67 @@ def test_a_row_repeated_often_leaves_room_for_others(spark):
     for q in (0, 1):
         want = sorted((-float(np.dot(rows[q][1], v)), i) for i, v in best if i != q)[:10]
         assert sorted(got[q]) == [(n + 1, i) for n, (_, i) in enumerate(want)]
+
+
+def found_by(df, asks, **knobs):
+    got = {}
+    for r in ann.search(df, asks, **knobs).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(rows) for q, rows in got.items()}
+
+
+def test_recall_at_production_constants(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(300, 32))
+    x = centres[rng.integers(0, 300, 20_000)] + rng.normal(size=(20_000, 32)) * 0.6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found_by(df, F.col("vec_id") % 100 == 0)
+    q = x[::100]
+    truth = np.argsort(-(q @ x.T) + np.where(np.arange(200)[:, None] * 100 == np.arange(20_000)[None, :], np.inf, 0), axis=1)[:, :20]
+    hits = sum(len({v for _, v, _ in got[100 * k]} & set(t.tolist())) for k, t in enumerate(truth))
+    assert hits / (20 * 200) >= 0.93
+
+
+def test_huge_tiny_and_outlying_vectors(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 8))
+    for scale in (1e200, 1e-200, 1e6):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, (x[0] * scale).tolist())]
+        got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=10, per_list=20)
+        with np.errstate(over="ignore"):
+            want = brute(rows, lambda i: i % 20 == 0, 10)
+        assert got.keys() == want.keys() and all(len(r) == 10 for r in got.values())
+        assert sum(len({v for _, v, _ in got[i]} & set(want[i])) for i in want) >= 0.95 * 10 * len(want)
+
+
+def test_an_outlier_leaves_pruning_as_it_is():
+    counts = [(64, 0, 100_000), (64, 1, 500), (64, -1, 2000), (64, 20, 1), (64, 664, 1), (3, 0, 10)]
+    bands = ann.bands_of(counts)
+    assert [(b.dim, b.low, b.high, b.n) for b in bands] == [(64, 664, 664, 1), (64, 20, 20, 1), (64, -1, 1, 102_500), (3, 0, 0, 10)]
+    many = ann.bands_of([(2, 10 * e, 5 + e) for e in range(-30, 30)])
+    assert len(many) == ann.MOST_BANDS and sum(b.n for b in many) == sum(5 + e for e in range(-30, 30))
+
+
+def test_other_lengths_and_ids_that_ask_twice(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))] + [(100 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(5, 3)))]
+    rows += [(20, [9.0, 9.0, 9.0, 9.0]), (20, [-9.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [found_by(d, F.col("vec_id").isin(100, 20), k=4) for d in (df, df.repartition(5))]
+    assert got[0] == got[1] and {v for _, v, _ in got[0][100]} == {101, 102, 103, 104} and len(got[0][20]) == 4
+
+
+def test_a_small_beam_finds_what_a_scan_finds():
+    rng = np.random.default_rng(15)
+    c, x = rng.normal(size=(500, 6)), rng.normal(size=(50, 6))
+    g, sizes = ann.Graph.build(c), rng.integers(1, 50, 500)
+    d = np.sqrt(((c[None] - x[:, None]) ** 2).sum(axis=2))
+    for need in (0, 300):
+        order = np.argsort(d, axis=1)
+        reach = (np.cumsum(sizes[order], axis=1) < need).sum(axis=1)
+        low = np.take_along_axis(d, order, 1)[np.arange(50), reach]
+        want = set(zip(*np.nonzero(d <= low[:, None] * 1.3), strict=True))
+        for beam in (4, 64, 1000):
+            rows, lists = g.nearest(x, 0.3, None, sizes, need, beam=beam)
+            assert len(want - set(zip(rows, lists, strict=True))) <= 0.05 * len(want) and set(zip(rows, lists, strict=True)) <= want
