@@ -47,7 +47,23 @@ def test_against_all_pairs(spark):
 
 
 def test_plan_misses_few():
+    """Pairs at the threshold, as random signs give them, meet in a table and pass the mark."""
+    rng = np.random.default_rng(3)
     for n in (1, 500, 10**6, 10**10):
-        bits, tables = neardup.plan(n)
-        agree = (1 - np.arccos(0.95) / np.pi) ** bits
-        assert (1 - agree) ** tables <= neardup.MISS
+        bits, tables, most = neardup.plan(n)
+        mask = neardup.masks(neardup.subsets(bits, tables, 1))
+        differ = rng.random((4000, neardup.WIDTH)) < np.arccos(0.95) / np.pi
+        x = np.packbits(differ, axis=1).view(np.uint64)
+        met = np.any([((x & m) == 0).all(axis=1) for m in mask], axis=0)
+        assert met.mean() >= 0.999 and (differ.sum(axis=1) <= most).all()
+
+
+def test_marks_and_links_of_a_large_group(spark):
+    """A third of the vectors within one ball: every pair of them links, and is counted once."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=24)
+    rows = [(i, (base + rng.normal(size=24) * 0.03).tolist()) for i in range(150)] + [(1000 + i, rng.normal(size=24).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(brute(rows, 0.95))
+    for knobs in ({}, {"rows": 16}):
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in neardup.near_duplicates(df, **knobs).collect()) == want
