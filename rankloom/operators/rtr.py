@@ -59,24 +59,53 @@ class Ranker:
     def stage1(self, df: DataFrame) -> DataFrame:
         return T.apply(df, self.trees, self.keys)
 
+    def measured(self, df: DataFrame, learned: bool = True, euclid: bool = False) -> DataFrame:
+        """Each row of ``df`` (with leaf and score) with the training rows of its leaf: neighbour, value, d, rank, pair_leaf by
+        the learned distance, e and euclid_rank by Euclid's. The product is made once, and both ranks share its shuffle.
+
+        The distance trees join on the keys of the product, so its partitioning serves both.
+        """
+        learned, euclid = learned and self.distances is not None, euclid or self.distances is None
+        own = [c for c in ("qid", "doc_id") if c not in self.leaf_keys]
+        named = [] if "qid" in self.leaf_keys else ["neighbour_qid"]
+        train = self.store.select(*self.leaf_keys, *[F.col("qid").alias(c) for c in named], F.col("doc_id").alias("neighbour"), F.col("features").alias("_g"), "value")
+        rows = df.select(*self.leaf_keys, *own, F.col("features").alias("_f"))
+        met = rows.join(train, self.leaf_keys)
+        by, cells = list(dict.fromkeys([*self.leaf_keys, "qid", "doc_id"])), []
+        if learned:
+            met = T.apply(met.withColumn("features", vectors.pair_features(F.col("_f"), F.col("_g"), self.config.use)), self.distances, self.pair_keys, "d", "pair_leaf")
+            cells += ["pair_leaf", "d"]
+        if euclid:
+            met = met.withColumn("e", vectors.euclid(F.col("_f"), F.col("_g")))
+            cells.append("e")
+        met = met.select(*by, *named, "neighbour", "value", *cells)
+        rank = lambda c: F.row_number().over(W.partitionBy(*by).orderBy(F.round(c, 9), *named, "neighbour")).cast("long")
+        ranks = {"rank": "d"} if learned else {}
+        ranks |= {"euclid_rank": "e"} if euclid else {}
+        near = F.lit(False)
+        for name, distance in ranks.items():
+            met = met.withColumn(name, rank(distance))
+            near |= F.col(name) <= self.config.k
+        return met.where(near)
+
     def neighbours(self, df: DataFrame, euclid: bool = False) -> DataFrame:
         """The k nearest training rows of each row of ``df`` (with leaf and score): neighbour, value, d, rank."""
-        own = [c for c in ("qid", "doc_id") if c not in self.leaf_keys]
-        train = self.store.select(*self.leaf_keys, *([] if "qid" in self.leaf_keys else [F.col("qid").alias("neighbour_qid")]), F.col("doc_id").alias("neighbour"), F.col("features").alias("_g"), "value")
-        met = df.select(*self.leaf_keys, *own, F.col("features").alias("_f")).join(train, self.leaf_keys)
         if euclid or self.distances is None:
-            met = met.withColumn("d", vectors.euclid(F.col("_f"), F.col("_g")))
-        else:
-            met = met.withColumn("features", vectors.pair_features(F.col("_f"), F.col("_g"), self.config.use))
-            met = T.apply(met, self.distances, self.pair_keys, "d", "pair_leaf").drop("features")
-        order = W.partitionBy(*dict.fromkeys([*self.leaf_keys, "qid", "doc_id"])).orderBy("_near", *([] if "qid" in self.leaf_keys else ["neighbour_qid"]), "neighbour")
-        ranked = met.withColumn("_near", F.round("d", 9)).withColumn("rank", F.row_number().over(order).cast("long"))
-        return ranked.where(F.col("rank") <= self.config.k).drop("_f", "_g", "_near")
+            return self.measured(df, learned=False, euclid=True).withColumnsRenamed({"e": "d", "euclid_rank": "rank"})
+        return self.measured(df)
 
     @property
     def pair_keys(self) -> list[str]:
         return self.leaf_keys
 
+    def predict_each(self, df: DataFrame, ks: Sequence[int]) -> DataFrame:
+        """``df`` with leaf, score and full_<k> for each number of neighbours up to the configuration's: ranked once."""
+        base = cut(self.stage1(df))
+        by = list(dict.fromkeys([*self.keys, "qid", "doc_id"]))
+        means = self.neighbours(base).groupBy(*by).agg(*[F.avg(F.when(F.col("rank") <= k, F.col("value"))).alias(f"_{k}") for k in dict.fromkeys(ks)])
+        out = base.join(means, by, "left")
+        return out.withColumns({f"full_{k}": F.col("score") + F.coalesce(f"_{k}", F.lit(0.0)) for k in ks}).drop(*[f"_{k}" for k in ks])
+
     def predict(self, df: DataFrame, euclid: bool = True) -> DataFrame:
         """``df`` with leaf, score, correction, full, and with ``euclid`` also euclid: score plus the Euclid correction.
 
@@ -85,12 +114,13 @@ class Ranker:
         base = cut(self.stage1(df))
         by = list(dict.fromkeys([*self.keys, "qid", "doc_id"]))
 
-        def mean(near: DataFrame, name: str) -> DataFrame:
-            return near.groupBy(*by).agg(F.avg("value").alias(name))
-
-        out = base.join(mean(self.neighbours(base), "correction"), by, "left").withColumn("correction", F.coalesce("correction", F.lit(0.0)))
+        near = self.measured(base, euclid=euclid)
+        by_rank = lambda c: F.avg(F.when(F.col(c) <= self.config.k, F.col("value")))
+        learned = by_rank("rank" if self.distances is not None else "euclid_rank").alias("correction")
+        means = near.groupBy(*by).agg(learned, *([by_rank("euclid_rank").alias("_e")] if euclid else []))
+        out = base.join(means, by, "left").withColumn("correction", F.coalesce("correction", F.lit(0.0)))
         if euclid:
-            out = out.join(mean(self.neighbours(base, True), "_e"), by, "left").withColumn("euclid", F.col("score") + F.coalesce("_e", F.lit(0.0))).drop("_e")
+            out = out.withColumn("euclid", F.col("score") + F.coalesce("_e", F.lit(0.0))).drop("_e")
         return out.withColumn("full", F.col("score") + F.col("correction"))
 
 

@@ -21,21 +21,47 @@ def path_of(node: Column) -> Column:
     return F.concat(F.lit("R"), F.translate(F.substring(F.bin(node), 2, 64), "01", "lr"))
 
 
-def best_splits(rows: DataFrame, keys: Sequence[str], target: str = "target", min_split: int = 2) -> DataFrame:
+#: Ranges that the values of a feature are cut into where few models share a job.
+RANGES = 512
+
+
+def _running(sums: DataFrame, group: list[str], ranges: int) -> DataFrame:
+    """``sums`` (group.., v, n, s) with sums up to v (nl, sl), of the group (tn, ts), and the value after v (next).
+
+    With ranges, values are cut into as many of equal width, whose sums are added up first, so that a group with many
+    values is as many tasks; the result is the same.
+    """
+    if ranges <= 1:
+        each = W.partitionBy(*group)
+        left = each.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+        return sums.select(*group, "v", F.sum("n").over(left).alias("nl"), F.sum("s").over(left).alias("sl"), F.sum("n").over(each).alias("tn"), F.sum("s").over(each).alias("ts"), F.lead("v").over(each.orderBy("v")).alias("next"))
+    ends = sums.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("tn"), F.sum("s").alias("ts"))
+    at = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * ranges), F.lit(ranges - 1)), F.lit(0))
+    cells = sums.join(ends, group).withColumn("cell", at)
+    per = cells.groupBy(*group, "cell").agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"), F.min("v").alias("first"))
+    order = W.partitionBy(*group).orderBy("cell")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    before = per.select(*group, "cell", (F.sum("cn").over(upto) - F.col("cn")).alias("n0"), (F.sum("cs").over(upto) - F.col("cs")).alias("s0"), F.lead("first").over(order).alias("after"))
+    inner = W.partitionBy(*group, "cell").orderBy("v")
+    left = inner.rowsBetween(W.unboundedPreceding, 0)
+    met = cells.select("*", F.sum("n").over(left).alias("il"), F.sum("s").over(left).alias("is"), F.lead("v").over(inner).alias("in")).join(before, [*group, "cell"])
+    return met.select(*group, "v", (F.col("n0") + F.col("il")).alias("nl"), (F.col("s0") + F.col("is")).alias("sl"), "tn", "ts", F.coalesce("in", "after").alias("next"))
+
+
+def best_splits(rows: DataFrame, keys: Sequence[str], target: str = "target", min_split: int = 2, ranges: int | None = None) -> DataFrame:
     """keys.., node, feature, threshold, gain: the best split of each node that has one.
 
-    ``rows``: keys.., node, features and the target. Gains are compared to nine decimals.
+    ``rows``: keys.., node, features and the target. Gains are compared to nine decimals. A single model (no keys) has its
+    values cut into ranges.
     """
     by = [*keys, "node"]
     long = rows.select(*by, F.col(target).alias("_t"), F.posexplode("features").alias("f", "v"))
     sums = long.groupBy(*by, "f", "v").agg(F.count("*").alias("n"), F.sum("_t").alias("s"))
-    each = W.partitionBy(*by, "f")
-    left = each.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    at = sums.select(*by, "f", "v", F.sum("n").over(left).alias("nl"), F.sum("s").over(left).alias("sl"), F.sum("n").over(each).alias("n"), F.sum("s").over(each).alias("s"), F.lead("v").over(each.orderBy("v")).alias("next"))
-    gain = F.col("sl") * F.col("sl") / F.col("nl") + F.try_divide((F.col("s") - F.col("sl")) * (F.col("s") - F.col("sl")), F.col("n") - F.col("nl")) - F.col("s") * F.col("s") / F.col("n")
-    fit = at.where((F.col("n") >= min_split) & F.col("next").isNotNull()).withColumn("gain", F.round(gain, 9)).where("gain > 0")
-    best = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("gain"), "f", "v"))
-    return fit.withColumn("_rn", best).where("_rn = 1").select(*by, F.col("f").cast("int").alias("feature"), ((F.col("v") + F.col("next")) / 2).alias("threshold"), "gain")
+    at = _running(sums, [*by, "f"], ranges if ranges is not None else 1 if keys else RANGES)
+    gain = F.col("sl") * F.col("sl") / F.col("nl") + F.try_divide((F.col("ts") - F.col("sl")) * (F.col("ts") - F.col("sl")), F.col("tn") - F.col("nl")) - F.col("ts") * F.col("ts") / F.col("tn")
+    fit = at.where((F.col("tn") >= min_split) & F.col("next").isNotNull()).withColumn("gain", F.round(gain, 9)).where("gain > 0")
+    first = F.min(F.struct((-F.col("gain")).alias("loss"), "f", "v", "next")).alias("b")
+    return fit.groupBy(*by).agg(first).select(*by, F.col("b.f").cast("int").alias("feature"), ((F.col("b.v") + F.col("b.next")) / 2).alias("threshold"), (-F.col("b.loss")).alias("gain"))
 
 
 def grow(rows: DataFrame, keys: Sequence[str], depth: int, target: str = "target", min_split: int = 2, max_leaves: int | None = None) -> DataFrame:
@@ -45,22 +71,21 @@ def grow(rows: DataFrame, keys: Sequence[str], depth: int, target: str = "target
     """
     keys = list(keys)
     by = [*keys, "node"]
-    # Every level reads the rows again; what they come from is computed once.
-    at = cut(rows.select(*keys, "features", target)).withColumn("node", F.lit(1).cast("long"))
+    # Every level reads the rows again; what they come from is computed once. A row finds its node by one walk down the
+    # splits so far, which are one small map a model, so that a level joins once and no level repeats those before it.
+    rows = cut(rows.select(*keys, "features", target))
+    at = rows.withColumn("node", F.lit(1).cast("long"))
     levels = [best_splits(at, keys, target, min_split).limit(0)]
+    splits = levels[0]
     for level in range(depth):
-        front = at.where(F.col("node") >= 2**level)
-        splits = best_splits(front, keys, target, min_split)
+        found = best_splits(at.where(F.col("node") >= 2**level), keys, target, min_split)
         if max_leaves is not None:
-            splits = _within(splits, levels, keys, max_leaves)
-        splits = cut(splits)
-        levels.append(splits)
-        moved = at.join(splits.drop("gain"), by, "left")
-        right = F.element_at("features", F.col("feature") + 1) > F.col("threshold")
-        at = moved.withColumn("node", F.when(F.col("feature").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("long"))).drop("feature", "threshold")
-    splits = levels[0]
-    for more in levels[1:]:
-        splits = splits.unionByName(more)
+            found = _within(found, levels, keys, max_leaves)
+        levels.append(cut(found))
+        splits = splits.unionByName(levels[-1])
+        maps = compact(splits.select(*by, "feature", "threshold", F.lit(0.0).alias("prediction"), F.lit(level + 1).alias("depth")), keys)
+        met = rows.join(maps, keys, "left") if keys else rows.crossJoin(F.broadcast(maps))
+        at = met.withColumn("node", F.coalesce(leaf_node(F.col("tree"), F.col("levels"), F.col("features")), F.lit(1).cast("long"))).drop("tree", "levels")
     leaves = at.groupBy(*by).agg(F.count("*").alias("n"), F.sum(target).alias("s"))
     # Inner nodes get the sums of the leaves below them.
     up = leaves.select(*keys, "n", "s", F.explode(F.expr(f"transform(sequence(0, {depth}), d -> shiftright(node, d))")).alias("node")).where("node > 0")
@@ -90,7 +115,7 @@ def leaf_node(tree: Column, levels: Column, features: Column) -> Column:
     """The leaf of a row, by a walk down its model's map."""
 
     def step(node: Column, _: Column) -> Column:
-        s = tree[node]
+        s = F.try_element_at(tree, node)
         return F.when(s["feature"].isNull(), node).otherwise(2 * node + (F.element_at(features, s["feature"] + 1) > s["threshold"]).cast("long"))
 
     return F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), F.lit(1).cast("long"), step)).otherwise(F.lit(1).cast("long"))

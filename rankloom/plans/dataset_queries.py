@@ -58,8 +58,23 @@ SELECT qid, doc_id, CASE WHEN n < 3 OR place <= floor(n * 0.5::DOUBLE) THEN 'tra
 
 @query("preprocess_pipeline", PIPE)
 def preprocess_pipeline(spark, sf):
-    df = D.cap_items(D.first_queries(D.min_group(L.event_lists(spark, sf), 10), 500), 400)
-    return S.holdout_per_query(df, 0.5, 0.2).select("qid", "doc_id", "split")
+    return L.preprocess(L.event_lists(spark, sf)).select("qid", "doc_id", "split")
+
+
+@query("query_range", f"WITH {EV} SELECT qid, doc_id FROM ev WHERE qid BETWEEN 20 AND 60")
+def query_range(spark, sf):
+    return L.query_range(L.event_lists(spark, sf), 20, 60).select("qid", "doc_id")
+
+
+@query("rows_at", f"WITH {EV}, p AS (SELECT qid, doc_id, row_number() OVER (ORDER BY qid, doc_id) - 1 AS pos FROM ev) SELECT qid, doc_id FROM p WHERE pos IN (0, 5, 333, (SELECT count(*) - 1 FROM ev))")
+def rows_at(spark, sf):
+    return L.rows_at(L.event_lists(spark, sf), [0, 5, 333, -1]).select("qid", "doc_id")
+
+
+@query("from_wide", "SELECT l_suppkey AS qid, CAST(l_linenumber AS DOUBLE) AS y, l_quantity + 0.0 AS f0, l_tax + 0.0 AS f1 FROM lineitem")
+def from_wide(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("qid"), F.col("l_linenumber").alias("label"), F.col("l_quantity").alias("1"), F.col("l_tax").alias("2"))
+    return L.from_wide(li).select("qid", "y", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
 
 
 # -- filters and samples ------------------------------------------------------------------------------------------

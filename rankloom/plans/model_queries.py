@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import text, vectors
+from rankloom.operators import experiments as X
 from rankloom.operators import metrics as M
 from rankloom.operators import pairs as P
 from rankloom.operators import rtr as R
@@ -509,29 +510,86 @@ def best_results_view(spark, sf):
     return selection_rows(spark, sf).select("query", F.size("results").cast("long").alias("k"), at(1).alias("train"), at(2).alias("valid"), at(3).alias("test")).orderBy("query", F.desc("k"))
 
 
-def grid_scores(spark, sf):
-    """NDCG of Euclid rankers over folds: every fold and configuration is a model of one job."""
-    df = splits.query_kfold(L.event_lists(spark, sf), 3)
-    folds = df.select(F.col("fold").alias("test_fold")).distinct()
-    all_ = df.crossJoin(F.broadcast(folds)).withColumn("model_key", F.struct("test_fold", "qid").cast("string"))
-    train, test = all_.where("fold <> test_fold"), all_.where("fold = test_fold")
-    out = None
-    for k in (3, 7):
-        p = R.fit(train, R.Config(depth=1, distance_depth=None, k=k)).predict(test, euclid=False)
-        part = M.ndcg(p, "full", 10, ["test_fold", "qid"]).withColumn("config", F.lit(k).cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out
+GRID = [R.Config(depth=1, distance_depth=None, k=3), R.Config(depth=1, distance_depth=None, k=7)]
+SIZES = [1, 8]
 
 
-@query("config_kfold_score")
+def groups_sql(sizes, source="ev"):
+    """CTE ``ba``: qxm, batch, qid, batches whose sizes differ by one at most."""
+    part = lambda n: f"SELECT {n}::BIGINT AS qxm, qid, CASE WHEN place < (n % k) * (n // k + 1) THEN place // (n // k + 1) ELSE n % k + (place - (n % k) * (n // k + 1)) // (n // k) END AS batch FROM (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS place, count(*) OVER () AS n, CAST(ceil(count(*) OVER () / {n}.0) AS BIGINT) AS k FROM (SELECT DISTINCT qid FROM {source}))"
+    return f"ba AS ({' UNION ALL '.join(map(part, sizes))})"
+
+
+def euclid_sql(p, train, test, ks=(3, 7), depth=1):
+    """CTEs up to {p}sc: m, qid, doc_id, y, k, s, the score with the mean of the k nearest in the leaf, for models m."""
+    return f"""{tree_sql(p, train, ['m'], E2, 'y', depth)}, {p}pp AS (SELECT m, node, avg(y) AS p FROM {p}r{depth} GROUP BY m, node), {walk_sql(p, p + 'w', test, ['m'], E2, depth)},
+{p}st AS (SELECT r.m, r.qid, r.doc_id, r.f0, r.f1, r.node, y - p AS value FROM {p}r{depth} r JOIN {p}pp t ON r.m = t.m AND r.node = t.node),
+{p}te AS (SELECT r.m, r.qid, r.doc_id, r.y, r.f0, r.f1, r.node, p AS score FROM {p}w{depth} r JOIN {p}pp t ON r.m = t.m AND r.node = t.node),
+{p}nn AS (SELECT a.m, a.qid, a.doc_id, b.value, row_number() OVER (PARTITION BY a.m, a.qid, a.doc_id ORDER BY round(sqrt((a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1)), 9), b.qid, b.doc_id) AS rank FROM {p}te a JOIN {p}st b ON a.m = b.m AND a.node = b.node),
+{p}ks AS (SELECT unnest({list(ks)})::BIGINT AS k), {p}co AS (SELECT m, qid, doc_id, k, avg(value) AS c FROM {p}nn, {p}ks WHERE rank <= k GROUP BY ALL),
+{p}sc AS (SELECT t.m, t.qid, t.doc_id, t.y, x.k, round(t.score + coalesce(c.c, 0), 9) AS s FROM {p}te t CROSS JOIN {p}ks x LEFT JOIN {p}co c ON c.m = t.m AND c.qid = t.qid AND c.doc_id = t.doc_id AND c.k = x.k)"""
+
+
+def grid_sql(source="ev", folds=3, sizes=SIZES):
+    """CTEs up to ``sc``: qxm, batch, fold, k, qid, ndcg of every fold and configuration."""
+    return f"""{groups_sql(sizes, source)}, fo AS (SELECT *, ntile({folds}) OVER (PARTITION BY qid ORDER BY doc_id) - 1 AS fold FROM {source}),
+al AS (SELECT {{'qxm': qxm, 'batch': batch, 'f': t.f}} AS m, t.f, fo.* FROM fo JOIN ba ON fo.qid = ba.qid CROSS JOIN (SELECT unnest(range({folds})) AS f) t), tr_ AS (SELECT * FROM al WHERE fold <> f), te_ AS (SELECT * FROM al WHERE fold = f),
+{euclid_sql('g', 'tr_', 'te_')}, gq AS (SELECT {{'m': m, 'k': k, 'qid': qid}} AS qid, doc_id, y, s FROM gsc), {ndcg_sql([10], 'gq', 's')},
+sc AS (SELECT ndcg.qid.m.qxm AS qxm, ndcg.qid.m.batch AS batch, ndcg.qid.m.f AS fold, ndcg.qid.k AS k, ndcg FROM ndcg),
+re AS (SELECT qxm, batch, k, round(avg(x), 9) AS result FROM (SELECT qxm, batch, k, fold, avg(ndcg) AS x FROM sc GROUP BY ALL) GROUP BY ALL),
+be AS (SELECT qxm, batch, k, result, CASE WHEN k = 3 THEN 0 ELSE 1 END AS idx FROM re QUALIFY row_number() OVER (PARTITION BY qxm, batch ORDER BY result DESC, k) = 1)"""
+
+
+@query("config_kfold_score", f"WITH {EV}, {grid_sql()} SELECT qxm, k, fold, round(avg(x), 6) AS ndcg FROM (SELECT qxm, batch, k, fold, avg(ndcg) AS x FROM sc GROUP BY ALL) GROUP BY ALL")
 def config_kfold_score(spark, sf):
-    return grid_scores(spark, sf).groupBy("config", F.col("test_fold").cast("long").alias("fold")).agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    df = L.event_lists(spark, sf)
+    k = F.when(F.col("idx") == 0, GRID[0].k).otherwise(GRID[1].k).cast("long")
+    return X.cross_validated(df, X.query_groups(df, SIZES), GRID).groupBy("qxm", k.alias("k"), "fold").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
-@query("model_selection")
+@query("model_selection", f"WITH {EV}, {grid_sql()} SELECT qxm, batch, idx::INT AS idx_best, round(result, 6) AS result FROM be")
 def model_selection(spark, sf):
-    mean = grid_scores(spark, sf).groupBy("qid", "config").agg(F.round(F.avg("ndcg"), 9).alias("result"))
-    return S.argmax(mean, ["qid"], "result", "config").select("qid", "config", F.round("result", 6).alias("result"))
+    table = X.model_selection(L.event_lists(spark, sf), SIZES, GRID)
+    return table.select("qxm", "batch", "idx_best", F.round(F.array_max("results"), 6).alias("result"))
+
+
+HELD = "hs AS (SELECT *, ntile(4) OVER (PARTITION BY qid ORDER BY doc_id) AS part FROM ev), ht AS (SELECT * EXCLUDE part FROM hs WHERE part < 4), hv AS (SELECT * EXCLUDE part FROM hs WHERE part = 4)"
+
+
+def held(spark, sf):
+    """Three quarters of each query's documents, and the last quarter."""
+    df = splits.query_kfold(L.event_lists(spark, sf), 4)
+    return df.where("fold < 3").drop("fold"), df.where("fold = 3").drop("fold")
+
+
+@query("holdout_selection", f"""WITH {EV}, {HELD}, {groups_sql(SIZES, 'ht')}, tr_ AS (SELECT {{'qxm': qxm, 'batch': batch}} AS m, ht.* FROM ht JOIN ba ON ht.qid = ba.qid), te_ AS (SELECT {{'qxm': qxm, 'batch': batch}} AS m, hv.* FROM hv JOIN ba ON hv.qid = ba.qid),
+{euclid_sql('g', 'tr_', 'te_')}, gq AS (SELECT {{'m': m, 'k': k, 'qid': qid}} AS qid, doc_id, y, s FROM gsc), {ndcg_sql([10], 'gq', 's')},
+re AS (SELECT ndcg.qid.m.qxm AS qxm, ndcg.qid.m.batch AS batch, ndcg.qid.k AS k, round(avg(ndcg), 9) AS result FROM ndcg GROUP BY ALL)
+SELECT qxm, batch, CASE WHEN k = 3 THEN 0 ELSE 1 END::INT AS idx_best, round(result, 6) AS result FROM re QUALIFY row_number() OVER (PARTITION BY qxm, batch ORDER BY result DESC, k) = 1""")
+def holdout_selection(spark, sf):
+    train, valid = held(spark, sf)
+    table = X.model_selection(train, SIZES, GRID, folds=None, valid=valid)
+    return table.select("qxm", "batch", "idx_best", F.round(F.array_max("results"), 6).alias("result"))
+
+
+@query("final_retrain", f"""WITH {EV}, {HELD}, {grid_sql('ht')},
+fr AS (SELECT {{'qxm': be.qxm, 'batch': be.batch}} AS m, ht.* FROM ht JOIN ba ON ht.qid = ba.qid JOIN be ON be.qxm = ba.qxm AND be.batch = ba.batch), fv AS (SELECT {{'qxm': be.qxm, 'batch': be.batch}} AS m, hv.* FROM hv JOIN ba ON hv.qid = ba.qid JOIN be ON be.qxm = ba.qxm AND be.batch = ba.batch),
+{euclid_sql('h', 'fr', 'fv')}, hq AS (SELECT s.* FROM hsc s JOIN be ON s.m.qxm = be.qxm AND s.m.batch = be.batch AND s.k = be.k), hz AS (SELECT {{'m': m.qxm, 'qid': qid}} AS qid, doc_id, y, s FROM hq),
+fin AS (WITH {ndcg_sql([5, 10], 'hz', 's')} SELECT * FROM ndcg) SELECT fin.qid.m AS qxm, k, round(avg(ndcg), 6) AS mean, round(stddev_pop(ndcg), 6) AS std, round(median(ndcg), 6) AS median FROM fin GROUP BY ALL""")
+def final_retrain(spark, sf):
+    train, test = held(spark, sf)
+    table = X.model_selection(train, SIZES, GRID)
+    return X.retrain(train, test, table, GRID, (5, 10)).select("qxm", "k", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median")])
+
+
+@query("query_ranker_configs", f"""WITH {EV}, {HELD}, {groups_sql([6], 'ht')}, ra AS (SELECT batch AS m, ht.* FROM ht JOIN ba ON ht.qid = ba.qid WHERE batch % 2 = 0), va AS (SELECT batch AS m, hv.* FROM hv JOIN ba ON hv.qid = ba.qid WHERE batch % 2 = 0),
+rb AS (SELECT batch AS m, ht.* FROM ht JOIN ba ON ht.qid = ba.qid WHERE batch % 2 = 1), vb AS (SELECT batch AS m, hv.* FROM hv JOIN ba ON hv.qid = ba.qid WHERE batch % 2 = 1),
+{euclid_sql('u', 'ra', 'va', (3,), 1)}, {euclid_sql('v', 'rb', 'vb', (5,), 2)} SELECT m AS batch, qid, doc_id, round(s, 6) AS full FROM (SELECT * FROM usc UNION ALL SELECT * FROM vsc)""")
+def query_ranker_configs(spark, sf):
+    train, test = held(spark, sf)
+    batches = splits.query_batches(train, 6).withColumn("idx", (F.col("batch") % 2).cast("int"))
+    fitted = X.fit_batches(train, batches, [R.Config(depth=1, distance_depth=None, k=3), R.Config(depth=2, distance_depth=None, k=5)])
+    return fitted.predict(test, euclid=False).select("batch", "qid", "doc_id", F.round("full", 6).alias("full"))
 
 
 @query("listnet_select", f"WITH {EXP}, c AS (SELECT query, pdt_depth::BIGINT AS lr, coalesce(n_neighbors, 9) AS epoch, round(coalesce(avg(ndcg), 0), 9) AS valid FROM exp GROUP BY 1, 2, 3) SELECT query, lr, epoch, round(valid, 6) AS valid FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY valid DESC, lr, epoch) = 1")

@@ -5,14 +5,16 @@ Rows carry an explicit ``doc_id``, so no operator depends on row positions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from rankloom.functions import vectors
 from rankloom.functions.binning import equal_width
+from rankloom.operators import dataset, splits
 
 SPLITS = ("train", "valid", "test")
 
@@ -44,12 +46,21 @@ def feature_count(lines: DataFrame, column: str = "value") -> int:
     return top.agg(F.max("d")).first()[0] or 0
 
 
+def significant(v: Column, digits: int = 6) -> Column:
+    """The shortest text of ``digits`` significant digits: fixed where the exponent lies from -4 to digits - 1, else scientific.
+
+    Where the shortest decimal form of a value goes on with a single 5 after the last digit, it is rounded up.
+    """
+    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    long = F.format_string(f"%.{digits - 1}e", v)
+    exponent = F.try_to_number(F.regexp_extract(long, r"e([+-]\d+)$", 1), F.lit("S999")).cast("int")
+    fixed = F.coalesce(*[F.when(exponent == e, F.format_string(f"%.{digits - 1 - e}f", v)) for e in range(-4, digits)])
+    return F.coalesce(bare(fixed), F.concat(bare(F.regexp_extract(long, r"^[^e]*", 0)), F.regexp_extract(long, r"e.*$", 0)))
+
+
 def letor_line(decimals: int | None = None) -> Column:
     """A LETOR line of y, qid and features; ``decimals`` fixed digits, or the shortest form of six significant digits."""
-    if decimals is None:
-        number = lambda v: F.regexp_replace(F.format_string("%.6f", F.round(v, 6)), r"\.?0+$", "")
-    else:
-        number = lambda v: F.format_string(f"%.{decimals}f", v)
+    number = significant if decimals is None else lambda v: F.format_string(f"%.{decimals}f", v)
     cells = F.transform("features", lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), number(v)))
     return F.concat_ws(" ", F.col("y").cast("long").cast("string"), F.concat(F.lit("qid:"), F.col("qid").cast("string")), F.array_join(cells, " "))
 
@@ -116,6 +127,76 @@ def read_csv_union(spark: SparkSession, paths: Sequence[str], schema: T.StructTy
     return df.toDF(*[c.removeprefix(prefix) for c in df.columns]).orderBy("qid")
 
 
+def preprocess(df: DataFrame, get_first: int | None = 500, min_items: int | None = 10, max_items: int | None = 400, split: tuple[float, float] | None = (0.5, 0.2), keep: Sequence[int] | None = None) -> DataFrame:
+    """The usual steps before an experiment, each left out by None, in this order: queries with at least ``min_items``
+    documents, the first of them, ``max_items`` documents of each, the features at some positions, and a column ``split``
+    of train, valid and test inside each query."""
+    if min_items is not None:
+        df = dataset.min_group(df, min_items)
+    if get_first is not None:
+        df = dataset.first_queries(df, get_first)
+    if max_items is not None:
+        df = dataset.cap_items(df, max_items)
+    if keep is not None:
+        df = df.withColumn("features", vectors.keep_positions(F.col("features"), keep))
+    return df if split is None else splits.holdout_per_query(df, *split)
+
+
+def split_parts(df: DataFrame) -> dict[str, DataFrame]:
+    """train, valid and test of a table with a ``split`` column."""
+    return {s: df.where(F.col("split") == s).drop("split") for s in SPLITS}
+
+
+def from_arrays(spark: SparkSession, x: Sequence[Sequence[float]], y: Sequence[float], q: Sequence[int]) -> DataFrame:
+    """Rows given as features, labels and query ids of one length; doc_id counts rows from 0."""
+    if not len(x) == len(y) == len(q):
+        raise ValueError("features, labels and query ids differ in number")
+    rows = [(int(k), i, float(v), [float(f) for f in row]) for i, (row, v, k) in enumerate(zip(x, y, q, strict=True))]
+    return spark.createDataFrame(rows, "qid long, doc_id long, y double, features array<double>")
+
+
+def from_wide(df: DataFrame, features: Sequence[str] | None = None, label: str = "label", query: str = "qid") -> DataFrame:
+    """A wide table (label, query id, a column for each feature) as ranked lists; by default its columns named by numbers, in their order."""
+    names = list(features) if features is not None else sorted((c for c in df.columns if c.isdigit()), key=int)
+    require_columns(df, [label, query, *names])
+    doc = F.row_number().over(W.partitionBy(query).orderBy(F.desc(label), *[F.col(f"`{c}`") for c in names])).cast("long")
+    return df.select(F.col(query).cast("long").alias("qid"), doc.alias("doc_id"), F.col(label).cast("double").alias("y"), F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"))
+
+
+def each_query(df: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """(qid, its documents) by ascending id. Ids come to the driver a few at a time; documents stay where they are."""
+    for r in query_ids_in_order(df).toLocalIterator():
+        yield r["qid"], df.where(F.col("qid") == r["qid"])
+
+
+def query_ids_in_order(df: DataFrame) -> DataFrame:
+    return dataset.query_ids(df).orderBy("qid")
+
+
+def rows_at(df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """The documents at positions of the table sorted by query and document; negative positions count back.
+
+    Positions are found by counting documents before each query, so no task sorts the whole table.
+    """
+    offsets = dataset.group_offsets(df)
+    if any(p < 0 for p in positions):
+        n = df.count()
+        positions = [p + n if p < 0 else p for p in positions]
+    inner = F.row_number().over(W.partitionBy("qid").orderBy("doc_id")) - 1
+    at = df.withColumn("_in", inner).join(offsets.select("qid", "offset"), "qid")
+    return at.where((F.col("offset") + F.col("_in")).isin([int(p) for p in positions])).drop("_in", "offset")
+
+
+def query_range(df: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Documents of the queries with ids from ``low`` up to ``high``, both included; an end left out is open."""
+    keep = F.lit(True)
+    if low is not None:
+        keep &= F.col("qid") >= low
+    if high is not None:
+        keep &= F.col("qid") <= high
+    return df.where(keep)
+
+
 def read_query_groups(spark: SparkSession, path: str) -> DataFrame:
     """``{qxm: {group: [qid]}}`` JSON -> qxm, group_id, qid; null groups are dropped."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<bigint>>>").alias("m"))

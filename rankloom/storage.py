@@ -16,10 +16,14 @@ _ROOTS: dict[str, str] = {}
 
 
 def _root(spark: SparkSession) -> str:
-    """This session's folder under the one of ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """This session's folder under the one of ``spark.checkpoint.dir``; a temporary one only if a local session leaves that unset."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            shared = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
         _ROOTS[app] = f"{shared.rstrip('/')}/rankloom-{uuid.uuid4().hex[:12]}"
         atexit.register(_clear, spark, _ROOTS[app])
     return _ROOTS[app]
