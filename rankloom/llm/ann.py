@@ -16,6 +16,7 @@ to all parts of its lists, and every part keeps its best k.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,12 +149,13 @@ class Graph:
 
 @dataclass
 class Band:
-    """Vectors of ``dim`` components and lengths from 2 ** low up to 2 ** (high + 1), in lists from ``first`` on."""
+    """Vectors of ``dim`` components and lengths from 2 ** low up to 2 ** (high + 1), the longest of 2 ** longest, in lists from ``first`` on."""
 
     dim: int
     low: int
     high: int
     n: int
+    longest: float = 0.0
     first: int = 0
     graph: Graph | None = None
 
@@ -163,7 +165,8 @@ class Band:
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors scaled to lengths of one at most, with the coordinate that makes all lengths one."""
-        x = np.ldexp(x, -(self.high + 1))
+        whole = math.floor(self.longest)
+        x = np.ldexp(x, -whole) * 2.0 ** (whole - self.longest)
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]], axis=1)
 
 
@@ -174,22 +177,22 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
 
 
-def bands_of(counts: list[tuple[int, int, int]]) -> list[Band]:
-    """Bands from (dim, exponent, vectors), most frequent dims first; the dims after the first few have a band each."""
-    dims: dict[int, list[tuple[int, int]]] = {}
-    for dim, e, n in counts:
-        dims.setdefault(dim, []).append((e, n))
+def bands_of(counts: list[tuple[int, int, int, float]]) -> list[Band]:
+    """Bands from (dim, exponent, vectors, binary logarithm of the longest), most frequent dims first; the dims after the first few have a band each."""
+    dims: dict[int, list[tuple[int, int, float]]] = {}
+    for dim, *rest in counts:
+        dims.setdefault(dim, []).append(tuple(rest))
     out = []
-    for k, dim in enumerate(sorted(dims, key=lambda d: (-sum(n for _, n in dims[d]), d))):
+    for k, dim in enumerate(sorted(dims, key=lambda d: (-sum(n for _, n, _ in dims[d]), d))):
         own: list[Band] = []
-        for e, n in sorted(dims[dim], reverse=True):
+        for e, n, longest in sorted(dims[dim], reverse=True):
             if own and (own[-1].high - e < OCTAVES or k >= DIMS):
                 own[-1].low, own[-1].n = e, own[-1].n + n
             else:
-                own.append(Band(dim, e, e, n))
+                own.append(Band(dim, e, e, n, longest))
         while len(own) > MOST_BANDS:
             i = min(range(len(own) - 1), key=lambda i: own[i].n + own[i + 1].n)
-            own[i : i + 2] = [Band(dim, own[i + 1].low, own[i].high, own[i].n + own[i + 1].n)]
+            own[i : i + 2] = [Band(dim, own[i + 1].low, own[i].high, own[i].n + own[i + 1].n, own[i].longest)]
         out += own
     return out
 
@@ -223,17 +226,17 @@ class Index:
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, x, asks) -> id, data, dim, exponent (of 2, of the length), asks."""
+    """(id, x, asks) -> id, data, dim, log (binary, of the length), exponent (its floor), asks."""
     for b in batches:
-        data, dims, exponents = [], [], []
+        data, dims, logs = [], [], []
         for v in b.column("x"):
             x = np.asarray(v.as_py(), np.float64)
             top = np.abs(x).max()
             y = x / top
             data.append(x.astype("<f8").tobytes())
             dims.append(len(x))
-            exponents.append(int(np.floor(np.log2(top) + 0.5 * np.log2(y @ y))))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(data, pa.binary()), pa.array(dims, pa.int32()), pa.array(exponents, pa.int32()), b.column("asks")], names=["id", "data", "dim", "exponent", "asks"])
+            logs.append(float(np.log2(top) + 0.5 * np.log2(y @ y)))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(data, pa.binary()), pa.array(dims, pa.int32()), pa.array(logs, pa.float64()), pa.array([math.floor(v) for v in logs], pa.int32()), b.column("asks")], names=["id", "data", "dim", "log", "exponent", "asks"])
 
 
 def matrix(data: list[bytes]) -> np.ndarray:
@@ -428,10 +431,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, per_list: int = LIS
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     good = vectors.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("x")))
-    lengths = good.mapInArrow(_lengths, "id long, data binary, dim int, exponent int, asks boolean")
+    lengths = good.mapInArrow(_lengths, "id long, data binary, dim int, log double, exponent int, asks boolean")
     # Rows that repeat id and vector count once, also in the sample and in the number of lists.
-    good = scratch.table(lengths.groupBy("id", "data", "dim", "exponent").agg(F.max("asks").alias("asks")), "vectors")
-    bands = bands_of([tuple(r) for r in good.groupBy("dim", "exponent").count().collect()])
+    good = scratch.table(lengths.groupBy("id", "data", "dim", "log", "exponent").agg(F.max("asks").alias("asks")), "vectors")
+    bands = bands_of([tuple(r) for r in good.groupBy("dim", "exponent").agg(F.count("*"), F.max("log")).collect()])
     if not bands:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, wide = sum(b.n for b in bands), {b.dim: None for b in bands}

@@ -132,9 +132,9 @@ def test_huge_tiny_and_outlying_vectors(spark):
 
 def test_an_outlier_leaves_pruning_as_it_is():
     counts = [(64, 0, 100_000), (64, 1, 500), (64, -1, 2000), (64, 20, 1), (64, 664, 1), (3, 0, 10)]
-    bands = ann.bands_of(counts)
-    assert [(b.dim, b.low, b.high, b.n) for b in bands] == [(64, 664, 664, 1), (64, 20, 20, 1), (64, -1, 1, 102_500), (3, 0, 0, 10)]
-    many = ann.bands_of([(2, 10 * e, 5 + e) for e in range(-30, 30)])
+    bands = ann.bands_of([(*c, c[1] + 0.5) for c in counts])
+    assert [(b.dim, b.low, b.high, b.n) for b in bands] == [(64, 664, 664, 1), (64, 20, 20, 1), (64, -1, 1, 102_500), (3, 0, 0, 10)] and bands[2].longest == 1.5
+    many = ann.bands_of([(2, 10 * e, 5 + e, 10.0 * e) for e in range(-30, 30)])
     assert len(many) == ann.MOST_BANDS and sum(b.n for b in many) == sum(5 + e for e in range(-30, 30))
 
 
