@@ -32,7 +32,7 @@ from rankloom.llm.common import Scratch, n_partitions
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters of a text that stays in one row; bytes of a leaf of a text, and of a leaf that is a row of its own; characters of a leaf of unsplit text, and of a chunk that is taken as unsplit; tokens, or chunks, of a first window's side; remembered chunks.
-LONG, PART, RUN, LEAF, UNSPLIT, WINDOW, REMEMBERED = 1 << 16, 1024, 1 << 14, 1024, 2048, 1, 250_000
+LONG, PART, RUN, LEAF, UNSPLIT, WINDOW, REMEMBERED = 1 << 16, 1024, 1 << 14, 1024, 2048, 1, 80_000
 #: Stands for an unsplit chunk among chunks; no chunk is a space.
 PLACE = b" "
 SPACE = b" \t\n\x0b\x0c\r"
@@ -149,6 +149,10 @@ class Bpe:
 
     # -- texts --------------------------------------------------------------------------------------------------
 
+    def forget(self) -> None:
+        """Leaves the worker's memory to whatever it does next."""
+        self.new, self.old = {}, {}
+
     def codes(self, chunks: list[bytes]) -> list[Code]:
         """Codes of chunks: remembered ones, unsplit ones by their own tree, the others by the library."""
         new, old = self.new, self.old
@@ -309,6 +313,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                 some = b.slice(at, 256)
                 text = some.column("text").cast(pa.large_binary())
                 yield frame([row(bpe, k.as_py(), bpe.node(t.as_py())[1]) for k, t in zip(some.column("doc_id"), text, strict=True)])
+        bpe.forget()
 
     short = lean.where(F.length("text") <= long).mapInArrow(whole, schema)
 
