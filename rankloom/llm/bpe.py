@@ -149,10 +149,6 @@ class Bpe:
 
     # -- texts --------------------------------------------------------------------------------------------------
 
-    def forget(self) -> None:
-        """Leaves the worker's memory to whatever it does next."""
-        self.new, self.old = {}, {}
-
     def codes(self, chunks: list[bytes]) -> list[Code]:
         """Codes of chunks: remembered ones, unsplit ones by their own tree, the others by the library."""
         new, old = self.new, self.old
@@ -276,6 +272,12 @@ def built(spec: str, **knobs) -> Bpe:
     return _BUILT[key]
 
 
+def release() -> None:
+    """Leaves the worker's memory to whatever it does next; the next task builds its tokenizer anew."""
+    _BUILT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -313,7 +315,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                 some = b.slice(at, 256)
                 text = some.column("text").cast(pa.large_binary())
                 yield frame([row(bpe, k.as_py(), bpe.node(t.as_py())[1]) for k, t in zip(some.column("doc_id"), text, strict=True)])
-        bpe.forget()
+        release()
 
     short = lean.where(F.length("text") <= long).mapInArrow(whole, schema)
 
@@ -344,6 +346,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                         yield leaf_batch(some)
                         some = []
                 yield leaf_batch(some)
+        release()
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built(spec.value, **knobs)
@@ -357,6 +360,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                     data, ids, counts = None, np.array(bpe.leaf_of(kind, data.decode()), "<u4").tobytes(), None
                 out.append((uid, k, no, kind, word, through, data, ids, counts))
             yield leaf_batch(out)
+        release()
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         bpe, pdf = built(spec.value, **knobs), pdf.sort_values("no")

@@ -28,7 +28,7 @@ from rankloom.llm.common import Scratch, with_fields
 POSITIVES, UNLABELLED, FEATURES, SCREENED, LEAST, SIGNIFICANT, LIKELY, BEGINNINGS = 2500, 6000, 4000, 16_000, 3, 18.0, 9.0, (4, 5, 6, 7)
 #: Classifiers and steps of the first guess, their rate and decay; rounds over all training texts.
 MODELS, STEPS, RATE, DECAY, ROUNDS = 3, 300, 0.1, 1e-4, 4
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Bytes that separate words: all ASCII but letters and digits.
 _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -330,7 +330,8 @@ def score(docs: DataFrame, model: Model, score: str = "score", predicted: str =
     kept = docs.drop(score, predicted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        # What a task remembers goes with it; a broadcast value stays with the worker.
+        m = Model(shared.value.weights, shared.value.bias)
         for b in batches:
             s = [m.score(t.as_py()) for t in b.column("text")]
             yield b.append_column(score, pa.array(s, pa.float64())).append_column(predicted, pa.array([int(x >= 0.5) for x in s], pa.int32()))
