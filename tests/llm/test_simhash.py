@@ -84,3 +84,12 @@ def test_components_chain_star_and_empty(spark):
 
 def test_empty_table(spark):
     assert simhash.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_chain_in_label_order_and_large_star(spark):
+    scratch = Scratch(spark, "t")
+    chain = spark.range(3000).selectExpr("id AS src", "id + 1 AS dst").repartition(100)
+    star = spark.range(20_000).selectExpr("id + 10000 AS src", "9999L AS dst")
+    both = spark.createDataFrame([(3000, 9000), (9000, 9001)], "src long, dst long")
+    got = connected_components(chain.unionByName(star).unionByName(both), scratch)
+    assert {tuple(r) for r in got.groupBy("root").count().collect()} == {(0, 3003), (9999, 20_001)}
