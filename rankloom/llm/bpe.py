@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, n_partitions
+from rankloom.llm.common import Scratch, n_partitions, short_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -292,6 +292,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
     say where texts are cut and joined; no result depends on them.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     with open(path or default_path(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = SCHEMA + (", ids array<int>, decoded string" if texts else "")

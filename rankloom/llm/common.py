@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: White space of the word contracts: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of texts on its way to Python, and the setting that bounds them.
+BATCH, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,6 +87,17 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_mod(column, modulus) == remainder, F.lit(True))
 
 
+def short_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """From now on the session sends texts to Python in batches of about ``most`` bytes; a lower bound of its own stays.
+
+    The JVM holds a task's batches outside its heap, both ways, and doubles a batch's buffers as texts come in; without
+    this a batch is 10,000 rows or 64 MiB. No result depends on it.
+    """
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if own > most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

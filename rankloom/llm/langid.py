@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import with_fields
+from rankloom.llm.common import short_batches, with_fields
 
 #: Hash buckets; labelled training rows of a language in the sample (bound of the fit), the share of them kept for the temperature; characters handled at once.
 BUCKETS, PER_LANG, CALIBRATE, CHUNK = 1 << 16, 1200, 0.25, 1 << 18
@@ -151,6 +151,7 @@ def fit(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     ``per_lang`` bounds the labelled rows of a language that the classifier is fitted on; they are drawn by a hash of id
     and text, and rows that repeat id, text and lang are drawn once. Document frequencies count all rows given.
     """
+    short_batches(rows.sparkSession)
     known = rows.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -188,6 +189,7 @@ def classify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
 
     Null texts and texts without a letter get ``und`` and 0; so does every text if no language was learned.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(lang, score)
 

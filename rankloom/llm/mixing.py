@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.llm.common import WORD, Scratch, free, n_partitions
+from rankloom.llm.common import WORD, Scratch, free, n_partitions, short_batches
 
 WEIGHTS = (5, 2, 1)
 #: Passes over a source at most; words in a block; most shards; seed of draws and permutations.
@@ -157,6 +157,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED, keep: bool = False):
         spark = docs.sparkSession
+        short_batches(spark)
         self.spark, self.block, self.seed = spark, block, seed
         self.scratch = scratch = Scratch(spark, "mix")
         inside = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(0)

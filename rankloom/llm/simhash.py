@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, free, n_partitions
+from rankloom.llm.common import Scratch, free, n_partitions, short_batches
 from rankloom.llm.components import _forest, connected_components
 
 SEED, SHINGLE, DISTANCE, CHUNK = 42, 3, 2, 65536
@@ -59,6 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp long) for each row of ``docs``; other columns of ``docs`` play no part."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import Scratch, with_fields
+from rankloom.llm.common import Scratch, short_batches, with_fields
 
 #: Bounds of the labelled positives and of the first guess's unlabelled documents; features of the model, and of those screened; least positives with a feature, and its least log-likelihood ratio, when chosen and when screened; lengths of word beginnings.
 POSITIVES, UNLABELLED, FEATURES, SCREENED, LEAST, SIGNIFICANT, LIKELY, BEGINNINGS = 2500, 6000, 4000, 16_000, 3, 18.0, 9.0, (4, 5, 6, 7)
@@ -270,6 +270,7 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     training rows every score is 0.
     """
     spark = rows.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "toxicity")
     ids = rows.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -326,6 +327,7 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 def score(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of the names given are replaced, all rows stay."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(score, predicted)
 

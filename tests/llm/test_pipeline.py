@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as cp
 from rankloom.llm import bpe, mixing, simhash
+from rankloom.llm.common import BATCH_BYTES, short_batches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +69,19 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert cp.run(spark, sf).collect() == []
+
+
+def test_short_batches(spark):
+    own = spark.newSession()
+    text = own.range(0, 4000, 1, 1).selectExpr("repeat('x', if(id % 500 = 7, 100000, 1000)) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    for given, want in (("64m", 1 << 20), ("256k", 1 << 18)):
+        own.conf.set(BATCH_BYTES, given)
+        short_batches(own, 1 << 20)
+        found = text.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in found) == 4000
+        assert max(r["bytes"] for r in found) <= want + 120_000
