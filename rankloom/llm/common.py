@@ -6,48 +6,28 @@ Intermediate results that are read more than once are written as Parquet to the
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.storage import clear_at_exit, remove, shared_dir
+
 #: White space of the word contracts: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch of texts on its way to Python, and the setting that bounds them.
 BATCH, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a private temporary one only where a local session names none (tests, local use)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(remove, spark, found)
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, so that remote folders work as well."""
-    jvm, jsc = spark._jvm, spark._jsc
-    if jvm is None or jsc is None or jsc.sc().isStopped():
-        return
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
-
-
 class Scratch:
     """Tables of one run of an operator under the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/rankloom-{name}-{uuid.uuid4().hex[:12]}", 0
-        atexit.register(self._clear)
+        clear_at_exit(spark, self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -66,12 +46,6 @@ class Scratch:
         for df in tables:
             remove(self.spark, df.rankloom_path)
 
-    def _clear(self) -> None:
-        try:
-            remove(self.spark, self.root)
-        except Exception:  # noqa: BLE001  at exit the JVM may be gone; the folder is the cluster's to clean
-            pass
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -113,6 +87,24 @@ def free(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
-    """The schema of ``df`` with more fields at its end."""
-    return T.StructType([*df.schema.fields, *[T.StructField(k, t) for k, t in types.items()]])
+def place(df: DataFrame, name: str) -> int:
+    """Where the column of a name is; one that differs in case only, if there is no other."""
+    names = df.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever dots, blanks or upper-case twins the other columns' names have."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{place(df, n)}").alias(n) for n in names])
+
+
+def map_rows(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names: ``run`` finds and gives columns by their place."""
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=numbered.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, numbered).toDF(*schema.names)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import short_batches, with_fields
+from rankloom.llm.common import map_rows, place, short_batches
 
 #: Hash buckets; labelled training rows of a language in the sample (bound of the fit), the share of them kept for the temperature; characters handled at once.
 BUCKETS, PER_LANG, CALIBRATE, CHUNK = 1 << 16, 1200, 0.25, 1 << 18
@@ -191,12 +191,13 @@ def classify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     """
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(lang, score)
+    at, own = place(docs, "text"), [i for i, c in enumerate(docs.columns) if c.lower() not in (lang.lower(), score.lower())]
+    schema = T.StructType([*[docs.schema.fields[i] for i in own], T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            out = [m.predict(t.as_py()) for t in b.column("text")]
-            yield b.append_column(lang, pa.array([x for x, _ in out], pa.string())).append_column(score, pa.array([y for _, y in out], pa.float64()))
+            out = [m.predict(t.as_py()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in own], pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=[str(i) for i in range(len(own) + 2)])
 
-    return kept.mapInArrow(run, with_fields(kept, **{lang: T.StringType(), score: T.DoubleType()}))
+    return map_rows(docs, run, schema)

@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.llm.common import WORD, Scratch, free, n_partitions, short_batches
+from rankloom.llm.common import WORD, Scratch, free, map_rows, n_partitions, short_batches
 
 WEIGHTS = (5, 2, 1)
 #: Passes over a source at most; words in a block; most shards; seed of draws and permutations.
 MOST, BLOCK, SHARDS, SEED = 3.0, 512, 256, 20
 #: The table of so many sources at most is broadcast; a longer one is joined by shuffling.
 SMALL = 10_000
-#: Slots that a row of a shard's plan is unfolded to.
-RANGE = 1 << 14
+#: Slots that a row of a shard's plan is unfolded to; chunks of a stretch of prefix sums.
+RANGE, STRETCH = 1 << 14, 2048
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -155,7 +155,7 @@ class Mix:
     own. An empty table gives an empty mix. The number of sources must fit the driver; no document is collected.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED, keep: bool = False):
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED, keep: bool = False, stretch: int = STRETCH):
         spark = docs.sparkSession
         short_batches(spark)
         self.spark, self.block, self.seed = spark, block, seed
@@ -176,11 +176,13 @@ class Mix:
         run = ["ix", "doc_id", "th", "size"]
         copies = scratch.table(full.groupBy(*run, "part").agg(F.count("*").alias("n")), "copies")
         runs = copies.groupBy(*run).agg(F.sum(F.col("n") * F.col("size")).alias("words"))
-        # Prefix sums in two levels: over hashed chunks of a source, then inside each chunk. A hot source is many chunks.
+        # Prefix sums in three levels: over stretches of hashed chunks of a source, over the chunks of a stretch, and inside each chunk. A hot source is many chunks.
         chunks = max(64, sum(r["n"] for r in stats) // 4096)
         runs = scratch.table(runs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th", "size"), F.lit(chunks))), "runs")
-        sums = runs.groupBy("ix", "chunk").agg(F.sum("words").alias("words"))
-        before = sums.withColumn("base", F.sum("words").over(W.partitionBy("ix").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).select("ix", "chunk", "base")
+        sums = runs.groupBy("ix", "chunk").agg(F.sum("words").alias("words")).withColumn("stretch", F.expr(f"chunk div {stretch}"))
+        upto = lambda *by: F.sum("words").over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
+        whole = sums.groupBy("ix", "stretch").agg(F.sum("words").alias("words")).withColumn("far", upto("ix", "stretch")).select("ix", "stretch", "far")
+        before = sums.withColumn("near", upto("ix", "stretch", "chunk")).join(whole, ["ix", "stretch"]).select("ix", "chunk", (F.col("far") + F.col("near")).alias("base"))
         inner = F.sum("words").over(W.partitionBy("ix", "chunk").orderBy("doc_id", "th", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
         starts = runs.withColumn("inner", inner).join(before, ["ix", "chunk"]).select(*run, (F.col("base") + F.col("inner")).alias("start"))
         # Copies of a row stand one after the other: by the task that numbered them, then by number.
@@ -230,7 +232,8 @@ class Mix:
         fields = self.rows.schema["row"].dataType
         size, own = free(fields.names, "size", "runs")
         flat = kept.select("row.*", F.col("size").alias(size), F.col("runs").alias(own))
-        return flat.mapInArrow(_passes(size, own), fields)
+        lower = [n.lower() for n in fields.names]
+        return map_rows(flat, _passes(lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None), fields)
 
 
 def _cut(text: str, size: int, runs: list[dict]) -> Iterator[str]:
@@ -244,21 +247,21 @@ def _cut(text: str, size: int, runs: list[dict]) -> Iterator[str]:
             yield b" ".join(w for a, b in spans for w in words[a:b]).decode()
 
 
-def _passes(size: str, runs: str):
-    """Rows -> a row for each pass over the source that takes words of them; ``size`` and ``runs``: names of two columns."""
+def _passes(text_at: int, chars_at: int | None):
+    """Rows, with size and runs as their last columns -> a row for each pass over the source that takes words of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, texts = [], []
-            for i, (text, n, own) in enumerate(zip(b.column("text").to_pylist(), b.column(size).to_pylist(), b.column(runs).to_pylist(), strict=True)):
+            at, texts, last = [], [], b.num_columns - 2
+            for i, (text, n, own) in enumerate(zip(*[b.column(k).to_pylist() for k in (text_at, last, last + 1)], strict=True)):
                 for piece in _cut(text, n, own):
                     at.append(i)
                     texts.append(piece)
-            out = b.drop_columns([size, runs]).take(pa.array(at, pa.int64()))
-            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, out.schema.field("text").type))
-            if "n_chars" in out.schema.names:
-                out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array([len(t) for t in texts], out.schema.field("n_chars").type))
-            yield out
+            columns = b.select(list(range(last))).take(pa.array(at, pa.int64())).columns
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([len(t) for t in texts], columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(last)])
 
     return run
 

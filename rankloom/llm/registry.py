@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import ann, bpe, hmm, langid, mixing, neardup, simhash, toxicity, urlfilter, warc
+from rankloom.llm import ann, bpe, hmm, langid, lexical, mixing, neardup, quality, simhash, toxicity, urlfilter, warc, whitening
 from rankloom.llm.common import held_out, table
 
 
@@ -54,13 +54,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents")).drop("longest_repeat", "n_repeats")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_url_filters, op8_warc, op9_ann, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_bpe, op4_language_id, op5_simhash_near_dedup, op6_lm_scoring, op7_url_filters, op8_warc, op9_ann, op10_mixing, op11_embedding_whitening, op12_lexical_search, op13_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": neardup.oracle(), "op7_url_filters": urlfilter.oracle(), "op8_warc": warc.oracle()}
+    return {"op1_embedding_near_dedup": neardup.oracle(), "op7_url_filters": urlfilter.oracle(), "op8_warc": warc.oracle(), "op12_lexical_search": lexical.oracle(), "op13_quality_rules": quality.oracle()}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import Scratch, short_batches, with_fields
+from rankloom.llm.common import Scratch, map_rows, place, short_batches
 
 #: Bounds of the labelled positives and of the first guess's unlabelled documents; features of the model, and of those screened; least positives with a feature, and its least log-likelihood ratio, when chosen and when screened; lengths of word beginnings.
 POSITIVES, UNLABELLED, FEATURES, SCREENED, LEAST, SIGNIFICANT, LIKELY, BEGINNINGS = 2500, 6000, 4000, 16_000, 3, 18.0, 9.0, (4, 5, 6, 7)
@@ -329,13 +329,14 @@ def score(docs: DataFrame, model: Model, score: str = "score", predicted: str =
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of the names given are replaced, all rows stay."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(score, predicted)
+    at, own = place(docs, "text"), [i for i, c in enumerate(docs.columns) if c.lower() not in (score.lower(), predicted.lower())]
+    schema = T.StructType([*[docs.schema.fields[i] for i in own], T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What a task remembers goes with it; a broadcast value stays with the worker.
         m = Model(shared.value.weights, shared.value.bias)
         for b in batches:
-            s = [m.score(t.as_py()) for t in b.column("text")]
-            yield b.append_column(score, pa.array(s, pa.float64())).append_column(predicted, pa.array([int(x >= 0.5) for x in s], pa.int32()))
+            s = [m.score(t.as_py()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in own], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[str(i) for i in range(len(own) + 2)])
 
-    return kept.mapInArrow(run, with_fields(kept, **{score: T.DoubleType(), predicted: T.IntegerType()}))
+    return map_rows(docs, run, schema)

@@ -66,9 +66,9 @@ def _inline(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) -
 def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, inline: int = INLINE, decision: str = "decision") -> DataFrame:
     """Adds host, path, rule and ``decision`` (null where no rule fits) to a table of distinct or repeated ``url``.
 
-    Columns of these four names are replaced. Empty rule hosts fit nothing but urls without a host. Rows are kept one for one.
+    Columns of these four names, in any case, are replaced. Empty rule hosts fit nothing but urls without a host. Rows are kept one for one.
     """
-    df = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", decision)]).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    df = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", decision.lower())]).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if len(rules) <= inline:
         (best,) = free([*df.columns, "rule", decision], "_best")
         return df.withColumn(best, _inline(rules, F.col("host"), F.col("path"))).select("*", F.col(f"{best}.rule").alias("rule"), F.col(f"{best}.decision").alias(decision)).drop(best)
@@ -116,8 +116,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges
 
     ``edges``: (src, dst) urls that redirect or name each other; by default those found in the html. Null urls and urls
     without ``://`` have empty host and path, fit no rule and are allowed. Repeated rows stay; an empty table gives an
-    empty result, and no edges an empty graph; other columns are kept, but for host, path, rule and verdict, which are
-    replaced. Aliases are joined by their urls, without fragments and with scheme and host in lower case.
+    empty result, and no edges an empty graph; other columns are kept, but for host, path, rule and verdict (in any case), which
+    are replaced. Aliases are joined by their urls, without fragments and with scheme and host in lower case.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch
+from rankloom.llm.common import Scratch, n_partitions
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The base-32 alphabet of payload digests (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Archive files hold about so many payload bytes; a file is read by one task, as one row.
-FILE_BYTES = 24 << 20
+#: Archive files hold about so many payload bytes; a file is read by one task, as one row. A task writes about so many, in several files: the shuffle has as many partitions as the session says, or as these bytes ask for.
+FILE_BYTES, TASK_BYTES = 24 << 20, 1 << 30
 #: Rows that repeat an id and a payload more often than this, and than one in ``SHARE`` of all rows, are dealt to several tasks; there are at most ``SHARE`` such groups, and their list is broadcast.
 REPEATED, SHARE = 1024, 10_000
 PARSED = "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to_record string, payload_bytes long, payload binary"
@@ -86,26 +86,29 @@ def _record(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, repeated: int = REPEATED) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, repeated: int = REPEATED, file_bytes: int = FILE_BYTES) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) to archive files under ``path``.
 
     A null html is an empty payload; null urls and ids leave their header out; a row without an id never is an original,
     and equal payloads without any id all stay responses. Rows repeated with the same id and payload get the same type;
-    where there are more than ``repeated`` of them, they are dealt to several tasks and files.
+    where there are more than ``repeated`` of them, they are dealt to several tasks and files. Files hold as many records as
+    make ``file_bytes`` of payload on average.
     """
     scratch = Scratch(pages.sparkSession, "warc-headers")
     rows = _with_digest(pages)
     headers = scratch.table(rows.select("page_id", "payload_digest", "payload_bytes"), "headers")
     total, n = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
-    files = max(1, -(-total // FILE_BYTES))
+    files = max(1, -(-total // file_bytes))
+    tasks = min(files, max(n_partitions(pages.sparkSession), -(-total // TASK_BYTES)))
+    records = max(1, -(-n // files))
     most = max(repeated, n // SHARE)
     key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "payload_digest")
     hot = F.broadcast(headers.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     revisits = resolve(headers, min_bytes).select(key.alias("key"), "original").join(hot, "key", "left").select("key", "original", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     dealt = rows.withColumn("key", key).join(hot, "key", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("parts")
-    joined = dealt.repartition(files, "key", "part").join(revisits.repartition(files, "key", "part"), ["key", "part"], "left")
-    joined.select(_record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    joined = dealt.repartition(tasks, "key", "part").join(revisits.repartition(tasks, "key", "part"), ["key", "part"], "left")
+    joined.select(_record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
     scratch.drop(headers)
 
 
