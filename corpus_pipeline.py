@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, langid, mixing, simhash, toxicity
-from rankloom.llm.common import Scratch, free, held_out, table
+from rankloom.llm.common import Scratch, free, held_out, pick, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows, ties and null ids stay; every column of ``docs`` keeps its values whatever its name; an empty table
     gives an empty one. Without any labelled row no language can be told, and every row goes.
     """
-    model = langid.fit(docs.where(~held_out("doc_id", 3, 1)).select("doc_id", "text", "lang"))
+    model = langid.fit(pick(docs, "doc_id", "text", "lang").where(~held_out("doc_id", 3, 1)))
     lang, score = free(docs.columns, "lang_pred", "score")
     return langid.classify(docs, model, lang, score).where(F.col(lang) != langid.UNDETERMINED).drop(lang, score)
 
@@ -30,7 +30,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have the classifier's base score, and stay; so do repeated rows and null ids. Every column of
     ``docs`` keeps its values whatever its name; an empty table gives an empty one. Without toxic training rows all stay.
     """
-    model = toxicity.fit(docs.where(~held_out("doc_id", 5, 0)).select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    model = toxicity.fit(pick(docs, "doc_id", "text").where(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
     score, predicted = free(docs.columns, "score", "predicted")
     return toxicity.score(docs, model, score, predicted).where(F.col(predicted) == 0).drop(score, predicted)
 
