@@ -75,6 +75,13 @@ def _segment(rows: list[tuple[int | None, int, Counter]], documents: int, total:
     return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's documents that have a term, and all their terms."""
+    for b in batches:
+        n = [len(terms(t.as_py() or b"")) for t in b.column("text").cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(k > 0 for k in n)]), pa.array([sum(n)])], names=["documents", "total"])
+
+
 def _build(documents: int, total: int, most: int, postings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -116,8 +123,7 @@ def build(docs: DataFrame, most: int = DOCUMENTS, postings: int = POSTINGS) -> I
     short_batches(spark)
     scratch = Scratch(spark, "lexical")
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = lean.select(F.regexp_count("text", F.lit(TERM)).alias("n"))
-    documents, total = n.agg(F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("n").cast("long"), F.lit(0))).first()
+    documents, total = lean.select("text").mapInArrow(_counted, "documents long, total long").agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     return Index(scratch.table(lean.mapInArrow(_build(documents, total, most, postings), SEGMENT), "segments"), documents, total, scratch)
 
 
