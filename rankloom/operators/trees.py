@@ -1,21 +1,35 @@
 """Regression trees for many models at once.
 
-The model is a grouping column: one job a level grows the trees of all queries, batches, folds and leaves together. A
-level sums targets by (model, node, feature, value), takes prefix sums over the values, and keeps the split with the
-largest gain ``sl^2/nl + sr^2/nr``; ties go to the smaller feature, then value. Values up to the threshold, half way to
-the next value, go left. Nodes are numbered as in a heap: root 1, children 2i and 2i + 1; paths are R, then l or r.
+The model is a grouping column: the trees of all queries, batches, folds and leaves grow together. A split keeps the largest
+gain ``sl^2/nl + sr^2/nr``, to nine decimals; ties go to the smaller feature, then value. Values up to the threshold, half
+way to the next value, go left. Nodes are numbered as in a heap: root 1, children 2i and 2i + 1; paths are R, then l or r.
+
+A model of up to ``CELLS`` rows times features is grown whole by one task, and thousands of them are one job. Larger models
+grow level by level over histograms: a sketch cuts each feature into ``BINS`` bins of about equal size, once; a level sums
+(model, node, feature, bin) with map-side combine, so its shuffle is bounded by that product and no task holds a node. Splits
+between bins are exact from these sums. A split inside a bin can't exceed a bound that follows from the bin's sums, as the
+gain is convex in the left side's count and sum; only bins whose bound reaches the best split between bins are summed by
+value. The trees are those of an exact search, whatever way a model takes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
+from rankloom.operators import groups
 from rankloom.storage import cut
 
+#: Rows times features of a model that a task grows whole; bins of a feature of larger models, a power of 2.
+CELLS, BINS = 4_000_000, 256
+
 
 def path_of(node: Column) -> Column:
     return F.concat(F.lit("R"), F.translate(F.substring(F.bin(node), 2, 64), "01", "lr"))
@@ -64,45 +78,226 @@ def best_splits(rows: DataFrame, keys: Sequence[str], target: str = "target", mi
     return fit.groupBy(*by).agg(first).select(*by, F.col("b.f").cast("int").alias("feature"), ((F.col("b.v") + F.col("b.next")) / 2).alias("threshold"), (-F.col("b.loss")).alias("gain"))
 
 
-def grow(rows: DataFrame, keys: Sequence[str], depth: int, target: str = "target", min_split: int = 2, max_leaves: int | None = None) -> DataFrame:
+# -- growing --------------------------------------------------------------------------------------------------------
+
+
+def grow(rows: DataFrame, keys: Sequence[str], depth: int, target: str = "target", min_split: int = 2, max_leaves: int | None = None, weight: str | None = None, draw: tuple[str, int] | None = None, cells: int = CELLS, bins: int = BINS) -> DataFrame:
     """Trees of all models: keys.., node, path, depth, is_leaf, feature, threshold, prediction, n.
 
-    ``rows``: keys.., features, target. With ``max_leaves`` a level keeps the best gains that still fit.
+    ``rows``: keys.., features, target and, if named, positive weights. With ``max_leaves`` a level keeps the best gains that
+    still fit. ``draw``: a long key and a number; each node splits on one of so many features only, drawn by a hash of that
+    key and the node.
     """
-    keys = list(keys)
+    keys, by = list(keys), [*keys, "node"]
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = cut(rows.select(*keys, F.col("features").cast("array<double>").alias("features"), F.col(target).cast("double").alias("t"), w.alias("w")))
+    small, large = groups.parted(rows, keys, F.size("features"), cells)
+    fields = [rows.schema[k] for k in keys]
+    found = [(n, ST.LongType()) for n in ("node",)] + [("feature", ST.IntegerType()), ("threshold", ST.DoubleType()), ("prediction", ST.DoubleType()), ("n", ST.LongType())]
+    schema = ST.StructType(fields + [ST.StructField(n, t) for n, t in found])
+    parts = []
+    if small is not None:
+        parts.append(groups.map_groups(small, keys, _whole(keys, depth, min_split, max_leaves, draw), schema))
+    if large is not None:
+        # Keys have names of their own there, which no sum's name can be, and are never null, so that plain joins find them.
+        own = {k: f"_key{i}" for i, k in enumerate(keys)}
+        held = large.select(*[F.struct(F.col(k).alias("v")).alias(v) for k, v in own.items()], "features", "t", "w")
+        levels = _by_levels(held, list(own.values()), depth, min_split, max_leaves, draw and (f"{own[draw[0]]}.v", draw[1]), bins)
+        parts.append(levels.select(*[F.col(v)["v"].alias(k) for k, v in own.items()], *schema.names[len(keys) :]))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return cut(out.select(*by, path_of(F.col("node")).alias("path"), (F.length(F.bin("node")) - 1).cast("int").alias("depth"), F.col("feature").isNull().alias("is_leaf"), "feature", "threshold", "prediction", "n"))
+
+
+def drawn_features(key: int, node: int, d: int, most: int) -> list[int]:
+    """The features that a node may split on: those of the ``most`` smallest hashes, as :func:`_by_levels` finds them."""
+    as_bytes = lambda v: int(v).to_bytes(8, "little", signed=True)
+    seed = xxhash.xxh64_intdigest(as_bytes(node), xxhash.xxh64_intdigest(as_bytes(key), 42))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return sorted(range(d), key=lambda f: (signed(xxhash.xxh64_intdigest(as_bytes(f), seed)), f))[:most]
+
+
+def best_of(x: np.ndarray, t: np.ndarray, w: np.ndarray, slot: np.ndarray, slots: int, min_split: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, gain) of the best split of each slot of rows; feature -1 where there is none.
+
+    ``allowed``: slots x features that may be split on.
+    """
+    n, sums = np.bincount(slot, w, slots), np.bincount(slot, w * t, slots)
+    count = np.bincount(slot, minlength=slots)
+    # Targets less their slot's mean add up to 0 in each slot, so one running sum serves all of them without losing digits.
+    centred = w * (t - (sums / n)[slot])
+    feature, threshold, best = np.full(slots, -1, np.int64), np.zeros(slots), np.zeros(slots)
+    for f in range(x.shape[1]):
+        order = np.lexsort((x[:, f], slot))
+        at, v = slot[order], x[order, f]
+        new = np.append(True, at[1:] != at[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        nl, sl = np.cumsum(w[order]), np.cumsum(centred[order])
+        edge = np.flatnonzero(np.append((at[1:] == at[:-1]) & (v[1:] != v[:-1]), False) & (count[at] >= min_split))
+        if allowed is not None:
+            edge = edge[allowed[at[edge], f]]
+        here = at[edge]
+        k = nl[edge] - (nl[first[edge]] - w[order][first[edge]])
+        s = sl[edge] - (sl[first[edge]] - centred[order][first[edge]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.round(s * s * n[here] / (k * (n[here] - k)), 9)
+        good = gain > 0
+        edge, here, gain = edge[good], here[good], gain[good]
+        if not len(edge):
+            continue
+        begin = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+        top = np.maximum.reduceat(gain, begin)
+        top_at = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(begin, len(here)))))
+        _, one = np.unique(here[top_at], return_index=True)
+        place, own = edge[top_at[one]], here[begin]
+        better = top > best[own]
+        own, place = own[better], place[better]
+        best[own], feature[own], threshold[own] = top[better], f, (v[place] + v[place + 1]) / 2
+    return feature, threshold, best
+
+
+def grow_arrays(x: np.ndarray, t: np.ndarray, w: np.ndarray, model: np.ndarray, depth: int, min_split: int = 2, max_leaves: int | None = None, drawn=None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Nodes of the trees of models numbered from 0 (model, node, feature, threshold, prediction, n), and each row's leaf.
+
+    ``drawn``: (model, node) -> features that may be split on.
+    """
+    node, width, active = np.ones(len(t), np.int64), 1 << (depth + 1), np.arange(len(t))
+    splits, used = [], np.zeros(int(model.max(initial=-1)) + 1, np.int64)
+    for _ in range(depth):
+        if not len(active):
+            break
+        slots, at = np.unique(model[active] * width + node[active], return_inverse=True)
+        allowed = None
+        if drawn is not None:
+            allowed = np.zeros((len(slots), x.shape[1]), bool)
+            for i, s in enumerate(slots.tolist()):
+                allowed[i, drawn(s // width, s % width)] = True
+        feature, threshold, gain = best_of(x[active], t[active], w[active], at, len(slots), min_split, allowed)
+        if max_leaves is not None:
+            order = np.lexsort((slots, -gain, slots // width))
+            order = order[feature[order] >= 0]
+            own = slots[order] // width
+            rank = np.arange(len(own)) - np.searchsorted(own, own) + 1
+            feature[order[rank + used[own] + 1 > max_leaves]] = -1
+            np.add.at(used, slots[feature >= 0] // width, 1)
+        split = feature >= 0
+        splits.append((slots[split], feature[split], threshold[split]))
+        active, at = active[split[at]], at[split[at]]
+        node[active] = 2 * node[active] + (x[active, feature[at]] > threshold[at])
+    up = [(model * width + (node >> d))[(node >> d) > 0] for d in range(depth + 1)]
+    rows = [np.flatnonzero((node >> d) > 0) for d in range(depth + 1)]
+    slots, at = np.unique(np.concatenate(up), return_inverse=True)
+    i = np.concatenate(rows)
+    n = np.bincount(at, minlength=len(slots))
+    prediction = np.bincount(at, w[i] * t[i], len(slots)) / np.bincount(at, w[i], len(slots))
+    feature, threshold = np.full(len(slots), -1, np.int64), np.full(len(slots), np.nan)
+    for s, f, v in splits:
+        place = np.searchsorted(slots, s)
+        feature[place], threshold[place] = f, v
+    return {"model": slots // width, "node": slots % width, "feature": feature, "threshold": threshold, "prediction": prediction, "n": n}, node
+
+
+def _whole(keys: list[str], depth: int, min_split: int, max_leaves: int | None, draw: tuple[str, int] | None):
+    """Trees of some whole models: keys.., node, feature, threshold, prediction, n."""
+
+    def run(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, t, w = groups.matrix(table, "features"), groups.numbers(table, "t"), groups.numbers(table, "w")
+        model = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+        drawn = None
+        if draw is not None:
+            own = table.column(draw[0]).take(pa.array(first)).to_pylist()
+            drawn = lambda m, node: drawn_features(own[m], node, x.shape[1], draw[1])
+        found, _ = grow_arrays(x, t, w, model, depth, min_split, max_leaves, drawn)
+        at, inner = pa.array(first[found["model"]]), found["feature"] >= 0
+        columns = [table.column(k).take(at).combine_chunks() for k in keys]
+        columns += [pa.array(found["node"]), pa.array(found["feature"].astype(np.int32), mask=~inner), pa.array(found["threshold"], mask=~inner), pa.array(found["prediction"]), pa.array(found["n"])]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "node", "feature", "threshold", "prediction", "n"])
+
+    return run
+
+
+def _bin(v: Column, ends: Column, bins: int) -> Column:
+    """How many of the rising ``ends``, of which there are fewer than ``bins``, lie below v: by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bins.bit_length() - 1))])
+    below = lambda p, s: (p + s <= F.size(ends)) & F.coalesce(F.try_element_at(ends, p + s) < v, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(below(p, s), p + s).otherwise(p))
+
+
+def _meet(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    return rows.join(small, keys, how) if keys else rows.crossJoin(F.broadcast(small))
+
+
+def _by_levels(rows: DataFrame, keys: list[str], depth: int, min_split: int, max_leaves: int | None, draw: tuple[str, int] | None, bins: int) -> DataFrame:
+    """Trees of models of any size: keys.., node, feature, threshold, prediction, n."""
     by = [*keys, "node"]
-    # Every level reads the rows again; what they come from is computed once. A row finds its node by one walk down the
-    # splits so far, which are one small map a model, so that a level joins once and no level repeats those before it.
-    rows = cut(rows.select(*keys, "features", target))
-    at = rows.withColumn("node", F.lit(1).cast("long"))
-    levels = [best_splits(at, keys, target, min_split).limit(0)]
-    splits = levels[0]
+    values = rows.select(*keys, F.posexplode("features").alias("f", "v"))
+    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    ends = values.groupBy(*keys, "f").agg(F.array_distinct(F.percentile_approx("v", probs, F.lit(8 * bins))).alias("ends"))
+    model = cut(ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "ends"))), lambda e: e["ends"]).alias("ends")))
+    binned = F.transform("features", lambda v, i: F.struct(v.alias("v"), _bin(v, F.element_at("ends", i + 1), bins).alias("b")))
+    rows = cut(_meet(rows, model, keys).select(*keys, "features", "t", "w", binned.alias("cells")))
+    mean = (F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("prediction")
+    none = [F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold")]
+    #: All nodes so far with their means, of which the last level's have no split yet.
+    nodes = cut(rows.groupBy(*keys).agg(mean).select(*keys, F.lit(1).cast("long").alias("node"), *none, "prediction", F.lit(0.0).alias("gain")))
+
+    def placed() -> DataFrame:
+        maps = compact(nodes.withColumn("depth", F.length(F.bin("node")) - 1), keys)
+        at = leaf_node(F.col("tree"), F.col("levels"), F.col("features"))
+        met = _meet(rows, maps, keys).withColumn("node", at)
+        return met.withColumn("mean", F.col("tree")[F.col("node")]["prediction"]).drop("tree", "levels")
+
     for level in range(depth):
-        found = best_splits(at.where(F.col("node") >= 2**level), keys, target, min_split)
-        if max_leaves is not None:
-            found = _within(found, levels, keys, max_leaves)
-        levels.append(cut(found))
-        splits = splits.unionByName(levels[-1])
-        maps = compact(splits.select(*by, "feature", "threshold", F.lit(0.0).alias("prediction"), F.lit(level + 1).alias("depth")), keys)
-        met = rows.join(maps, keys, "left") if keys else rows.crossJoin(F.broadcast(maps))
-        at = met.withColumn("node", F.coalesce(leaf_node(F.col("tree"), F.col("levels"), F.col("features")), F.lit(1).cast("long"))).drop("tree", "levels")
-    leaves = at.groupBy(*by).agg(F.count("*").alias("n"), F.sum(target).alias("s"))
+        open_ = placed().where(F.col("node") >= 1 << level)
+        off = F.col("t") - F.col("mean")
+        cells = open_.select(*by, "w", (F.col("w") * off).alias("c"), (F.col("w") * off * off).alias("q"), F.posexplode("cells").alias("f", "cell")).select(*by, "w", "c", "q", "f", "cell.v", "cell.b")
+        sums = cells.groupBy(*by, "f", "b").agg(F.sum("w").alias("n"), F.count("*").alias("k"), F.sum("c").alias("s"), F.sum(F.greatest("c", F.lit(0.0))).alias("p"), F.sum("q").alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("w").alias("least"))
+        each = W.partitionBy(*by, "f")
+        upto = each.orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+        table = sums.select("*", (F.sum("n").over(upto) - F.col("n")).alias("n0"), (F.sum("s").over(upto) - F.col("s")).alias("s0"), F.sum("n").over(each).alias("all"), F.sum("k").over(each).alias("rows"), F.lead("lo").over(each.orderBy("b")).alias("after"))
+        table = table.where(F.col("rows") >= min_split)
+        if draw is not None:
+            order = F.dense_rank().over(W.partitionBy(*by).orderBy(F.xxhash64(F.col(draw[0]).cast("long"), F.col("node").cast("long"), F.col("f").cast("long")), "f"))
+            table = table.withColumn("drawn", order).where(F.col("drawn") <= draw[1]).drop("drawn")
+        table = cut(table)
+        all_, gained = F.col("all"), lambda s, n: F.try_divide(s * s * F.col("all"), n * (F.col("all") - n))
+        between = table.where("after is not null").select(*by, "f", F.col("hi").alias("v"), F.col("after").alias("next"), (F.col("n0") + F.col("n")).alias("nl"), (F.col("s0") + F.col("s")).alias("sl"), "all")
+        between = between.withColumn("gain", F.round(gained(F.col("sl"), F.col("nl")), 9)).where("gain > 0")
+        reach = between.groupBy(*by).agg(F.max("gain").alias("reach"))
+        # Inside a bin the left side has between one row of it and all but one, and a sum between that of its negative and of its positive parts;
+        # and by Cauchy's inequality the bin adds its sum of squares to the gain at most.
+        side = F.greatest(F.abs(F.col("s0") + F.col("p")), F.abs(F.col("s0") - (F.col("p") - F.col("s"))))
+        corner = F.greatest(gained(side, F.col("n0") + F.col("least")), gained(side, F.col("n0") + F.col("n") - F.col("least")))
+        rest, rest_n = F.col("s0") + F.col("s"), all_ - F.col("n0") - F.col("n")
+        apart = F.when(F.col("n0") > 0, F.try_divide(F.col("s0") * F.col("s0"), F.col("n0"))).otherwise(0.0) + F.when(rest_n > F.col("least") / 2, F.try_divide(rest * rest, rest_n)).otherwise(0.0) + F.col("q")
+        bound = F.coalesce(F.least(corner, apart), apart)
+        inside = table.where("lo < hi").withColumn("bound", bound).join(reach, by, "left").where(F.col("bound") * (1 + 1e-9) + 1e-9 >= F.coalesce("reach", F.lit(0.0)))
+        inside = inside.select(*by, "f", "b", "n0", "s0", "all", "after")
+        exact = cells.join(inside, [*by, "f", "b"]).groupBy(*by, "f", "b", "n0", "s0", "all", "after", "v").agg(F.sum("w").alias("n"), F.sum("c").alias("s"))
+        one = W.partitionBy(*by, "f", "b").orderBy("v")
+        left = one.rowsBetween(W.unboundedPreceding, 0)
+        exact = exact.select(*by, "f", "v", F.coalesce(F.lead("v").over(one), F.col("after")).alias("next"), (F.col("n0") + F.sum("n").over(left)).alias("nl"), (F.col("s0") + F.sum("s").over(left)).alias("sl"), "all")
+        exact = exact.where("next is not null").withColumn("gain", F.round(gained(F.col("sl"), F.col("nl")), 9)).where("gain > 0")
+        first = F.min(F.struct((-F.col("gain")).alias("loss"), "f", "v", "next", "nl", "sl", "all")).alias("x")
+        split = between.unionByName(exact).groupBy(*by).agg(first).select(*by, F.col("x.f").cast("int").alias("split_on"), ((F.col("x.v") + F.col("x.next")) / 2).alias("split_at"), (-F.col("x.loss")).alias("won"), (F.col("x.sl") / F.col("x.nl")).alias("to_left"), F.try_divide(-F.col("x.sl"), F.col("x.all") - F.col("x.nl")).alias("to_right"))
+        split = cut(split if max_leaves is None else _within(split, nodes, keys, max_leaves))
+        if split.isEmpty():
+            break
+        met = nodes.join(split, by, "left")
+        done = met.select(*by, F.coalesce("split_on", "feature").alias("feature"), F.coalesce("split_at", "threshold").alias("threshold"), "prediction", F.coalesce("won", "gain").alias("gain"))
+        new = met.where("split_on is not null").select(*keys, F.explode(F.array(F.struct((2 * F.col("node")).alias("node"), (F.col("prediction") + F.col("to_left")).alias("prediction")), F.struct((2 * F.col("node") + 1).alias("node"), (F.col("prediction") + F.col("to_right")).alias("prediction")))).alias("x"))
+        nodes = cut(done.unionByName(new.select(*keys, "x.node", *none, "x.prediction", F.lit(0.0).alias("gain"))))
+    leaves = placed().groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("t")).alias("s"))
     # Inner nodes get the sums of the leaves below them.
-    up = leaves.select(*keys, "n", "s", F.explode(F.expr(f"transform(sequence(0, {depth}), d -> shiftright(node, d))")).alias("node")).where("node > 0")
-    nodes = up.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), (F.sum("s") / F.sum("n")).alias("prediction"))
-    out = nodes.join(splits.drop("gain"), by, "left")
-    return cut(out.select(*by, path_of(F.col("node")).alias("path"), (F.length(F.bin("node")) - 1).cast("int").alias("depth"), F.col("feature").isNull().alias("is_leaf"), "feature", "threshold", "prediction", "n"))
+    up = leaves.select(*keys, "n", "w", "s", F.explode(F.expr(f"transform(sequence(0, {depth}), d -> shiftright(node, d))")).alias("node")).where("node > 0")
+    sums = up.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), (F.sum("s") / F.sum("w")).alias("prediction"))
+    return sums.join(nodes.select(*by, "feature", "threshold"), by, "left")
 
 
-def _within(splits: DataFrame, before: Sequence[DataFrame], keys: list[str], most: int) -> DataFrame:
-    done = before[0].groupBy(*keys).agg(F.count("*").alias("_k")) if keys else None
-    for b in before[1:]:
-        more = b.groupBy(*keys).agg(F.count("*").alias("_k"))
-        done = more if done is None else done.unionByName(more)
-    used = done.groupBy(*keys).agg(F.sum("_k").alias("_k"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("gain"), "node"))
-    joined = splits.join(used, keys, "left") if keys else splits.crossJoin(F.broadcast(used))
-    return joined.withColumn("_rn", rank).where(F.col("_rn") + F.coalesce("_k", F.lit(0)) + 1 <= most).drop("_rn", "_k")
+def _within(splits: DataFrame, nodes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The best of a level's ``splits`` (won) that still fit ``most`` leaves."""
+    used = nodes.groupBy(*keys).agg(F.count("feature").alias("_k"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("won"), "node"))
+    return _meet(splits, used, keys).withColumn("_rn", rank).where(F.col("_rn") + F.col("_k") + 1 <= most).drop("_rn", "_k")
 
 
 def compact(trees: DataFrame, keys: Sequence[str]) -> DataFrame:
