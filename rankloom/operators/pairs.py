@@ -40,6 +40,38 @@ def pairs(df: DataFrame, keys: Sequence[str], size: float | int = 1.0, salts: tu
     return side(a, "a").join(side(b, "b"), list(keys))
 
 
+def precomputed_targets(met: DataFrame, targets: DataFrame, n_a: int, n_b: int) -> DataFrame:
+    """``met`` (idx_a, idx_b: positions from 0 of a pair's rows; at: its own position) with the pair's given ``target``.
+
+    ``targets`` is a matrix as rows (i, values), or a vector (at, value): of a value for each pair of ``met``, or of n_a * n_b
+    values, row after row. Lengths that fit neither are an error. Cells are found by joins on position.
+    """
+    if "values" in targets.columns:
+        shape = targets.agg(F.count("*").alias("n"), F.countDistinct("i").alias("i"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.min(F.size("values")).alias("least"), F.max(F.size("values")).alias("most")).first()
+        if n_a and (shape["n"], shape["i"], shape["lo"], shape["hi"], shape["least"], shape["most"]) != (n_a, n_a, 0, n_a - 1, n_b, n_b):
+            raise ValueError(f"a matrix of {shape['n']} rows of {shape['least']} to {shape['most']} values, where {n_a} of {n_b} are due")
+        cells = targets.select(F.col("i").cast("long").alias("idx_a"), "values")
+        return met.join(cells, "idx_a").withColumn("target", F.element_at("values", (F.col("idx_b") + 1).cast("int")).cast("double")).select(*met.columns, "target")
+    n = targets.count()
+    cells = targets.select(F.col("at").cast("long").alias("_at"), F.col("value").cast("double").alias("target"))
+    if n == met.count():
+        place = F.col("at")
+    elif n == n_a * n_b:
+        place = F.col("idx_a") * F.lit(n_b) + F.col("idx_b")
+    else:
+        raise ValueError(f"a vector of {n} values, where {met.count()} or {n_a * n_b} are due")
+    return met.withColumn("_at", place.cast("long")).join(cells, "_at").select(*met.columns, "target")
+
+
+def self_supervised(met: DataFrame, targets: DataFrame | None = None, n_a: int = 0, n_b: int = 0, metric: str = "euclidean") -> DataFrame:
+    """``met`` (features_a, features_b, and positions if there are targets) with the pair's given target, or else its distance by ``metric``."""
+    if targets is not None:
+        return precomputed_targets(met, targets, n_a, n_b)
+    if metric not in vectors.METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    return met.withColumn("target", vectors.METRICS[metric](F.col("features_a"), F.col("features_b")))
+
+
 def nearest(test: DataFrame, train: DataFrame, keys: Sequence[str], k: int, distance: Callable[[Column, Column], Column] = vectors.euclid, train_id: str = "doc_id") -> DataFrame:
     """keys, qid, doc_id, neighbour, value, d, rank: the k nearest rows of ``train`` (``value`` is its residual or label).
 
