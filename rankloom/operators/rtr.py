@@ -15,13 +15,15 @@ from pyspark.sql import Window as W
 
 from rankloom.functions import vectors
 from rankloom.operators import pairs as P
+from rankloom.operators import rulecard as C
 from rankloom.operators import trees as T
 from rankloom.storage import cut
 
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a ranker. objective: residuals, y or dist; distance None is Euclid; mixed: neighbours within the query."""
+    """Settings of a ranker. objective: residuals, y or dist; distance None is Euclid; mixed: neighbours within the query;
+    card: the learned distance is a rule card of these settings instead of one tree."""
 
     depth: int = 2
     distance_depth: int | None = 2
@@ -32,6 +34,11 @@ class Config:
     mixed: bool = False
     min_split: int = 2
     max_leaves: int | None = None
+    card: C.CardConfig | None = None
+
+    @property
+    def learned(self) -> bool:
+        return self.distance_depth is not None or self.card is not None
 
     def with_(self, **changes) -> Config:
         return replace(self, **changes)
@@ -72,7 +79,12 @@ class Ranker:
         rows = df.select(*self.leaf_keys, *own, F.col("features").alias("_f"))
         met = rows.join(train, self.leaf_keys)
         by, cells = list(dict.fromkeys([*self.leaf_keys, "qid", "doc_id"])), []
-        if learned:
+        if learned and self.config.card is not None:
+            width = self.store.select(F.size("features").alias("d")).first()
+            met = met.withColumn("features", vectors.pair_features(F.col("_f"), F.col("_g"), self.config.use))
+            met = C.predict(met, self.distances, self.pair_keys, width["d"] if width else 0).withColumnRenamed("distance", "d")
+            cells.append("d")
+        elif learned:
             met = T.apply(met.withColumn("features", vectors.pair_features(F.col("_f"), F.col("_g"), self.config.use)), self.distances, self.pair_keys, "d", "pair_leaf")
             cells += ["pair_leaf", "d"]
         if euclid:
@@ -131,11 +143,13 @@ def fit(train: DataFrame, config: Config, keys: Sequence[str] = ("model_key",))
     store = cut(T.apply(train, trees, keys).withColumn("value", F.col("y") - F.col("score")))
     leaf_keys = [*keys, "leaf", *(["qid"] if config.mixed and "qid" not in keys else [])]
     distances = None
-    if config.distance_depth is not None:
+    if config.learned:
+        if config.card is not None and "pair" not in config.use:
+            raise ValueError("a rule card's distance needs both rows among the pair features")
         slim = store.select(*dict.fromkeys([*leaf_keys, "qid", "doc_id", "y", "features", "value"]))
         met = P.pairs(slim, leaf_keys, config.subsample)
         learn = met.select(*leaf_keys, vectors.pair_features(F.col("features_a"), F.col("features_b"), config.use).alias("features"), pair_target(config.objective).alias("target"))
-        distances = T.grow(learn, leaf_keys, config.distance_depth)
+        distances = T.grow(learn, leaf_keys, config.distance_depth) if config.card is None else C.fit(learn, leaf_keys, config.card)
     return Ranker(config, keys, trees, store, distances, leaf_keys)
 
 
@@ -152,7 +166,7 @@ def explain(ranker: Ranker, df: DataFrame) -> DataFrame:
     base = cut(ranker.stage1(df))
     by = list(dict.fromkeys([*ranker.keys, "qid", "doc_id"]))
     near = ranker.neighbours(base)
-    cells = F.struct("rank", "neighbour", "value", "d", *(["pair_leaf"] if ranker.distances is not None else []))
+    cells = F.struct("rank", "neighbour", "value", "d", *(["pair_leaf"] if ranker.distances is not None and ranker.config.card is None else []))
     grouped = near.groupBy(*by).agg(F.sort_array(F.collect_list(cells)).alias("neighbours"), F.avg("value").alias("correction"))
     rules = T.decision_path(base.select(*by, "leaf"), ranker.trees, ranker.keys).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "rule"))), lambda s: s["rule"]).alias("rule_shallow"))
     out = base.join(grouped, by, "left").join(rules, by, "left")

@@ -1,26 +1,40 @@
-"""Boosted additive pairwise distances (rule cards): one small tree a round over the pair features of one feature.
+"""Boosted additive pairwise distances (rule cards): each round adds one small tree over one column of the pair features.
 
-Boosting is sequential inside a leaf and independent between leaves, so leaves are grouped rows of one job: each group
-fits with numpy in one task. Leaves are bounded by the pair subsample; the result is a table of rules.
+A round fits a tree for every column on the round's tenth of the training pairs, and keeps the one with the least mean
+absolute error on all of them. Groups are independent of each other. Groups of up to ``CELLS`` pairs times columns are boosted
+by tasks, all those of a task in step; larger ones take each round as Spark jobs: the trees of all groups and columns, the
+errors of all columns, and the residuals as columns. Both ways give the same rules.
+
+Pairs stand in the order of a hash of their features and target. The first of them validate; a round's sample is the next
+stretch of the rest, which begins anew at its end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql import Window as W
+
+from rankloom.operators import groups
+from rankloom.operators import trees as T
+from rankloom.storage import cut
 
 RULES = "round int, node long, is_leaf boolean, feature int, threshold double, prediction double, support long, base double, offset double"
+#: Pairs of a group at least; an error that counts as no error.
+FEWEST, SMALL = 3, 1e-3
 
 
 @dataclass(frozen=True)
 class CardConfig:
-    """rounds, rate, depth of a round's tree; patience for early stopping; share of pairs a candidate is fitted on; share
-    kept for validation; pairs on which the shift that keeps distances positive is found."""
+    """rounds, rate, depth of a round's tree; patience for early stopping; share of the training pairs that a round's trees are
+    fitted on; share kept for validation; pairs on which the shift that keeps distances positive is found; whether a column
+    may be taken again; whether a stop also drops the last good round, as it is counted one late."""
 
     rounds: int = 20
     rate: float = 0.2
@@ -29,149 +43,195 @@ class CardConfig:
     sample: float = 0.1
     valid: float = 0.2
     shift_pairs: int = 2000
-    seed: int = 7
+    reuse: bool = True
     drop_stale_extra: bool = True
 
 
-def small_tree(x: np.ndarray, y: np.ndarray, depth: int) -> dict[int, tuple]:
-    """node -> (feature, threshold, prediction, n): least-squares splits, values up to the threshold left."""
-    out: dict[int, tuple] = {}
-
-    def split(node: int, at: np.ndarray, left: int) -> None:
-        best = None
-        if left and len(at) > 1:
-            for f in range(x.shape[1]):
-                order = at[np.argsort(x[at, f], kind="stable")]
-                v, s = x[order, f], np.cumsum(y[order])
-                n = np.arange(1, len(order))
-                gain = s[:-1] ** 2 / n + (s[-1] - s[:-1]) ** 2 / (len(order) - n) - s[-1] ** 2 / len(order)
-                gain[v[1:] == v[:-1]] = -1
-                k = int(np.argmax(gain))
-                if gain[k] > 1e-12 and (best is None or gain[k] > best[0] + 1e-12):
-                    best = (gain[k], f, (v[k] + v[k + 1]) / 2)
-        out[node] = (best[1] if best else None, best[2] if best else None, float(y[at].mean()), len(at))
-        if best:
-            right = x[at, best[1]] > best[2]
-            split(2 * node, at[~right], left - 1)
-            split(2 * node + 1, at[right], left - 1)
-
-    split(1, np.arange(len(y)), depth)
-    return out
-
-
-def predict_tree(tree: dict[int, tuple], x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    for i, row in enumerate(x):
-        node = 1
-        while tree[node][0] is not None:
-            node = 2 * node + int(row[tree[node][0]] > tree[node][1])
-        out[i] = tree[node][2]
-    return out
-
-
-def boost(x: np.ndarray, y: np.ndarray, groups: Sequence[Sequence[int]], c: CardConfig) -> tuple[float, list[tuple[int, dict[int, tuple]]], float]:
-    """Base, rounds of (candidate group, tree over its columns), and the shift: |smallest raw value| on sampled pairs.
-
-    A round fits a tree for each unused group of columns on a sample, keeps the one with the least mean absolute error on
-    the training pairs, and stops after ``patience`` rounds without a better validation error. When it stops, the stale
-    rounds go; ``drop_stale_extra`` also drops the last good one, as a stop is counted one late.
+def boost(x: np.ndarray, y: np.ndarray, group: np.ndarray, c: CardConfig) -> Iterator[tuple[int, int, int, dict[int, tuple], float, float]]:
+    """(group, round, column, tree, base, shift) of each round kept. Rows come by group, in the groups' order of pairs.
+
+    tree: node -> (threshold or None, value, pairs fitted on). A round that doesn't make the validation error smaller than at
+    the last round that did counts as stale, and its tree is no part of later validation errors; the training residuals
+    follow every round. The base is the mean of all pairs.
     """
-    rng = np.random.default_rng(c.seed)
-    order = rng.permutation(len(y))
-    cut = max(1, int(round(len(y) * c.valid)))
-    va, tr = order[:cut], order[cut:]
-    base = float(y[tr].mean())
-    rest, vrest = y[tr] - base, y[va] - base
-    rounds: list[tuple[int, dict]] = []
-    best, stale, used = float(np.abs(vrest).mean()), 0, set()
-    for _ in range(c.rounds):
-        open_ = [g for g in range(len(groups)) if g not in used] or list(range(len(groups)))
-        if len(open_) == len(groups):
-            used = set()
-        some = rng.choice(len(tr), max(2, min(len(tr), round(len(tr) * c.sample))), replace=False)
-        found = None
-        for g in open_:
-            cols = list(groups[g])
-            tree = small_tree(x[np.ix_(tr[some], cols)], rest[some], c.depth)
-            error = float(np.abs(rest - c.rate * predict_tree(tree, x[np.ix_(tr, cols)])).mean())
-            if found is None or error < found[0] - 1e-15:
-                found = (error, g, tree)
-        _, g, tree = found
-        cols = list(groups[g])
-        used.add(g)
-        rest = rest - c.rate * predict_tree(tree, x[np.ix_(tr, cols)])
-        vrest = vrest - c.rate * predict_tree(tree, x[np.ix_(va, cols)])
-        rounds.append((g, tree))
-        error = float(np.abs(vrest).mean())
-        if error < best - 1e-12:
-            best, stale = error, 0
-        else:
-            stale += 1
-            if stale >= c.patience:
-                rounds = rounds[: max(0, len(rounds) - stale - int(c.drop_stale_extra))]
-                break
-    raw = np.full(len(y), base)
-    for g, tree in rounds:
-        raw += c.rate * predict_tree(tree, x[:, list(groups[g])])
-    shift = raw[rng.choice(len(raw), min(len(raw), c.shift_pairs), replace=False)]
-    return base, rounds, max(0.0, -float(shift.min()))
-
-
-def column_groups(d: int, blocks: int) -> list[list[int]]:
-    """The pair columns of each feature: position i of every block of d columns."""
-    return [[b * d + i for b in range(blocks)] for i in range(d)]
-
-
-def fit(pairs: DataFrame, keys: Sequence[str], d: int, config: CardConfig | None = None) -> DataFrame:
-    """Rule tables by group: keys.. and RULES. ``pairs``: keys.., features (blocks of d), target.
-
-    Groups with fewer than three pairs, or without a round that helps, have no rules: their distance is squared Euclid.
+    size = np.bincount(group)
+    many, d, width = len(size), x.shape[1], 1 << (c.depth + 1)
+    place = np.arange(len(y)) - (np.cumsum(size) - size)[group]
+    n_val = (c.valid * size).astype(np.int64)
+    n_tr = size - n_val
+    inner = np.maximum(1, (n_tr * c.sample).astype(np.int64))
+    base = np.bincount(group, y) / size
+    train = place >= n_val[group]
+    rest = y - base[group]
+    held = rest.copy()
+    mean = lambda g, v, n: np.divide(np.bincount(g, v, many), n, out=np.full(many, np.nan), where=n > 0)
+    score = mean(group[~train], np.abs(held[~train]), n_val)
+    active, wait, keep, open_ = size >= FEWEST, np.zeros(many, np.int64), np.full(many, c.rounds), np.ones((many, d), bool)
+    rounds = []
+    for r in range(c.rounds):
+        if not active.any():
+            break
+        rows = np.flatnonzero(active[group])
+        own, fit = group[rows], train[rows]
+        tr = rows[fit]
+        g = group[tr]
+        some = tr[(place[tr] - n_val[g] - r * inner[g]) % n_tr[g] < inner[g]]
+        model = (group[some][:, None] * d + np.arange(d)).ravel()
+        found, _ = T.grow_arrays(x[some].reshape(-1, 1), np.repeat(rest[some], d), np.ones(len(model)), model, c.depth)
+        threshold, value, support = np.full((many * d, width), np.nan), np.zeros((many * d, width)), np.zeros((many * d, width), np.int64)
+        at = found["model"], found["node"]
+        threshold[at], value[at], support[at] = found["threshold"], found["prediction"], found["n"]
+        key = own[:, None] * d + np.arange(d)
+        added = c.rate * _walk(threshold, value, key, x[rows], c.depth)
+        error = np.bincount(key[fit].ravel(), np.abs(rest[rows][:, None] - added)[fit].ravel(), many * d).reshape(many, d) / np.maximum(n_tr, 1)[:, None]
+        error = np.where(open_, np.round(error, 12), np.inf)
+        best = error.argmin(axis=1)
+        active &= np.isfinite(error.min(axis=1))
+        keep = np.where(active | (keep < c.rounds) | (size < FEWEST), keep, np.minimum(keep, r))
+        step = added[np.arange(len(rows)), best[own]]
+        now = mean(own[~fit], np.abs(held[rows][~fit] - step[~fit]), n_val)
+        good = (now < score) | (now <= SMALL)
+        wait = np.where(good, 0, wait + 1)
+        stop = active & (wait >= c.patience)
+        keep = np.where(stop, np.maximum(0, r - wait + (0 if c.drop_stale_extra else 1)), keep)
+        active &= ~stop
+        go = good[own] & ~fit
+        held[rows[go]] -= step[go]
+        score = np.where(good, now, score)
+        rest[rows] -= step
+        if not c.reuse:
+            open_[np.flatnonzero(active), best[active]] = False
+        pick = np.arange(many) * d + best
+        rounds.append((active.copy(), best, threshold[pick], value[pick], support[pick]))
+    rounds = [(on & (keep > r), *tables) for r, (on, *tables) in enumerate(rounds)]
+    few = np.flatnonzero(place < c.shift_pairs)
+    raw = base[group[few]]
+    for on, best, threshold, value, _ in rounds:
+        step = c.rate * _walk(threshold, value, group[few][:, None], x[few, best[group[few]]][:, None], c.depth)[:, 0]
+        raw = raw + np.where(on[group[few]], step, 0.0)
+    low = np.full(many, np.inf)
+    np.minimum.at(low, group[few], raw)
+    for r, (on, best, threshold, value, support) in enumerate(rounds):
+        for g in np.flatnonzero(on).tolist():
+            tree = {n: (None if np.isnan(threshold[g, n]) else float(threshold[g, n]), float(value[g, n]), int(support[g, n])) for n in np.flatnonzero(support[g]).tolist()}
+            yield g, r, int(best[g]), tree, float(base[g]), max(0.0, -float(low[g]))
+
+
+def _walk(threshold: np.ndarray, value: np.ndarray, key: np.ndarray, x: np.ndarray, depth: int) -> np.ndarray:
+    """What the tree ``key`` says for each entry of ``x``."""
+    node = np.ones(x.shape, np.int64)
+    for _ in range(depth):
+        t = threshold[key, node]
+        node = np.where(np.isnan(t), node, 2 * node + (x > t))
+    return value[key, node]
+
+
+def _whole(keys: list[str], c: CardConfig):
+    def run(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = groups.matrix(table, "features"), groups.numbers(table, "target")
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+        at, rows = [], []
+        for g, r, f, tree, base, shift in boost(x, y, group, c):
+            for node, (t, v, n) in sorted(tree.items()):
+                at.append(first[g])
+                rows.append((r, node, t is None, None if t is None else f, t, c.rate * v, n, base, shift))
+        if rows:
+            types = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
+            columns = [table.column(k).take(pa.array(at)).combine_chunks() for k in keys]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]], names=[*keys, *[p.split()[0] for p in RULES.split(", ")]])
+
+    return run
+
+
+def _by_rounds(pairs: DataFrame, keys: list[str], c: CardConfig, cells: int) -> DataFrame:
+    """The same rules for groups of any size, a round at a time."""
+    # Places in two levels: pairs before each stretch of hashes, then inside it. No task orders a group.
+    marked = pairs.withColumn("_b", F.shiftright("_h", 52))
+    sizes = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    before = sizes.select(*keys, "_b", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_h", "features", "target"))
+    placed = marked.withColumn("_in", inside).join(before, [*keys, "_b"]).withColumn("place", F.col("_before") + F.col("_in") - 1)
+    stats = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("target").alias("base"))
+    n_val = F.floor(F.lit(c.valid) * F.col("n"))
+    stats = cut(stats.withColumn("n_val", n_val).withColumn("n_tr", F.col("n") - F.col("n_val")).withColumn("inner", F.greatest(F.lit(1), F.floor(F.col("n_tr") * F.lit(c.sample)))))
+    off = F.col("target") - F.col("base")
+    state = cut(placed.join(stats, keys).select(*keys, "features", "place", "n_val", "n_tr", "inner", off.alias("rest"), off.alias("held")))
+    first = state.where("place < n_val").groupBy(*keys).agg(F.avg(F.abs("held")).alias("score"))
+    turn = cut(stats.where(F.col("n") >= FEWEST).join(first, keys, "left").select(*keys, F.lit(0).alias("wait"), "score", F.lit(True).alias("active"), F.lit(c.rounds).alias("keep"), F.array().cast("array<int>").alias("taken")))
+    out = None
+    for r in range(c.rounds):
+        if turn.where("active").isEmpty():
+            break
+        rows = state.join(turn.where("active").select(*keys, "taken"), keys)
+        long = rows.select(*keys, "place", "n_val", "n_tr", "inner", "rest", "taken", F.posexplode("features").alias("c", "v")).where(~F.array_contains("taken", F.col("c")))
+        some = long.where((F.col("place") >= F.col("n_val")) & (F.pmod(F.col("place") - F.col("n_val") - r * F.col("inner"), F.col("n_tr")) < F.col("inner")))
+        by = [*keys, "c"]
+        grown = T.grow(some.select(*by, F.array("v").alias("features"), "rest"), by, c.depth, "rest", cells=cells)
+        maps = cut(T.compact(grown, by))
+        fit = long.where("place >= n_val").join(maps, by).withColumn("added", F.col("tree")[T.leaf_node(F.col("tree"), F.col("levels"), F.array("v"))]["prediction"] * c.rate)
+        error = fit.groupBy(*by).agg(F.round(F.avg(F.abs(F.col("rest") - F.col("added"))), 12).alias("error"))
+        best = cut(error.groupBy(*keys).agg(F.min(F.struct("error", "c")).alias("x")).select(*keys, F.col("x.c").alias("c")))
+        chosen = best.join(maps, by)
+        at = T.leaf_node(F.col("tree"), F.col("levels"), F.array(F.element_at("features", F.col("c") + 1)))
+        stepped = rows.drop("taken").join(chosen, keys).withColumn("step", F.col("tree")[at]["prediction"] * c.rate).drop("tree", "levels")
+        stepped = cut(stepped)
+        now = stepped.where("place < n_val").groupBy(*keys).agg(F.avg(F.abs(F.col("held") - F.col("step"))).alias("now"))
+        good = F.coalesce((F.col("now") < F.col("score")) | (F.col("now") <= SMALL), F.lit(False))
+        met = turn.join(best, keys, "left").join(now, keys, "left").withColumn("good", good).withColumn("wait", F.when(F.col("active"), F.when(F.col("good"), 0).otherwise(F.col("wait") + 1)).otherwise(F.col("wait")))
+        out_of = F.col("active") & F.col("c").isNull()
+        stop = F.col("active") & ~out_of & (F.col("wait") >= c.patience)
+        turn = cut(met.select(*keys, "wait", F.when(F.col("active") & F.col("good"), F.col("now")).otherwise(F.col("score")).alias("score"), (F.col("active") & ~stop & ~out_of).alias("active"), F.when(stop, F.greatest(F.lit(0), F.lit(r) - F.col("wait") + (0 if c.drop_stale_extra else 1))).when(out_of, F.lit(r)).otherwise(F.col("keep")).alias("keep"), F.when(F.lit(not c.reuse) & F.col("active") & F.col("c").isNotNull(), F.concat("taken", F.array("c"))).otherwise(F.col("taken")).alias("taken"), "good"))
+        on = turn.where("active").select(*keys, "good")
+        state = cut(stepped.join(on, keys).select(*keys, "features", "place", "n_val", "n_tr", "inner", (F.col("rest") - F.col("step")).alias("rest"), F.when(F.col("good") & (F.col("place") < F.col("n_val")), F.col("held") - F.col("step")).otherwise(F.col("held")).alias("held")))
+        tree = grown.join(best, by).join(on.drop("good"), keys)
+        part = cut(tree.select(*keys, F.lit(r).alias("round"), "node", "is_leaf", F.when(~F.col("is_leaf"), F.col("c").cast("int")).alias("feature"), "threshold", (F.col("prediction") * c.rate).alias("prediction"), F.col("n").alias("support")))
+        out = part if out is None else out.unionByName(part)
+    names = [p.split()[0] for p in RULES.split(", ")]
+    if out is None:
+        return pairs.limit(0).select(*keys, *[F.lit(None).cast(p.split()[1]).alias(p.split()[0]) for p in RULES.split(", ")])
+    kept = cut(out.join(turn.select(*keys, "keep"), keys).where("round < keep").drop("keep").join(stats.select(*keys, "base"), keys).withColumn("offset", F.lit(0.0)))
+    few = placed.where(F.col("place") < c.shift_pairs).select(*keys, "features")
+    low = predict(few, kept, keys, 0, plain=False).groupBy(*keys).agg(F.greatest(F.lit(0.0), -F.min("distance")).alias("offset"))
+    return kept.drop("offset").join(low, keys).select(*keys, *names)
+
+
+def fit(pairs: DataFrame, keys: Sequence[str], config: CardConfig | None = None, cells: int = T.CELLS) -> DataFrame:
+    """Rule tables by group: keys.. and RULES. ``pairs``: keys.., features (columns of a pair), target.
+
+    Groups with fewer than three pairs, or of which no round is kept, have no rules: their distance is squared Euclid. Keys
+    must not be null.
     """
-    c = config or CardConfig()
-    schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes) + ", " + RULES
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(pdf) >= 3:
-            pdf = pdf.assign(_k=[tuple(f) for f in pdf["features"]]).sort_values(["_k", "target"])
-            x, y = np.array(pdf["features"].tolist(), float), pdf["target"].to_numpy(float)
-            groups = column_groups(d, x.shape[1] // d)
-            base, rounds, shift = boost(x, y, groups, c)
-            for r, (g, tree) in enumerate(rounds):
-                for node, (f, t, p, n) in sorted(tree.items()):
-                    rows.append((r, node, f is None, None if f is None else groups[g][f], t, c.rate * p, n, base, shift))
-        names = [p.split()[0] for p in RULES.split(", ")]
-        out = pd.DataFrame(rows, columns=names).astype({"feature": "Int32", "round": "int32", "node": "int64", "support": "int64"})
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    return pairs.groupBy(*keys).applyInPandas(run, schema)
-
-
-def predict(pairs: DataFrame, rules: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
+    c, keys = config or CardConfig(), list(keys)
+    rows = cut(pairs.select(*keys, F.col("features").cast("array<double>").alias("features"), F.col("target").cast("double").alias("target")).withColumn("_h", F.xxhash64("features", "target")))
+    small, large = groups.parted(rows, keys, F.size("features"), cells)
+    schema = ST.StructType([*[rows.schema[k] for k in keys], *ST._parse_datatype_string(RULES).fields])
+    parts = [] if small is None else [groups.map_groups(small, keys, _whole(keys, c), schema, ["_h", "features", "target"])]
+    parts += [] if large is None else [_by_rounds(large, keys, c, cells).select(*schema.names)]
+    return cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def predict(pairs: DataFrame, rules: DataFrame, keys: Sequence[str], d: int, plain: bool = True) -> DataFrame:
     """``pairs`` (keys.., features with both rows in the first two blocks) with distance: base, rounds and shift summed, or
-    squared Euclid without rules."""
+    squared Euclid (null, if not ``plain``) without rules."""
     from rankloom.functions.vectors import squared_euclid
-    from rankloom.operators.trees import leaf_node
 
     entry = F.struct("node", F.struct("feature", "threshold", "prediction").alias("s"))
     trees = rules.groupBy(*keys, "round").agg(F.map_from_entries(F.collect_list(entry)).alias("tree"), F.max(F.length(F.bin("node")) - 1).alias("levels"), F.first("base").alias("base"), F.first("offset").alias("offset"))
     card = trees.groupBy(*keys).agg(F.collect_list(F.struct("tree", "levels")).alias("trees"), F.first("base").alias("base"), F.first("offset").alias("offset"))
     joined = pairs.join(card, list(keys), "left")
-    added = F.aggregate("trees", F.lit(0.0), lambda a, t: a + t["tree"][leaf_node(t["tree"], t["levels"], F.col("features"))]["prediction"])
-    plain = squared_euclid(F.slice("features", 1, d), F.slice("features", d + 1, d))
-    return joined.withColumn("distance", F.when(F.col("trees").isNull(), plain).otherwise(F.col("base") + F.col("offset") + added)).drop("trees", "base", "offset")
+    added = F.aggregate("trees", F.lit(0.0), lambda a, t: a + t["tree"][T.leaf_node(t["tree"], t["levels"], F.col("features"))]["prediction"])
+    euclid = squared_euclid(F.slice("features", 1, d), F.slice("features", d + 1, d)) if plain else F.lit(None).cast("double")
+    return joined.withColumn("distance", F.when(F.col("trees").isNull(), euclid).otherwise(F.col("base") + F.col("offset") + added)).drop("trees", "base", "offset")
 
 
 def rule_list(rules: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """keys.., round, feature (a readable name of the round's columns), rule, points, support: a row for each leaf."""
     from rankloom.functions.text import rename_features_column
-    from rankloom.operators.trees import leaf_rules, path_of
 
     by = [*keys, "round"]
-    tree = rules.select(*by, "node", path_of(F.col("node")).alias("path"), (F.length(F.bin("node")) - 1).cast("int").alias("depth"), "is_leaf", "feature", "threshold", "prediction", F.col("support").alias("n"))
-    return leaf_rules(tree, by).select(*by, rename_features_column(F.col("rule"), names).alias("rule"), F.col("prediction").alias("weight"), "support")
+    tree = rules.select(*by, "node", T.path_of(F.col("node")).alias("path"), (F.length(F.bin("node")) - 1).cast("int").alias("depth"), "is_leaf", "feature", "threshold", "prediction", F.col("support").alias("n"))
+    return T.leaf_rules(tree, by).select(*by, rename_features_column(F.col("rule"), names).alias("rule"), F.col("prediction").alias("weight"), "support")
 
 
 def readable(names: Sequence[str]) -> list[str]:

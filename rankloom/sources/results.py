@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.rtr import Config, Ranker
+from rankloom.operators.rulecard import CardConfig
 
 SELECTION = "qxm int, query array<bigint>, configs array<struct<{fields}>>, idx_best int, results array<double>"
 
@@ -61,7 +62,7 @@ def save_ranker(ranker: Ranker, path: str) -> None:
 
 def load_ranker(spark: SparkSession, path: str) -> Ranker:
     said = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    config = said["config"] | {"use": tuple(said["config"]["use"])}
+    config = said["config"] | {"use": tuple(said["config"]["use"]), "card": CardConfig(**said["config"]["card"]) if said["config"].get("card") else None}
     distances = spark.read.parquet(f"{path}/distances") if said["distances"] else None
     return Ranker(Config(**config), said["keys"], spark.read.parquet(f"{path}/trees"), spark.read.parquet(f"{path}/store"), distances, said["leaf_keys"])
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import clustering, rtr, rulecard, selection, sensitivity, splits, synthetic
+from rankloom.operators import clustering, rtr, selection, sensitivity, splits, synthetic
 from rankloom.operators import trees as T
 from rankloom.streaming import scorer
 
@@ -72,30 +72,6 @@ def test_full_is_score_plus_correction_and_unknown_leaves_get_none(spark):
         rtr.dispatch(df.drop("model_key"), splits.query_batches(train, 2))
 
 
-def test_rule_card_boosting():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 6))
-    y = 3 * (x[:, 4] > 0) + 0.01 * rng.normal(size=400)
-    base, rounds, shift = rulecard.boost(x, y, rulecard.column_groups(2, 3), rulecard.CardConfig(sample=0.5))
-    raw = base + sum(0.2 * rulecard.predict_tree(t, x[:, rulecard.column_groups(2, 3)[g]]) for g, t in rounds)
-    assert rounds and np.abs(raw - y).mean() < 0.6 * np.abs(y - base).mean() and shift >= 0
-    tree = rulecard.small_tree(x, y, 1)
-    assert tree[1][0] == 4 and abs(tree[1][1]) < 0.05
-
-
-def test_rule_card_table_predicts_as_numpy_and_falls_back(spark):
-    rng = np.random.default_rng(2)
-    rows = [(q, x.tolist(), float(3 * (x[4] > 0))) for q in (1, 2) for x in rng.normal(size=(80, 6))] + [(3, [1.0, 2.0, 4.0, 6.0, 3.0, 4.0], 1.0)]
-    pairs = spark.createDataFrame(rows, "qid long, features array<double>, target double")
-    rules = rulecard.fit(pairs, ["qid"], 2, rulecard.CardConfig(sample=0.5))
-    assert {r.qid for r in rules.select("qid").distinct().collect()} == {1, 2}
-    got = rulecard.predict(pairs, rules, ["qid"], 2).collect()
-    assert [r.distance for r in got if r.qid == 3] == [25.0]
-    near = [(r.distance, r.target) for r in got if r.qid != 3]
-    assert np.corrcoef(np.array(near).T)[0, 1] > 0.8
-    assert rulecard.rule_list(rules, ["qid"], rulecard.readable(["a", "b"])).where("rule not like '%X_%'").count() > 0
-
-
 def test_model_selection_pieces(spark):
     g = selection.grid(spark, {"a": [1, 2], "b": ["x", "y"]}, {"c": 0.5})
     assert g.count() == 4 and selection.configs_to_do(g, g.where("a = 1")).count() == 2
