@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rankloom.functions import text, vectors
+from rankloom.operators import boosting as B
 from rankloom.operators import experiments as X
+from rankloom.operators import linear as LN
 from rankloom.operators import metrics as M
 from rankloom.operators import pairs as P
 from rankloom.operators import rtr as R
@@ -20,18 +23,19 @@ from rankloom.sources import ltr as L
 
 # -- pairs --------------------------------------------------------------------------------------------------------
 
-HALF = 0.3
+#: The share of each side's documents that :func:`pair_self_join` draws, which is its feature; other pair queries make all pairs.
+SHARE = 0.3
 
 
-def drawn(salt, size=HALF, source="ev"):
+def drawn(salt, size=SHARE, source="ev"):
     return f"(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n_, row_number() OVER (PARTITION BY qid ORDER BY {sql_dice('qid', 'doc_id', salt=salt)}, qid, doc_id) AS r_ FROM {source}) WHERE r_ <= ceil(n_ * {size}::DOUBLE))"
 
 
-PAIRS = f"WITH {EV}, p AS (SELECT a.qid, a.doc_id AS a, b.doc_id AS b, a.y AS ya, b.y AS yb, a.f0 AS a0, a.f1 AS a1, b.f0 AS b0, b.f1 AS b1 FROM {drawn('a')} a JOIN {drawn('b')} b ON a.qid = b.qid)"
+PAIRS = f"WITH {EV}, p AS (SELECT a.qid, a.doc_id AS a, b.doc_id AS b, a.y AS ya, b.y AS yb, a.f0 AS a0, a.f1 AS a1, b.f0 AS b0, b.f1 AS b1 FROM ev a JOIN ev b ON a.qid = b.qid)"
 
 
 def event_pairs(spark, sf):
-    return P.pairs(L.event_lists(spark, sf), ["qid"], HALF)
+    return P.pairs(L.event_lists(spark, sf), ["qid"])
 
 
 def ids(df, **cols):
@@ -43,9 +47,9 @@ def ab():
     return F.col("features_a"), F.col("features_b")
 
 
-@query("pair_self_join", f"{PAIRS} SELECT qid, a, b FROM p")
+@query("pair_self_join", f"WITH {EV} SELECT a.qid, a.doc_id AS a, b.doc_id AS b FROM {drawn('a')} a JOIN {drawn('b')} b ON a.qid = b.qid")
 def pair_self_join(spark, sf):
-    return ids(event_pairs(spark, sf))
+    return ids(P.pairs(L.event_lists(spark, sf), ["qid"], SHARE))
 
 
 @query("pair_cross", f"WITH {EMB} SELECT a.qid, a.doc_id AS a, b.doc_id AS b FROM emb a JOIN emb b ON a.qid = b.qid")
@@ -75,13 +79,13 @@ def pair_target_y(spark, sf):
     return ids(event_pairs(spark, sf), target=R.pair_target("y"))
 
 
-RES = f"WITH {EV}, m AS (SELECT *, y - avg(y) OVER (PARTITION BY qid) AS z FROM ev), p AS (SELECT a.qid, a.doc_id AS a, b.doc_id AS b, a.z AS za, b.z AS zb FROM {drawn('a', source='m')} a JOIN {drawn('b', source='m')} b ON a.qid = b.qid)"
+RES = f"WITH {EV}, m AS (SELECT *, y - avg(y) OVER (PARTITION BY qid) AS z FROM ev), p AS (SELECT a.qid, a.doc_id AS a, b.doc_id AS b, a.z AS za, b.z AS zb FROM m a JOIN m b ON a.qid = b.qid)"
 
 
 def residual_pairs(spark, sf):
     df = L.event_lists(spark, sf)
     mean = df.groupBy("qid").agg(F.avg("y").alias("m"))
-    return P.pairs(df.join(mean, "qid").withColumn("value", F.col("y") - F.col("m")), ["qid"], HALF)
+    return P.pairs(df.join(mean, "qid").withColumn("value", F.col("y") - F.col("m")), ["qid"])
 
 
 @query("pair_target_residual", f"{RES} SELECT qid, a, b, round((za - zb) * (za - zb), 6) AS target FROM p")
@@ -105,6 +109,17 @@ def pair_target_precomputed(spark, sf):
     return ids(event_pairs(spark, sf).join(full, ["qid", "doc_id_a", "doc_id_b"]), target=F.col("d"))
 
 
+@query("pair_target_matrix", f"WITH {EMB}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM emb WHERE qid = 0) SELECT a.i AS idx_a, b.i AS idx_b, round(abs(a.x[1] - b.x[1]), 6) AS target FROM n a JOIN n b ON a.i <> b.i")
+def pair_target_matrix(spark, sf):
+    lists = L.embedding_lists(spark, sf).where("qid = 0").select("doc_id", F.col("features")[0].alias("v"))
+    row = lists.withColumn("i", F.row_number().over(W.orderBy("doc_id")).cast("long") - 1)
+    met = row.select(F.col("i").alias("idx_a"), F.col("v").alias("va")).join(row.select(F.col("i").alias("idx_b"), F.col("v").alias("vb")), F.col("idx_a") != F.col("idx_b"), "inner")
+    cells = row.select("i", "v").join(row.select(F.col("i").alias("j"), F.col("v").alias("u")), F.lit(True))
+    matrix = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.abs(F.col("v") - F.col("u")).alias("d")))), lambda c: c["d"]).alias("values"))
+    n = row.count()
+    return P.precomputed_targets(met.select("idx_a", "idx_b"), matrix, n, n).withColumn("target", F.round("target", 6))
+
+
 @query("pair_metric", f"{PAIRS} SELECT qid, a, b, round(sqrt((a0 - b0) * (a0 - b0) + (a1 - b1) * (a1 - b1)), 6) AS euclidean, round(abs(a0 - b0) + abs(a1 - b1), 6) AS manhattan, round(1 - (a0 * b0 + a1 * b1) / (sqrt(a0 * a0 + a1 * a1) * sqrt(b0 * b0 + b1 * b1)), 6) + 0.0 AS cosine FROM p")
 def pair_metric(spark, sf):
     out = ids(event_pairs(spark, sf), **{m: vectors.METRICS[m](*ab()) for m in ("euclidean", "manhattan", "cosine")})
@@ -407,19 +422,19 @@ def card_pairs(spark, sf):
 
 @query("gam_fit")
 def gam_fit(spark, sf):
-    return C.fit(card_pairs(spark, sf).select("qid", "features", "target"), ["qid"], 2, C.CardConfig(rounds=6)).select("qid", "round", "node", "is_leaf", "feature", F.round("threshold", 6).alias("threshold"), F.round("prediction", 6).alias("prediction"), "support")
+    return C.fit(card_pairs(spark, sf).select("qid", "features", "target"), ["qid"]).select("qid", "round", "node", "is_leaf", "feature", F.round("threshold", 6).alias("threshold"), F.round("prediction", 6).alias("prediction"), "support")
 
 
 @query("rulecard_predict")
 def rulecard_predict(spark, sf):
     pairs = card_pairs(spark, sf)
-    rules = C.fit(pairs.select("qid", "features", "target"), ["qid"], 2, C.CardConfig(rounds=6))
+    rules = C.fit(pairs.select("qid", "features", "target"), ["qid"])
     return C.predict(pairs, rules, ["qid"], 2).select("qid", "a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query("rulecard_rules")
 def rulecard_rules(spark, sf):
-    rules = C.fit(card_pairs(spark, sf).select("qid", "features", "target"), ["qid"], 2, C.CardConfig(rounds=6))
+    rules = C.fit(card_pairs(spark, sf).select("qid", "features", "target"), ["qid"])
     return C.rule_list(rules, ["qid"], C.readable(NAMES)).withColumn("weight", F.round("weight", 6))
 
 
@@ -430,6 +445,95 @@ def rulecard_fallback(spark, sf):
     return C.predict(pairs, none, ["qid"], 2).select("qid", "a", "b", F.round("distance", 6).alias("distance"))
 
 
+@query("rulecard_ranker")
+def rulecard_ranker(spark, sf):
+    train, test = sides(spark, sf)
+    p = R.fit(train, R.Config(card=C.CardConfig(depth=2))).predict(test, euclid=False)
+    return out6(p, "score", "correction", "full")
+
+
+# -- rankers ------------------------------------------------------------------------------------------------------
+
+
+def halves(spark, sf):
+    """Four fifths of each user's events, and the last fifth."""
+    df = splits.query_kfold(L.event_lists(spark, sf), 5)
+    return df.where("fold <> 4").drop("fold"), df.where("fold = 4").drop("fold")
+
+
+#: Lambdas at the scores f0 / 100: pairs of a query with one of its 10 best, in SQL.
+LAMBDAS = f"""WITH {EV}, s AS (SELECT *, f0 / 100 AS s, row_number() OVER (PARTITION BY qid ORDER BY round(f0 / 100, 9) DESC, doc_id) AS r, row_number() OVER (PARTITION BY qid ORDER BY y DESC, doc_id) AS i FROM ev),
+d AS (SELECT *, CASE WHEN r <= 10 THEN ln(2) / ln(r + 1) ELSE 0 END AS g FROM s), id AS (SELECT qid, sum(y * ln(2) / ln(i + 1)) AS ideal FROM s WHERE i <= 10 GROUP BY qid),
+p AS (SELECT a.qid, a.doc_id AS hi, b.doc_id AS lo, (a.y - b.y) * abs(a.g - b.g) / ideal AS delta, 1 / (1 + exp(a.s - b.s)) AS rho FROM d a JOIN d b ON a.qid = b.qid AND a.y > b.y JOIN id ON id.qid = a.qid WHERE a.r <= 10 OR b.r <= 10),
+l AS (SELECT qid, hi AS doc_id, delta * rho AS lam, delta * rho * (1 - rho) AS w FROM p UNION ALL SELECT qid, lo, -delta * rho, delta * rho * (1 - rho) FROM p)"""
+
+
+@query("lambda_gradients", f"{LAMBDAS} SELECT ev.qid, ev.doc_id, round(coalesce(sum(lam), 0), 6) + 0.0 AS lam, round(coalesce(sum(w), 0), 6) + 0.0 AS weight FROM ev LEFT JOIN l ON l.qid = ev.qid AND l.doc_id = ev.doc_id GROUP BY ALL")
+def lambda_gradients(spark, sf):
+    scored = L.event_lists(spark, sf).withColumn("s", F.col("features")[0] / 100)
+    return B.lambdas(scored, 10).select("qid", "doc_id", (F.round("lam", 6) + 0.0).alias("lam"), (F.round("weight", 6) + 0.0).alias("weight"))
+
+
+@query("lambdamart")
+def lambdamart(spark, sf):
+    train, test = halves(spark, sf)
+    return out6(B.predict(test, B.fit(train)), "score")
+
+
+@query("lambdamart_ndcg")
+def lambdamart_ndcg(spark, sf):
+    train, test = halves(spark, sf)
+    out = None
+    for name, config in (("lambdamart", B.Boost()), ("stump", B.Boost(rounds=1, depth=1))):
+        scored = B.predict(test, B.fit(train, config)).withColumn("score", F.round("score", 9))
+        part = M.summary(M.ndcg(scored, "score", [5, 10]), ["k"]).select(F.lit(name).alias("model"), "k", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("mart_per_batch")
+def mart_per_batch(spark, sf):
+    train, test = sides(spark, sf, 6)
+    return out6(B.predict(test, B.fit(train, B.Boost(objective="squared"), ["model_key"]), ["model_key"]), "score")
+
+
+@query("random_forest_oob")
+def random_forest_oob(spark, sf):
+    df = L.event_lists(spark, sf)
+    return out6(B.forest_scores(df, B.grow_forest(df, 20, 4, 1), out_of_bag=True), "score")
+
+
+@query("listnet_model_selection")
+def listnet_model_selection(spark, sf):
+    df = splits.query_kfold(L.event_lists(spark, sf), 5)
+    df = R.dispatch(df, splits.query_batches(df, 6))
+    parts = {"train": df.where("fold < 3"), "valid": df.where("fold = 3"), "test": df.where("fold = 4")}
+    best = LN.listnet_selection(parts, [0.01, 0.1, 1.0], [5, 20, 50], ["model_key"])
+    return r6(best, "train", "valid", "test")
+
+
+ADARANK = f"""WITH {EV}, v AS (SELECT qid * 2 + f AS qid, doc_id, y, v FROM (SELECT qid, doc_id, y, unnest([0, 1]) AS f, unnest([f0, f1]) AS v FROM ev)), {ndcg_sql([10], 'v', 'v')},
+e AS (SELECT qid % 2 AS f, avg(ndcg) AS e FROM ndcg GROUP BY 1)"""
+
+
+@query("adarank_first", f"{ADARANK} SELECT 1 AS round, f::INT AS feature, round(0.5 * ln((1 + e) / (1 - e)), 6) AS alpha FROM e QUALIFY row_number() OVER (ORDER BY round(e, 9) DESC, f) = 1")
+def adarank_first(spark, sf):
+    return r6(LN.adarank(L.event_lists(spark, sf), 1), "alpha")
+
+
+@query("adarank")
+def adarank(spark, sf):
+    train, test = halves(spark, sf)
+    return out6(LN.adarank_scores(test, LN.adarank(train, 6)), "score")
+
+
+@query("least_squares", f"""WITH {EV}, c AS (SELECT qid, covar_pop(f0, y) AS a, covar_pop(f1, y) AS b, covar_pop(f0, f1) AS k, var_pop(f0) AS u, var_pop(f1) AS v, avg(f0) AS m0, avg(f1) AS m1, avg(y) AS my FROM ev GROUP BY qid),
+w AS (SELECT *, (a * v - b * k) / (u * v - k * k) AS w0, (b * u - a * k) / (u * v - k * k) AS w1 FROM c) SELECT qid, round(w0, 5) + 0.0 AS w0, round(w1, 5) + 0.0 AS w1, round(my - w0 * m0 - w1 * m1, 5) + 0.0 AS intercept FROM w""")
+def least_squares(spark, sf):
+    w = LN.least_squares(L.event_lists(spark, sf), keys=["qid"])
+    return w.select("qid", *[(F.round(F.col("weights")[i], 5) + 0.0).alias(n) for i, n in enumerate(("w0", "w1", "intercept"))])
+
+
 # -- clustering and generators ------------------------------------------------------------------------------------
 
 
