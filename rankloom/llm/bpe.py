@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, n_partitions, short_batches
+from rankloom.llm.common import Scratch, n_partitions, short_batches, tidy
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -318,7 +318,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                 yield frame([row(bpe, k.as_py(), bpe.node(t.as_py())[1]) for k, t in zip(some.column("doc_id"), text, strict=True)])
         release()
 
-    short = lean.where(F.length("text") <= long).mapInArrow(whole, schema)
+    short = lean.where(F.length("text") <= long).mapInArrow(tidy(whole), schema)
 
     names = ["uid", "doc_id", "no", "kind", "word", "through", "data", "ids", "counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
@@ -392,6 +392,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
 
     scratch = Scratch(spark, "bpe")
     numbered = lean.where(F.length("text") > long).withColumn("uid", F.monotonically_increasing_id())
-    leaves = scratch.table(numbered.mapInArrow(cut, leaf), "leaves")
-    encoded = leaves.repartition(n_partitions(spark), "uid", "no").mapInArrow(encode_leaves, leaf)
+    leaves = scratch.table(numbered.mapInArrow(tidy(cut), leaf), "leaves")
+    encoded = leaves.repartition(n_partitions(spark), "uid", "no").mapInArrow(tidy(encode_leaves), leaf)
     return short.unionByName(encoded.groupBy("uid").applyInPandas(assemble, schema))

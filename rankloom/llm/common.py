@@ -6,6 +6,9 @@ Intermediate results that are read more than once are written as Parquet to the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -19,7 +22,7 @@ from rankloom.storage import clear_at_exit, remove, shared_dir
 #: White space of the word contracts: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch of texts on its way to Python, and the setting that bounds them.
-BATCH, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH, BATCH_BYTES = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
@@ -72,6 +75,19 @@ def short_batches(spark: SparkSession, most: int = BATCH) -> None:
         spark.conf.set(BATCH_BYTES, str(most))
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for a task whose Python worker gives its free memory back at the end: the process lives on beside the JVM."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -107,4 +123,4 @@ def map_rows(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=numbered.names)
 
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, numbered).toDF(*schema.names)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(tidy(renamed), numbered).toDF(*schema.names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch
+from rankloom.llm.common import Scratch, tidy
 
 
 def _forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Null ends and loops are ignored. An empty edge table gives an empty result. Rounds go on until no edge is left.
     """
     clean = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
-    left = scratch.table(clean.mapInArrow(_contract, "src long, dst long"), "edges")
+    left = scratch.table(clean.mapInArrow(tidy(_contract), "src long, dst long"), "edges")
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         both = left.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")

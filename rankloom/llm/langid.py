@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import map_rows, place, short_batches
+from rankloom.llm.common import map_rows, place, short_batches, tidy
 
 #: Hash buckets; labelled training rows of a language in the sample (bound of the fit), the share of them kept for the temperature; characters handled at once.
 BUCKETS, PER_LANG, CALIBRATE, CHUNK = 1 << 16, 1200, 0.25, 1 << 18
@@ -157,7 +157,7 @@ def fit(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    found = known.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = known.select("text").mapInArrow(tidy(_document_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df, docs = np.zeros(BUCKETS), 0
     for r in found:
         if r["bucket"] < 0:
@@ -174,7 +174,7 @@ def fit(rows: DataFrame, per_lang: int = PER_LANG) -> Model:
     pick = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1_000_003)) / 1_000_003.0
     drawn = distinct.withColumn("pick", pick).where(F.col("pick") < share)
     rows = keyed.join(F.broadcast(drawn), key).groupBy(*key, "pick").agg(F.first("text").alias("text"))
-    sample = rows.select("lang", "pick", "text").mapInArrow(_sparse, "lang string, pick double, at binary, share binary").collect()
+    sample = rows.select("lang", "pick", "text").mapInArrow(tidy(_sparse), "lang string, pick double, at binary, share binary").collect()
     sample.sort(key=lambda r: (r["pick"], r["lang"], bytes(r["at"])))
     data = [(np.append(at := np.frombuffer(r["at"], "<i4"), BUCKETS), np.append(SCALE * np.frombuffer(r["share"], "<f4") * idf[at], 1.0), langs.index(r["lang"])) for r in sample]
     last = [k for k in range(len(data)) if k % round(1 / CALIBRATE) == 1]

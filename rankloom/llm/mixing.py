@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.llm.common import WORD, Scratch, free, map_rows, n_partitions, short_batches
+from rankloom.llm.common import WORD, Scratch, free, map_rows, n_partitions, short_batches, tidy
 
 WEIGHTS = (5, 2, 1)
 #: Passes over a source at most; words in a block; most shards; seed of draws and permutations.
@@ -202,7 +202,7 @@ class Mix:
         last = F.col("first") + F.col("n") - 1
         ranges = table.select("shard", "ix", last.alias("last"), F.explode(F.sequence("first", last, F.lit(length).cast("long"))).alias("a"))
         each = ranges.repartition(n_partitions(self.spark)).select("shard", "ix", F.explode(F.sequence("a", F.least("last", F.col("a") + (length - 1)))).alias("k"))
-        return each.mapInArrow(_slot_blocks(self.plan, self.block, self.seed), "shard int, ix int, k long, block long, words long")
+        return each.mapInArrow(tidy(_slot_blocks(self.plan, self.block, self.seed)), "shard int, ix int, k long, block long, words long")
 
     def pieces(self) -> DataFrame:
         """(uid, block, lo, hi, times, part): document words lo..hi lie in the block, are taken ``times`` times, the first ``part`` of them once more."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import map_rows, short_batches
+from rankloom.llm.common import map_rows, short_batches, tidy
 
 #: Words of a repeat at least; the base rule's words of a text at least, and percentage of words in repeats at most; the percentage of a text's characters in repeats, and the words of its longest repeat, that are still kept; words that are sorted at once.
 LEAST, FEWEST, REPEATED, COVERED, LONGEST, AT_ONCE = 5, 10, 20, 20, 50, 1 << 18
@@ -230,7 +230,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """
     short_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return lean.mapInArrow(_digest, "doc_id long, " + ", ".join(f"{f} {'boolean' if f in ('base_failed', 'kept') else 'long'}" for f in FIELDS))
+    return lean.mapInArrow(tidy(_digest), "doc_id long, " + ", ".join(f"{f} {'boolean' if f in ('base_failed', 'kept') else 'long'}" for f in FIELDS))
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Scratch, free, n_partitions, short_batches
+from rankloom.llm.common import Scratch, free, n_partitions, short_batches, tidy
 from rankloom.llm.components import _forest, connected_components
 
 SEED, SHINGLE, DISTANCE, CHUNK = 42, 3, 2, 65536
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp long) for each row of ``docs``; other columns of ``docs`` play no part."""
     short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(tidy(_fingerprints), "doc_id long, text_hash long, fp long")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def links(fps: DataFrame, scratch: Scratch, rows: int = ROWS) -> DataFrame:
     group = ["seg", "a", "b", "i", "j"]
     dealt = side_a.unionByName(side_b).select("seg", "a", "b", "fp", F.explode("to").alias("to")).select("seg", "a", "b", "to.*", "fp")
     met = dealt.repartition(n_partitions(fps.sparkSession), *group).sortWithinPartitions(*group, "side")
-    return met.mapInArrow(_verify, "src long, dst long")
+    return met.mapInArrow(tidy(_verify), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import Scratch, map_rows, place, short_batches
+from rankloom.llm.common import Scratch, map_rows, place, short_batches, tidy
 
 #: Bounds of the labelled positives and of the first guess's unlabelled documents; features of the model, and of those screened; least positives with a feature, and its least log-likelihood ratio, when chosen and when screened; lengths of word beginnings.
 POSITIVES, UNLABELLED, FEATURES, SCREENED, LEAST, SIGNIFICANT, LIKELY, BEGINNINGS = 2500, 6000, 4000, 16_000, 3, 18.0, 9.0, (4, 5, 6, 7)
@@ -287,7 +287,7 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))))
-    counted = sample.mapInArrow(_count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
+    counted = sample.mapInArrow(tidy(_count), "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
     rises = F.col("p") * n_u > F.col("u") * n_p
     # Few features with a p of LEAST or more rise at all; the most frequent of them are the candidates.
     seen = counted.where(rises).orderBy(F.desc(F.col("p") * n_u - F.col("u") * n_p), "feature").limit(8 * SCREENED).toArrow()
@@ -296,9 +296,9 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     order = [i for i in np.lexsort((table["feature"].astype(str), -gain)) if gain[i] >= LIKELY][:SCREENED]
     names, count_p = [str(table["feature"][i]) for i in order], table["p"][order]
     numbers = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-    found = scratch.table(ids.select("text").mapInArrow(_numbered(numbers), "found array<int>"), "found")
+    found = scratch.table(ids.select("text").mapInArrow(tidy(_numbered(numbers)), "found array<int>"), "found")
     counts = np.zeros(len(names) + 1)
-    for r in found.mapInArrow(_frequencies(len(names)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in found.mapInArrow(tidy(_frequencies(len(names))), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         counts[r["place"]] = r["n"]
     # Shares of all training texts, in units of the first guess's sample, so that the significance asked for stays the same.
     gain = gains(count_p, counts[:-1] / max(counts[-1], 1) * n_u, n_p, n_u)
@@ -308,7 +308,7 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     place = np.full(len(names) + 1, len(chosen), np.int64)
     place[[at[f] for f in chosen]] = np.arange(len(chosen))
     final = spark.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
-    docs = sorted((r["positive"], list(r["found"])) for r in sample.select("positive", "text").mapInArrow(_numbered(final), "positive boolean, found array<int>").collect())
+    docs = sorted((r["positive"], list(r["found"])) for r in sample.select("positive", "text").mapInArrow(tidy(_numbered(final)), "positive boolean, found array<int>").collect())
     p_docs, u_docs = [np.array(f, np.int64) for y, f in docs if y], [np.array(f, np.int64) for y, f in docs if not y]
     w, bias = train(p_docs, u_docs, len(chosen), prior)
     p_rows = pa.array([d.tolist() for d in p_docs], pa.list_(pa.int32()))
@@ -316,7 +316,7 @@ def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((w, bias, place))
         total = np.zeros(2 * (len(w) + 1) + 2)
-        for r in found.mapInArrow(_sums(shared), "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        for r in found.mapInArrow(tidy(_sums(shared)), "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
             total[r["place"]] = r["n"]
         own = sums(w, bias, np.arange(len(chosen) + 1), [p_rows])
         w, bias = step(w, bias, np.concatenate([own, seen_p]), total, prior)
