@@ -4,7 +4,9 @@ Vectors are split into bands of like length (and number of components). In a ban
 products become Euclidean distances by one more coordinate that lifts every vector to length one; a vector far longer than
 the rest has a band of its own and leaves the distances of the others as they are. Balanced k-means on a bounded sample
 gives a band's centroids; a vector near the boundary of clusters is in each list whose centroid is at most ``REPLICATE``
-farther than its nearest. Workers search the centroids by best-first walks on an in-memory graph of neighbouring centroids,
+farther than its nearest, unless an earlier list shadows it: one whose centroid is nearer to that centroid than the vector.
+So clusters share the vectors between them, while vectors without structure are in one list each and an index reads no more
+than a scan. Workers search the centroids by best-first walks on an in-memory graph of neighbouring centroids,
 with a bounded beam, both to place vectors and to find a query's lists in every band; distance-ratio pruning keeps the lists
 whose centroid is at most so much farther than the nearest. The ratio is ``PRUNE`` at least; at build time it is widened
 until the lists of ``PROBES`` sample queries hold the share ``RECALL`` of their exact neighbours among all rows. Queries
@@ -30,7 +32,7 @@ from rankloom.llm.common import Scratch, n_partitions
 from rankloom.llm.neardup import usable
 
 #: Vectors a list has about; most lists of all bands, and least of a band that is cut at all; sample vectors for a list; relative distances up to which a vector is replicated and a query's lists are kept; most lists of a vector; rows of a part; neighbours of a centroid; queries whose finds a task combines; entries, for each neighbour wanted, that a query's lists of a band must hold before pruning begins.
-LIST, MOST_LISTS, LEAST_LISTS, PER_LIST, REPLICATE, PRUNE, COPIES, ROWS, DEGREE, COMBINED, NEED = 200, 16_384, 8, 4, 0.05, 0.14, 3, 2048, 24, 100_000, 25
+LIST, MOST_LISTS, LEAST_LISTS, PER_LIST, REPLICATE, PRUNE, COPIES, ROWS, DEGREE, COMBINED, NEED = 200, 16_384, 8, 4, 0.05, 0.06, 3, 2048, 24, 100_000, 25
 #: Sample queries whose exact neighbours set the pruning ratio; the recall that it must give them; centroids that a walk keeps, beyond which it measures all; steps of a walk at least; how much farther than what it keeps a walk looks.
 PROBES, RECALL, BEAM, STEPS, SLACK = 256, 0.95, 64, 24, 0.04
 #: Lengths of a band differ by a factor of 2 to this power; most bands of a number of components; numbers of components that have bands and lists (others are one list each, searched whole); entries of a matrix of distances.
@@ -197,6 +199,22 @@ def bands_of(counts: list[tuple[int, int, int, float]]) -> list[Band]:
     return out
 
 
+def unshadowed(x: np.ndarray, centroids: np.ndarray, rows: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs, given by row and nearest first, without lists whose centroid is nearer to that of an earlier list of
+    the row than to the row's vector: queries near such a centroid look into the earlier list as well."""
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place == 0
+    far = ((x[rows] - centroids[lists]) ** 2).sum(axis=1)
+    for k in range(1, int(place.max(initial=0)) + 1):
+        at = np.flatnonzero(place == k)
+        good = np.ones(len(at), bool)
+        for earlier in range(1, k + 1):
+            apart = ((centroids[lists[at]] - centroids[lists[at - earlier]]) ** 2).sum(axis=1)
+            good &= ~keep[at - earlier] | (apart >= far[at])
+        keep[at] = good
+    return rows[keep], lists[keep]
+
+
 @dataclass
 class Index:
     """Bands with their centroids; lists are numbered through all bands, those of the most frequent dim first."""
@@ -212,7 +230,10 @@ class Index:
         for band in self.of(dim):
             at = np.flatnonzero((exponents >= band.low) & (exponents <= band.high))
             if len(at):
-                i, j = band.graph.nearest(band.lift(x[at]), REPLICATE, COPIES) if band.graph else (np.arange(len(at)), np.zeros(len(at), np.int64))
+                i, j = np.arange(len(at)), np.zeros(len(at), np.int64)
+                if band.graph:
+                    lifted = band.lift(x[at])
+                    i, j = unshadowed(lifted, band.graph.centroids, *band.graph.nearest(lifted, REPLICATE, COPIES))
                 rows, lists = [*rows, at[i]], [*lists, j + band.first]
         return np.concatenate(rows), np.concatenate(lists)
 
@@ -344,7 +365,7 @@ def calibrated(posted: DataFrame, asked: DataFrame, index: Index, sizes: np.ndar
         return hits / total
 
     while recall(prune) < RECALL:
-        prune = prune * 1.1 + 0.005
+        prune = prune * 1.03 + 0.002
     return prune
 
 

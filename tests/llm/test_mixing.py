@@ -74,3 +74,54 @@ def test_empty_and_wordless(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.digest(spark.createDataFrame([], schema)).collect() == []
     assert [tuple(r) for r in mixing.digest(spark.createDataFrame([(1, None, None)], schema)).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def packed(rows, block):
+    """taken of each row: sources packed document after document in the operator's order, blocks counted by the plan's slots."""
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len((t or "").split()) for _, t, q in rows if q == s) for s in order}
+    plan = mixing.quotas([(s, sizes[s]) for s in order], mixing.WEIGHTS, block, mixing.SEED)
+    assert [q.source for q in plan] == order
+    return plan
+
+
+def test_taken_equals_an_independent_packing(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(rng.choice([1, 30, 90, 200]))), rng.choice(["a", "b", None])) for i in range(60)]
+    rows += [rows[4]] * 7 + [rows[9]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = mixing.Mix(docs, block=64, stretch=3)
+    plan = packed(rows, 64)
+    spans = {r.uid: (r.ix, r.start, r.size) for r in mix.spans.collect()}
+    ids = {r.uid: r.doc_id for r in mix.rows.select("uid", "doc_id").collect()}
+    # The documents of a source lie end to end, without gaps, and copies side by side.
+    for ix, q in enumerate(plan):
+        own = sorted((start, size, ids[u]) for u, (i, start, size) in spans.items() if i == ix)
+        at = 0
+        for start, size, _ in own:
+            assert start == at
+            at += size
+        assert at == q.size
+        names = [d for *_, d in own]
+        assert all(names[a] == names[b] for d in set(names) for a, b in [(names.index(d), len(names) - 1 - names[::-1].index(d))] for b in range(a, b + 1))
+    # Words taken, by walking each source's slots through its permutation of blocks.
+    taken = {}
+    for ix, q in enumerate(plan):
+        times = Counter()
+        for k in range(q.slots):
+            at = int(mixing.permute(np.array([k % q.blocks]), q.blocks, mixing._keys(mixing.SEED, ix, k // q.blocks))[0])
+            first, last = at * 64, min(q.size, at * 64 + 64)
+            if k == q.slots - 1 and q.last_words >= 0:
+                last = first + q.last_words
+            times.update(range(first, last))
+        for u, (i, start, size) in spans.items():
+            if i == ix:
+                taken[u] = sum(times[w] for w in range(start, start + size))
+    assert sorted((ids[u], n) for u, n in taken.items()) == sorted((r.doc_id, r.taken) for r in mix.taken().collect())
+
+
+def test_passes_keep_columns_of_any_name(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(40)), "s", i + 0.5, "z") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` double, `Runs x` string")
+    out = mixing.Mix(docs, block=16, keep=True).documents()
+    assert out.columns == docs.columns and {(r.doc_id, r["a.b"], r["Runs x"]) for r in out.collect()} <= {(i, x, z) for i, _, _, x, z in rows}

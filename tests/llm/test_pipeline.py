@@ -64,6 +64,20 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(map(tuple, cp.run(spark, sf).collect()), key=str) == sorted(want, key=str)
 
 
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    rows = corpus(random.Random(2))
+    names = ["a.b", "x y", "SCORE", "Predicted", "lang_pred", "key", "runs", "Size"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], SCHEMA + ", " + ", ".join(f"`{n}` int" for n in names))
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, int("vile" in t)) for i, t, *_ in rows[:160] if i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == tuple(range(len(names))) for r in got)
+    assert cp.encoding(spark, docs, sf).columns[:2] == ["doc_id", "n_tokens"]
+
+
 def test_empty(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")

@@ -41,6 +41,38 @@ def test_aliases_take_block_decisions_and_allow_comes_first(spark):
     assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "block"}
 
 
+def test_columns_that_differ_in_case_from_the_result(spark):
+    rows = [(1, "http://x.net/es/1", None, "a", "b", "c", 1.5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, Rule string, VERDICT string, Host string, `a.b c` double")
+    assert verdicts(urlfilter.digest(pages)) == {1: ("x.net", "/es/1", "net/es/", "block")}
+    judged = urlfilter.judge(pages)
+    assert [c.lower() for c in judged.columns].count("rule") == 1 and judged.first()["a.b c"] == 1.5
+
+
+def test_chains_and_a_hot_target_against_union_find(spark):
+    rng = random.Random(5)
+    hosts, paths = ["x.net", "ok.com", "y.org", "example.com", "www.example.com"], ["/es/", "/fr/", "/en/", "/de/", "/"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}{i}" for i in range(900)]
+    link = {i: i + 1 for i in range(0, 200)} | {i: 500 for i in range(300, 600) if i != 500} | {i: rng.randrange(900) for i in range(600, 750)}
+    rows = [(i, u, f'<link rel="canonical" href="{urls[link[i]]}">' if i in link else "<p>") for i, u in enumerate(urls)]
+    up = list(range(900))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in link.items():
+        up[root(a)] = root(b)
+    own = {r.url: r.decision for r in urlfilter.match_rules(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    group = {}
+    for i, u in enumerate(urls):
+        group.setdefault(root(i), set()).add(own[u])
+    want = {i: own[u] or ("allow" if "allow" in group[root(i)] else "block" if "block" in group[root(i)] else "allow") for i, u in enumerate(urls)}
+    got = verdicts(urlfilter.digest(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)))
+    assert {k: v[3] for k, v in got.items()} == want and sum(own[urls[i]] is None and v == "block" for i, v in want.items()) > 20
+
+
 def pages_of(rng):
     texts = ["", None, "é" * 10, "a\r\n\r\nb", "WARC/1.1\r\n\r\n", "x" * 200_000, *[f"page {i}\n" for i in range(20)]]
     rows = [(i, rng.choice(["http://a/b", None, "http://a/\r\nb"]), rng.choice(texts), 1.0) for i in range(200)]
@@ -69,6 +101,18 @@ def test_round_trip_and_revisits(spark):
     assert {bytes(r.payload) for r in back} == set(texts.values())
 
 
+def test_files_roll_and_repeated_rows_are_dealt(spark):
+    rows = [(7, "u", "same")] * 40 + [(8, "u", "same")] * 3 + [(i, "u", f"page {i} " * 50) for i in range(100, 160)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    at = Scratch(spark, "t").path("w")
+    warc.write_archives(pages, at, repeated=3, file_bytes=2000)
+    parts = [r.path for r in spark.read.format("binaryFile").load(at).select("path").collect()]
+    assert len(parts) >= 10
+    got = warc.resolve_revisits(warc.read_archives(spark, at)).groupBy("page_id", "record_type", "refers_to").count().collect()
+    some = {(r.page_id, r.record_type, r.refers_to): r["count"] for r in got}
+    assert some[(7, "revisit", 8)] == 40 and some[(8, "response", None)] == 3 and sum(some.values()) == len(rows)
+
+
 def test_min_bytes_empty_and_damage(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     scratch = Scratch(spark, "t")
