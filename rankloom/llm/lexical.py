@@ -138,16 +138,17 @@ class Asked:
     terms: list[list[int]]
     items: list[np.ndarray]
     weights: np.ndarray
+    at_once: int = AT_ONCE
 
     @staticmethod
-    def of(texts: list[set[bytes]]) -> Asked:
+    def of(texts: list[set[bytes]], at_once: int = AT_ONCE) -> Asked:
         number: dict[bytes, int] = {}
         own = [[number.setdefault(t, len(number)) for t in sorted(text)] for text in texts]
         items: list[list[int]] = [[] for _ in number]
         for i, found in enumerate(own):
             for k in found:
                 items[k].append(i)
-        return Asked(number, own, [np.array(x) for x in items], np.zeros(len(items), np.int64))
+        return Asked(number, own, [np.array(x) for x in items], np.zeros(len(items), np.int64), at_once)
 
     @property
     def size(self) -> int:
@@ -168,14 +169,14 @@ class Segment:
         return np.frombuffer(self.batch.column(name)[self.row].as_buffer(), kind)
 
     def bounds(self, first: int, upper: bool) -> np.ndarray:
-        """Bounds of every document's score for the ``AT_ONCE`` items from ``first`` on: a row a document."""
+        """Bounds of every document's score for the ``at_once`` items from ``first`` on: a row a document."""
         at, impacts = self.cell("at", "<u2"), self.cell("impacts", np.uint8).astype(np.int64)
         # An impact of byte b is above (b - 1) * STEP, and b * STEP at most.
         value = impacts * STEP if upper else np.where(impacts > 0, (impacts - 1) * STEP + 1, 0)
-        out = np.zeros((int(at.max()) + 1 if len(at) else 0, min(AT_ONCE, self.asked.size - first)), np.int64)
+        out = np.zeros((int(at.max()) + 1 if len(at) else 0, min(self.asked.at_once, self.asked.size - first)), np.int64)
         for k, (a, z) in self.found.items():
             items = self.asked.items[k]
-            items = items[(items >= first) & (items < first + AT_ONCE)] - first
+            items = items[(items >= first) & (items < first + self.asked.at_once)] - first
             if len(items) and self.asked.weights[k]:
                 out[np.ix_(at[a:z], items)] += (value[a:z] * self.asked.weights[k])[:, None]
         return out
@@ -220,8 +221,8 @@ def _lower(shared, k: int):
         for b in batches:
             for row in range(b.num_rows):
                 s = Segment(b, row, asked)
-                for first in range(0, asked.size, AT_ONCE):
-                    own = slice(first, first + AT_ONCE)
+                for first in range(0, asked.size, asked.at_once):
+                    own = slice(first, first + asked.at_once)
                     all_ = np.concatenate([best[:, own], s.bounds(first, False)])
                     best[:, own] = np.partition(all_, len(all_) - k, axis=0)[len(all_) - k :]
         at, item = np.nonzero(best)
@@ -239,8 +240,8 @@ def _rescored(shared, k: int, documents: int, total: int):
         for b in batches:
             for row in range(b.num_rows):
                 s = Segment(b, row, asked)
-                for first in range(0, asked.size, AT_ONCE):
-                    reached = s.bounds(first, True) >= np.maximum(thresholds[first : first + AT_ONCE], 1)
+                for first in range(0, asked.size, asked.at_once):
+                    reached = s.bounds(first, True) >= np.maximum(thresholds[first : first + asked.at_once], 1)
                     for item in np.flatnonzero(reached.any(axis=0)):
                         wanted = np.flatnonzero(reached[:, item])
                         scores = s.exact(first + int(item), wanted, documents, total)
@@ -281,12 +282,13 @@ def _answer(index: Index, asked: Asked, k: int) -> DataFrame:
     return _best(found, k, F.desc("score"), F.col("doc_id").asc_nulls_last())
 
 
-def search(index: Index, items: DataFrame, k: int = BEST, block: int = BLOCK) -> DataFrame:
+def search(index: Index, items: DataFrame, k: int = BEST, block: int = BLOCK, at_once: int = AT_ONCE) -> DataFrame:
     """item_id, rank (int, from 1), doc_id, score: each item's k best documents with a score above 0, ties by rising doc_id.
 
     Rows of ``items`` (item_id, text) that share an id are one item with all their terms; so are those without an id. An item
     without terms, or whose terms no document has, has no row. Null doc_ids come last among equal scores, and rows that share
-    a doc_id are documents of their own. Items are answered in blocks of about ``block``.
+    a doc_id are documents of their own. Items are answered in blocks of about ``block``, a
+    segment's bounds found for ``at_once`` of them at a time.
     """
     spark, out = items.sparkSession, None
     lean = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -299,7 +301,7 @@ def search(index: Index, items: DataFrame, k: int = BEST, block: int = BLOCK) ->
         if not ids or not index.documents:
             continue
         named = spark.createDataFrame([(n, v) for n, v in enumerate(ids)], "item int, item_id long")
-        answer = _answer(index, Asked.of([texts[v] for v in ids]), k)
+        answer = _answer(index, Asked.of([texts[v] for v in ids], at_once), k)
         part = answer.join(F.broadcast(named), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         part = index.scratch.table(part, "answers") if blocks > 1 else part
         out = part if out is None else out.unionByName(part)

@@ -145,7 +145,7 @@ def _moments(measured: Callable[[np.ndarray], np.ndarray]):
 
 def _state(r) -> dict[int, Moments]:
     mean = np.frombuffer(bytes(r["mean"]), "<f8")
-    return {r["dim"]: Moments(r["n"], mean, np.frombuffer(bytes(r["scatter"]), "<f8").reshape(len(mean), -1), json.loads(r["total"]))}
+    return {r["dim"]: Moments(r["n"], mean, np.frombuffer(bytes(r["scatter"]), "<f8").reshape(len(mean), len(mean)), json.loads(r["total"]))}
 
 
 def _merged(a: dict[int, Moments], b: dict[int, Moments]) -> dict[int, Moments]:

@@ -46,15 +46,14 @@ def asked(rng, docs):
 
 
 @pytest.mark.parametrize(("most", "postings", "block", "at_once"), [(4096, 500_000, 2048, 256), (50, 700, 7, 3)])
-def test_equals_brute_force(spark, monkeypatch, most, postings, block, at_once):
-    monkeypatch.setattr(lexical, "AT_ONCE", at_once)
+def test_equals_brute_force(spark, most, postings, block, at_once):
     rng = random.Random(4)
     docs = corpus(rng)
     items = asked(rng, docs)
     d = spark.createDataFrame([(i, t, 1, "r") for i, t in docs], "doc_id long, text string, score int, rank string").repartition(6)
     q = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc_id int")
     index = lexical.build(d, most, postings)
-    got = lexical.search(index, q, 10, block)
+    got = lexical.search(index, q, 10, block, at_once)
     assert got.columns == ["item_id", "rank", "doc_id", "score"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(docs, items, 10), key=str)
 

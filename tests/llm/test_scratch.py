@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 import textwrap
@@ -6,7 +7,7 @@ from rankloom.llm.common import Scratch, map_rows, pick
 
 
 def test_a_session_without_a_shared_folder(tmp_path):
-    """In a process of its own, as the tests' session names a folder."""
+    """In a process of its own without Spark's default settings, as the tests' session names a folder."""
     code = """
         from rankloom.llm import simhash
         from rankloom.llm.common import Scratch
@@ -23,7 +24,7 @@ def test_a_session_without_a_shared_folder(tmp_path):
         assert cut(docs).count() == 3
         print("fine")
     """
-    out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, timeout=300, cwd=".")
+    out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, timeout=300, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)})
     assert "fine" in out.stdout, out.stderr[-2000:]
 
 
