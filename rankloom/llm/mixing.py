@@ -174,11 +174,11 @@ class Mix:
         self.numbered = lean
         full = lean.where("size > 0")
         run = ["ix", "doc_id", "th", "size"]
-        copies = scratch.table(full.groupBy(*run, "part").agg(F.count("*").alias("n")), "copies")
+        copies = full.groupBy(*run, "part").agg(F.count("*").alias("n"))
         runs = copies.groupBy(*run).agg(F.sum(F.col("n") * F.col("size")).alias("words"))
         # Prefix sums in three levels: over stretches of hashed chunks of a source, over the chunks of a stretch, and inside each chunk. A hot source is many chunks.
         chunks = max(64, sum(r["n"] for r in stats) // 4096)
-        runs = scratch.table(runs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th", "size"), F.lit(chunks))), "runs")
+        runs = runs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th", "size"), F.lit(chunks)))
         sums = runs.groupBy("ix", "chunk").agg(F.sum("words").alias("words")).withColumn("stretch", F.expr(f"chunk div {stretch}"))
         upto = lambda *by: F.sum("words").over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
         whole = sums.groupBy("ix", "stretch").agg(F.sum("words").alias("words")).withColumn("far", upto("ix", "stretch")).select("ix", "stretch", "far")
