@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
+from rankloom.storage import cut
+
 
 def by_query() -> WindowSpec:
     """The documents of a query. Made when asked for, as windows need a session."""
@@ -25,6 +27,19 @@ def query_ids(df: DataFrame) -> DataFrame:
     return df.select("qid").distinct()
 
 
+def placed(ids: DataFrame, *order: Column | str, out: str = "_at") -> DataFrame:
+    """``ids`` with their place, from 0, in an order without ties.
+
+    Rows are dealt to tasks by ranges of the order and counted there; only the tasks' counts meet in one, so a table of any
+    number of queries has its places.
+    """
+    ranged = cut(ids.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_p").withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_p", "_in", "_before")
+
+
 def _of_queries(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("qid"), "qid", "left_semi")
 
@@ -76,7 +91,7 @@ def query_slice(df: DataFrame, start: int | None, stop: int | None, step: int =
     if (start or 0) < 0 or (stop or 0) < 0:
         n = ids.count()
         start, stop = (x + n if x is not None and x < 0 else x for x in (start, stop))
-    at = ids.withColumn("_at", F.row_number().over(W.orderBy("qid")) - 1)
+    at = placed(ids, "qid")
     keep = (F.col("_at") >= (start or 0)) & ((F.col("_at") - (start or 0)) % step == 0)
     return _of_queries(df, at.where(keep if stop is None else keep & (F.col("_at") < stop)))
 
@@ -105,10 +120,12 @@ def rank_grades(df: DataFrame, score: str, bands: Sequence[tuple[int, int]] = ((
 def group_offsets(df: DataFrame) -> DataFrame:
     """qid, n, offset: where each query's documents begin in sorted order.
 
-    The running sum is over one row a query, not over documents.
+    The running sum is over one row a query, not over documents: inside ranges of queries, then over the ranges.
     """
-    n = df.groupBy("qid").agg(F.count("*").alias("n"))
-    return n.withColumn("offset", (F.sum("n").over(W.orderBy("qid").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).cast("long"))
+    n = cut(df.groupBy("qid").agg(F.count("*").alias("n")).repartitionByRange("qid").withColumn("_p", F.spark_partition_id()))
+    upto = lambda w: F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    ranges = n.groupBy("_p").agg(F.sum("n").alias("n")).select("_p", upto(W.orderBy("_p")).alias("_before"))
+    return n.withColumn("_in", upto(W.partitionBy("_p").orderBy("qid"))).join(F.broadcast(ranges), "_p").select("qid", "n", (F.col("_before") + F.col("_in")).cast("long").alias("offset"))
 
 
 # -- set operations -----------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rankloom.operators.dataset import by_query, dice, query_ids
+from rankloom.operators.dataset import by_query, dice, placed, query_ids
 
 
 def holdout_queries(df: DataFrame, train: float, valid: float, salt: str = "h") -> DataFrame:
@@ -16,9 +16,9 @@ def holdout_queries(df: DataFrame, train: float, valid: float, salt: str = "h")
     n_train = int(n * train)
     rest = n - n_train
     n_valid = int(rest * (valid / (1 - train))) if train < 1 else 0
-    at = F.row_number().over(W.orderBy(dice("qid", salt=salt), "qid"))
-    split = F.when(at <= n_train, F.lit("train")).when(at <= n_train + n_valid, F.lit("valid")).otherwise(F.lit("test"))
-    return df.join(ids.withColumn("split", split), "qid")
+    split = F.when(F.col("_at") < n_train, F.lit("train")).when(F.col("_at") < n_train + n_valid, F.lit("valid")).otherwise(F.lit("test"))
+    marked = placed(ids.withColumn("_dice", dice("qid", salt=salt)), "_dice", "qid")
+    return df.join(marked.select("qid", split.alias("split")), "qid")
 
 
 def holdout_per_query(df: DataFrame, train: float, valid: float, salt: str = "p") -> DataFrame:
@@ -42,9 +42,12 @@ def query_kfold(df: DataFrame, n: int) -> DataFrame:
 
 def query_batches(df: DataFrame, per_batch: int) -> DataFrame:
     """qid, batch: the queries in order of id in ceil(Q / per_batch) batches whose sizes differ by one at most."""
-    ids = query_ids(df)
-    k = max(1, -(-ids.count() // per_batch))
-    return ids.withColumn("batch", (F.ntile(k).over(W.orderBy("qid")) - 1).cast("long"))
+    ids = placed(query_ids(df), "qid")
+    n = ids.count()
+    k = max(1, -(-n // per_batch))
+    size, more = n // k, n % k  # the first batches have one more
+    batch = F.when(F.col("_at") < more * (size + 1), F.expr(f"_at div {size + 1}")).otherwise(more + F.expr(f"(_at - {more * (size + 1)}) div {max(size, 1)}"))
+    return ids.select("qid", batch.cast("long").alias("batch"))
 
 
 def stratified(df: DataFrame, by: str, train: float, salt: str = "t") -> DataFrame:

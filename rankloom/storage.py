@@ -64,9 +64,14 @@ def clear(spark: SparkSession) -> None:
         remove(spark, root)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in this application's folder."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once and read back."""
     spark = df.sparkSession
-    at = f"{_root(spark)}/{uuid.uuid4().hex}"
+    at = new_path(spark)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
