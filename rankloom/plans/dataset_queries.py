@@ -11,6 +11,7 @@ from rankloom.operators import metrics as M
 from rankloom.operators import splits as S
 from rankloom.plans.base import EMB, EV, LTR, query, sql_dice
 from rankloom.sources import ltr as L
+from rankloom.storage import new_path
 
 WITH = f"WITH {LTR}"
 COLS = "qid, doc_id, y, round(f0, 6) AS f0"
@@ -43,9 +44,12 @@ def to_letor_lines(spark, sf):
 @query("csv_union_project", "SELECT l_suppkey AS qid, l_quantity AS quantity, l_tax AS tax FROM (SELECT * FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT * FROM lineitem WHERE l_returnflag <> 'A')")
 def csv_union_project(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    part = lambda c: li.where(c).select(F.col("l_orderkey").alias("id_c"), F.col("l_linenumber").alias("rank"), F.col("l_suppkey").alias("id_j"), F.col("l_quantity").alias("fitness_quantity"), F.col("l_tax").alias("fitness_tax"))
-    df = part("l_returnflag = 'A'").unionByName(part("l_returnflag <> 'A'")).drop("id_c", "rank").withColumnRenamed("id_j", "qid")
-    return df.toDF(*[c.removeprefix("fitness_") for c in df.columns])
+    paths = []
+    for c in ("l_returnflag = 'A'", "l_returnflag <> 'A'"):
+        paths.append(new_path(spark))
+        part = li.where(c).select(F.col("l_orderkey").alias("id_c"), F.col("l_linenumber").alias("rank"), F.col("l_suppkey").alias("id_j"), F.col("l_quantity").alias("fitness_quantity"), F.col("l_tax").alias("fitness_tax"))
+        part.write.csv(paths[-1], header=True)
+    return L.read_csv_union(spark, paths, "id_c long, rank long, id_j long, fitness_quantity double, fitness_tax double")
 
 
 PIPE = f"""WITH {EV},
@@ -217,23 +221,34 @@ def fold_leakage(spark, sf):
     return S.fold_leakage(S.query_kfold(L.event_lists(spark, sf), 5))
 
 
-CONFIGS = "SELECT a AS pdt_depth, b AS sdt_depth, c AS n_neighbors FROM (VALUES (2), (3), (4)) t(a), (VALUES (3), (5)) u(b), (VALUES (3), (5), (9)) v(c)"
+#: Values of three settings that runs have tried, and the runs: suppliers are queries, line items their runs.
+TRIED = {"pdt_depth": "l_linenumber", "n_neighbors": "CAST(l_quantity AS BIGINT)"}
+GRID_SQL = ", ".join(f"(SELECT DISTINCT CAST({v} AS INT) AS {k} FROM lineitem)" for k, v in TRIED.items())
 
 
-@query("configs_to_do", f"WITH g AS ({CONFIGS}) SELECT * FROM g WHERE NOT (n_neighbors = 5 AND sdt_depth = 3)")
+def tried(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("query"), F.col("l_linenumber").cast("int").alias("pdt_depth"), F.col("l_quantity").cast("int").alias("n_neighbors"))
+
+
+def whole_grid(spark, sf, fixed=None):
+    from rankloom.operators.selection import grid
+
+    values = tried(spark, sf).agg(*[F.array_sort(F.collect_set(k)).alias(k) for k in TRIED]).first()
+    return grid(spark, {k: values[k] for k in TRIED}, fixed)
+
+
+@query("configs_to_do", f"SELECT query, pdt_depth, n_neighbors FROM (SELECT DISTINCT l_suppkey AS query FROM lineitem), {GRID_SQL} EXCEPT SELECT l_suppkey, CAST(l_linenumber AS INT), CAST(CAST(l_quantity AS BIGINT) AS INT) FROM lineitem")
 def configs_to_do(spark, sf):
     from rankloom.operators.selection import configs_to_do as todo
-    from rankloom.operators.selection import grid
 
-    all_ = grid(spark, {"pdt_depth": [2, 3, 4], "sdt_depth": [3, 5], "n_neighbors": [3, 5, 9]})
-    return todo(all_, all_.where("n_neighbors = 5 and sdt_depth = 3").withColumn("hash", F.lit("x")))
+    runs = tried(spark, sf)
+    all_ = runs.select("query").distinct().crossJoin(F.broadcast(whole_grid(spark, sf)))
+    return todo(all_, runs.withColumn("hash", F.lit("x")))
 
 
-@query("grid_search", f"SELECT *, 'residuals' AS dist_objective FROM ({CONFIGS})")
+@query("grid_search", f"SELECT *, 'residuals' AS dist_objective FROM {GRID_SQL}")
 def grid_search(spark, sf):
-    from rankloom.operators.selection import grid
-
-    return grid(spark, {"pdt_depth": [2, 3, 4], "sdt_depth": [3, 5], "n_neighbors": [3, 5, 9]}, {"dist_objective": "residuals"})
+    return whole_grid(spark, sf, {"dist_objective": "residuals"})
 
 
 # -- splits -------------------------------------------------------------------------------------------------------
@@ -414,9 +429,10 @@ def rule_rename(spark, sf):
     return L.lineitem_lists(spark, sf).select("qid", "doc_id", text.rename_features_column(rule, ["quantity", "discount", "tax", "line", "days"]).alias("rule"))
 
 
-@query("feat_dict", "SELECT i::BIGINT AS position, CASE WHEN i < 2 THEN 'A_' || ['value', 'hour'][i + 1] WHEN i < 4 THEN 'B_' || ['value', 'hour'][i - 1] WHEN i < 6 THEN '|A_' || ['value', 'hour'][i - 3] || ' - B_' || ['value', 'hour'][i - 3] || '|' ELSE '(A_' || ['value', 'hour'][i - 5] || ' - B_' || ['value', 'hour'][i - 5] || ')^2' END AS name FROM range(8) t(i)")
+@query("feat_dict", "WITH n AS (SELECT event_type AS e, row_number() OVER (ORDER BY event_type) - 1 AS i, count(*) OVER () AS d FROM (SELECT DISTINCT event_type FROM events)), b AS (SELECT unnest(range(4)) AS k) SELECT (k * d + i)::BIGINT AS position, CASE k WHEN 0 THEN 'A_' || e WHEN 1 THEN 'B_' || e WHEN 2 THEN '|A_' || e || ' - B_' || e || '|' ELSE '(A_' || e || ' - B_' || e || ')^2' END AS name FROM n, b")
 def feat_dict(spark, sf):
-    names = vectors.pair_feature_names(["value", "hour"], ("pair", "abs_diff", "sq_diff"))
+    kinds = spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().orderBy("event_type").collect()
+    names = vectors.pair_feature_names([r["event_type"] for r in kinds], ("pair", "abs_diff", "sq_diff"))
     return spark.createDataFrame(list(enumerate(names)), "position long, name string")
 
 
@@ -428,12 +444,14 @@ def subsample_sizes(spark, sf):
     return n.select("qid", "n", tree_size(F.col("n"), 0.3).alias("tree"), tree_size(F.col("n"), 17).alias("tree_count"), boosted_size(F.col("n"), 0.3).alias("boosted"))
 
 
-RULES = [("qty", "0.9", "12"), ("qty", "0.4", "30"), ("tax", "-0.7", "8"), ("none", "0.001", "5"), ("pair", "0.5", "2"), ("pair", "-0.5", "9")]
+#: Rules on the event type from users by the remainder of their id: how far a type's mean lies from a hundred.
+RULES = "SELECT event_type AS rule, round(avg(value) / 100 - 1, 6) AS weight, count(*) AS support FROM events GROUP BY event_type, user_id % 4"
 
 
-@query("scorecard_points", "WITH r AS (SELECT * FROM (VALUES ('qty', 0.9::DOUBLE, 12), ('qty', 0.4, 30), ('tax', -0.7, 8), ('none', 0.001, 5), ('pair', 0.5, 2), ('pair', -0.5, 9)) t(rule, weight, support)), p AS (SELECT rule, support, CAST(round_even(20 / ln(2) * weight, 0) AS BIGINT) AS points FROM r) SELECT rule, sum(points)::BIGINT AS points, max(support)::BIGINT AS support FROM p WHERE points <> 0 GROUP BY rule HAVING sum(points) <> 0")
+@query("scorecard_points", f"WITH r AS ({RULES}), p AS (SELECT rule, support, CAST(round_even(20 / ln(2) * weight, 0) AS BIGINT) AS points FROM r) SELECT rule, sum(points)::BIGINT AS points, max(support)::BIGINT AS support FROM p WHERE points <> 0 GROUP BY rule HAVING sum(points) <> 0")
 def scorecard_points(spark, sf):
-    rules = spark.createDataFrame([(a, float(b), int(c)) for a, b, c in RULES], "rule string, weight double, support long")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    rules = events.groupBy(F.col("event_type").alias("rule"), (F.col("user_id") % 4).alias("part")).agg(F.round(F.avg("value") / 100 - 1, 6).alias("weight"), F.count("*").alias("support"))
     return scorecard.to_points(rules)
 
 

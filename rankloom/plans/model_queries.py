@@ -20,6 +20,8 @@ from rankloom.operators import trees as T
 from rankloom.plans.base import EMB, EV, LTR, query, sql_dice
 from rankloom.plans.dataset_queries import ndcg_sql
 from rankloom.sources import ltr as L
+from rankloom.sources import results as RS
+from rankloom.storage import new_path
 
 # -- pairs --------------------------------------------------------------------------------------------------------
 
@@ -556,7 +558,8 @@ def greedy(spark, sf):
 def synthetic_ltr(spark, sf):
     from rankloom.operators.synthetic import generate
 
-    return generate(spark, 48, 40, 10).select("qid", "doc_id", "y", F.round(F.col("features")[0], 6).alias("f0"))
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    return generate(spark, users, 40, 10).select("qid", "doc_id", "y", F.round(F.col("features")[0], 6).alias("f0"))
 
 
 # -- selection ----------------------------------------------------------------------------------------------------
@@ -581,6 +584,13 @@ def selection_rows(spark, sf):
     return rows.select("query", F.transform("r", lambda x: F.struct(x["pdt_depth"].alias("pdt_depth"))).alias("configs"), results.alias("results"), (F.array_position(results, F.array_max(results)) - 1).cast("int").alias("idx_best"))
 
 
+def stored_selection(spark, sf):
+    """The same rows as a run leaves them: a JSON file, read back."""
+    at = new_path(spark)
+    RS.write_json(selection_rows(spark, sf).withColumn("qxm", F.lit(1)).withColumn("query", F.array("query")), at)
+    return RS.read_selection(spark, at, "pdt_depth: bigint", multi_line=False)
+
+
 @query("argmax_config", f"{MS} SELECT query, idx, pdt_depth, round(result, 6) AS result FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY result DESC, idx) = 1")
 def argmax_config(spark, sf):
     best = S.argmax(S.explode_results(selection_rows(spark, sf)), ["query"], "result", "idx")
@@ -589,7 +599,8 @@ def argmax_config(spark, sf):
 
 @query("pick_best_config", f"{MS} SELECT pdt_depth, count(*) AS n, min(query) AS first_query FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY result DESC, idx) = 1) GROUP BY pdt_depth")
 def pick_best_config(spark, sf):
-    return S.best_config(selection_rows(spark, sf)).groupBy("config.pdt_depth").agg(F.count("*").alias("n"), F.min("query").alias("first_query"))
+    groups = RS.query_configs(stored_selection(spark, sf)).select(F.explode("groups").alias("g"))
+    return groups.groupBy("g.config.pdt_depth").agg(F.count("*").alias("n"), F.min(F.col("g.query")[0]).alias("first_query"))
 
 
 @query("drop_tied_results", f"{MS} SELECT query FROM x GROUP BY query HAVING count(DISTINCT result) > 1")
@@ -610,11 +621,16 @@ def best_conf_per_metric(spark, sf):
 
 @query("best_results_view", f"{MS}, b AS (SELECT query, list(result ORDER BY idx) AS r, max(idx) + 1 AS k FROM x GROUP BY query) SELECT query, k, round(r[1], 6) AS train, round(r[2], 6) AS valid, round(r[3], 6) AS test FROM b ORDER BY query, k DESC")
 def best_results_view(spark, sf):
-    at = lambda i: F.round(F.try_element_at("results", F.lit(i)), 6)
-    return selection_rows(spark, sf).select("query", F.size("results").cast("long").alias("k"), at(1).alias("train"), at(2).alias("valid"), at(3).alias("test")).orderBy("query", F.desc("k"))
+    at = new_path(spark)
+    rows = selection_rows(spark, sf).select(F.col("query").cast("int").alias("qxm"), F.size("results").alias("eval_k"), F.col("results").alias("result"))
+    RS.write_json(rows, at)
+    part = lambda c: F.round(c, 6).alias(c)
+    return RS.read_best_results(spark, at, multi_line=False).select(F.col("qxm").cast("long").alias("query"), F.col("eval_k").cast("long").alias("k"), part("train"), part("valid"), part("test"))
 
 
 GRID = [R.Config(depth=1, distance_depth=None, k=3), R.Config(depth=1, distance_depth=None, k=7)]
+#: Learned distances with two objectives, and Euclid.
+LEARNED = [R.Config(depth=1, k=3), R.Config(depth=1, k=3, objective="dist"), R.Config(depth=1, distance_depth=None, k=3)]
 SIZES = [1, 8]
 
 
@@ -657,6 +673,15 @@ def model_selection(spark, sf):
     return table.select("qxm", "batch", "idx_best", F.round(F.array_max("results"), 6).alias("result"))
 
 
+@query("model_selection_learned")
+def model_selection_learned(spark, sf):
+    train, valid = held(spark, sf)
+    table = X.model_selection(train, [8], LEARNED, folds=None, valid=valid)
+    scores = X.retrain(train, valid, table, LEARNED, (10,))
+    best = table.groupBy("idx_best").agg(F.count("*").alias("batches"))
+    return best.crossJoin(F.broadcast(scores.select(F.round("mean", 6).alias("mean"))))
+
+
 HELD = "hs AS (SELECT *, ntile(4) OVER (PARTITION BY qid ORDER BY doc_id) AS part FROM ev), ht AS (SELECT * EXCLUDE part FROM hs WHERE part < 4), hv AS (SELECT * EXCLUDE part FROM hs WHERE part = 4)"
 
 
@@ -712,13 +737,27 @@ def config_frame(spark, sf):
     return A.config_table(experiments(spark, sf), CFG)
 
 
+def stored_results(spark, sf):
+    """The experiments as result files hold them: a row for each run, its configurations and results side by side; read back."""
+    out = None
+    named = F.struct(*[F.col(c) for c in CFG]).alias("config")
+    for d in experiments(spark, sf).select("dataset", "model").distinct().orderBy("dataset", "model").collect():
+        own = experiments(spark, sf).where((F.col("dataset") == d["dataset"]) & (F.col("model") == d["model"]))
+        rows = own.groupBy("query").agg(F.collect_list(F.struct(named, "ndcg")).alias("z")).select(F.lit(1).alias("qxm"), F.array("query").alias("query"), F.transform("z", lambda x: x["config"]).alias("configs"), F.lit(0).alias("idx_best"), F.transform("z", lambda x: x["ndcg"]).alias("results"))
+        at = new_path(spark)
+        RS.write_json(rows, at)
+        read = RS.config_results(RS.read_selection(spark, at, "pdt_depth: int, n_neighbors: bigint, feature_diff: boolean", multi_line=False), d["dataset"], d["model"])
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
 @query("config_agg", f"{TAB} SELECT * REPLACE (round(ndcg, 6) AS ndcg, round(ndcg_std, 6) AS ndcg_std) FROM tab")
 def config_agg(spark, sf):
-    return r6(config_frame(spark, sf), "ndcg", "ndcg_std")
+    return r6(A.config_table(stored_results(spark, sf), CFG), "ndcg", "ndcg_std")
 
 
 @query("centered_regret", f"{TAB} SELECT dataset, model, pdt_depth, n_neighbors, feature_diff, round(ndcg - avg(ndcg) OVER w, 6) + 0.0 AS ndcg_centered, round(ndcg - max(ndcg) OVER w, 6) + 0.0 AS regret FROM tab WINDOW w AS (PARTITION BY dataset, model)")
