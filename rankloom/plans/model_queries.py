@@ -11,6 +11,7 @@ from rankloom.operators import experiments as X
 from rankloom.operators import linear as LN
 from rankloom.operators import metrics as M
 from rankloom.operators import pairs as P
+from rankloom.operators import pairwise as PW
 from rankloom.operators import rtr as R
 from rankloom.operators import rulecard as C
 from rankloom.operators import selection as S
@@ -529,6 +530,28 @@ def adarank(spark, sf):
     return out6(LN.adarank_scores(test, LN.adarank(train, 6)), "score")
 
 
+#: What a document counts for among its query's pairs, each of the same weight.
+COUNTS = f"WITH {EV}, p AS (SELECT a.qid, a.doc_id, sum((a.y > b.y)::INT) AS better, sum((a.y < b.y)::INT) AS worse FROM ev a JOIN ev b ON a.qid = b.qid GROUP BY 1, 2)"
+
+
+@query("pair_counts", f"{COUNTS} SELECT qid, doc_id, round((better - worse)::DOUBLE, 6) AS count, round(better::DOUBLE, 6) AS better FROM p")
+def pair_counts(spark, sf):
+    rows = L.event_lists(spark, sf).select("qid", "doc_id", "y", F.lit(0.0).alias("h"))
+    return PW.pair_counts(rows).select("qid", "doc_id", F.round("count", 6).alias("count"), F.round("better", 6).alias("better"))
+
+
+@query("rankboost")
+def rankboost(spark, sf):
+    train, test = halves(spark, sf)
+    return out6(PW.rankboost_scores(test, PW.rankboost(train, 8)), "score")
+
+
+@query("coordinate_ascent")
+def coordinate_ascent(spark, sf):
+    train, test = halves(spark, sf)
+    return out6(PW.linear_scores(test, PW.coordinate_ascent(train, 2, 2)), "score")
+
+
 @query("least_squares", f"""WITH {EV}, c AS (SELECT qid, covar_pop(f0, y) AS a, covar_pop(f1, y) AS b, covar_pop(f0, f1) AS k, var_pop(f0) AS u, var_pop(f1) AS v, avg(f0) AS m0, avg(f1) AS m1, avg(y) AS my FROM ev GROUP BY qid),
 w AS (SELECT *, (a * v - b * k) / (u * v - k * k) AS w0, (b * u - a * k) / (u * v - k * k) AS w1 FROM c) SELECT qid, round(w0, 5) + 0.0 AS w0, round(w1, 5) + 0.0 AS w1, round(my - w0 * m0 - w1 * m1, 5) + 0.0 AS intercept FROM w""")
 def least_squares(spark, sf):
