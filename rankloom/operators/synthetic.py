@@ -30,3 +30,15 @@ def generate(spark: SparkSession, queries: int, docs: int, features: int, grades
     raw = x.withColumn("raw", target(F.col("features"), weights) + random_normal(f"{seed}e", 0.0, noise))
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     return raw.crossJoin(F.broadcast(ends)).select("qid", "doc_id", equal_width(F.col("raw"), F.col("lo"), F.col("hi"), grades).cast("double").alias("y"), "features")
+
+
+def hidden_linear(spark: SparkSession, queries: int = 36, docs: int = 12, features: int = 6, seed: str = "h") -> DataFrame:
+    """qid, doc_id, linear_score, true_rank, relevance, features: lists ranked by a hidden linear score, graded by rank. Reruns agree."""
+    from rankloom.functions.vectors import dot
+    from rankloom.operators.dataset import rank_grades
+
+    rows = spark.range(queries * docs).select((F.col("id") / docs).cast("long").alias("qid"), (F.col("id") % docs).alias("doc_id"))
+    x = rows.withColumn("features", F.array(*[random_normal(f"{seed}{i}") for i in range(features)]))
+    hidden = F.array(*[F.lit((-1) ** i * (features - i) / features) for i in range(features)])
+    scored = x.withColumn("linear_score", dot(F.col("features"), hidden))
+    return rank_grades(scored, "linear_score").select("qid", "doc_id", "linear_score", "true_rank", "relevance", "features")

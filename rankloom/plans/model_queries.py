@@ -10,6 +10,7 @@ from rankloom.operators import boosting as B
 from rankloom.operators import experiments as X
 from rankloom.operators import linear as LN
 from rankloom.operators import metrics as M
+from rankloom.operators import models as MO
 from rankloom.operators import pairs as P
 from rankloom.operators import pairwise as PW
 from rankloom.operators import rtr as R
@@ -585,6 +586,26 @@ def synthetic_ltr(spark, sf):
     return generate(spark, users, 40, 10).select("qid", "doc_id", "y", F.round(F.col("features")[0], 6).alias("f0"))
 
 
+@query("hidden_linear_lists")
+def hidden_linear_lists(spark, sf):
+    from rankloom.operators.synthetic import hidden_linear
+
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    return r6(hidden_linear(spark, users).drop("features"), "linear_score")
+
+
+@query("ranker_comparison")
+def ranker_comparison(spark, sf):
+    train, test = halves(spark, sf)
+    out = None
+    for kind, settings in (("tree", {}), ("lambdamart", {"rounds": 10}), ("mart", {"rounds": 10}), ("listnet", {"rate": 1.0, "epochs": 20}), ("rankboost", {"rounds": 5}), ("least_squares", {}), ("random", {})):
+        model = MO.Model(kind, settings).fit(train)
+        scored = model.predict(test).withColumn("score", F.round("score", 9))
+        part = M.summary(M.ndcg(scored, "score", [5, 10]), ["k"]).select(F.lit(kind).alias("model"), "k", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # -- selection ----------------------------------------------------------------------------------------------------
 
 EXP = """exp AS (SELECT l_returnflag AS dataset, l_linestatus AS model, l_suppkey AS query, l_linenumber % 3 AS pdt_depth, CASE WHEN CAST(l_quantity AS BIGINT) % 4 < 3 THEN CAST(l_quantity AS BIGINT) % 4 END AS n_neighbors, l_tax > 0.04 AS feature_diff, l_discount * 10 AS ndcg FROM lineitem)"""
