@@ -32,7 +32,7 @@ from rankloom.llm.common import Scratch, n_partitions, short_batches, tidy
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters of a text that stays in one row; bytes of a leaf of a text, and of a leaf that is a row of its own; characters of a leaf of unsplit text, and of a chunk that is taken as unsplit; tokens, or chunks, of a first window's side; remembered chunks.
-LONG, PART, RUN, LEAF, UNSPLIT, WINDOW, REMEMBERED = 1 << 16, 1024, 1 << 14, 1024, 2048, 1, 80_000
+LONG, PART, RUN, LEAF, UNSPLIT, WINDOW, REMEMBERED = 1 << 16, 1024, 1 << 14, 1024, 2048, 1, 250_000
 #: Stands for an unsplit chunk among chunks; no chunk is a space.
 PLACE = b" "
 SPACE = b" \t\n\x0b\x0c\r"
@@ -265,19 +265,13 @@ _BUILT: dict[tuple, Bpe] = {}
 
 
 def built(spec: str, **knobs) -> Bpe:
-    """The worker's tokenizer, built once."""
+    """The worker's tokenizer, built once; what it remembers serves its next tasks."""
     key = (hash(spec), *sorted(knobs.items()))
     if key not in _BUILT:
         _BUILT[key] = Bpe(spec, **knobs)
     return _BUILT[key]
 
 
-def release() -> None:
-    """Leaves the worker's memory to whatever it does next; the next task builds its tokenizer anew."""
-    _BUILT.clear()
-    pa.default_memory_pool().release_unused()
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -316,7 +310,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                 some = b.slice(at, 256)
                 text = some.column("text").cast(pa.large_binary())
                 yield frame([row(bpe, k.as_py(), bpe.node(t.as_py())[1]) for k, t in zip(some.column("doc_id"), text, strict=True)])
-        release()
 
     short = lean.where(F.length("text") <= long).mapInArrow(tidy(whole), schema)
 
@@ -347,7 +340,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                         yield leaf_batch(some)
                         some = []
                 yield leaf_batch(some)
-        release()
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built(spec.value, **knobs)
@@ -361,7 +353,6 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                     data, ids, counts = None, np.array(bpe.leaf_of(kind, data.decode()), "<u4").tobytes(), None
                 out.append((uid, k, no, kind, word, through, data, ids, counts))
             yield leaf_batch(out)
-        release()
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         bpe, pdf = built(spec.value, **knobs), pdf.sort_values("no")
