@@ -212,7 +212,8 @@ class Mix:
         lo = F.greatest(F.lit(0), F.col("block") * b - F.col("start"))
         hi = F.least("size", (F.col("block") + 1) * b - F.col("start"))
         part = F.greatest(F.lit(0), F.least(hi, F.col("block") * b + F.col("part") - F.col("start")) - lo)
-        return each.join(taken, ["ix", "block"]).select("uid", "block", lo.alias("lo"), hi.alias("hi"), "times", part.alias("part"))
+        # A row for each block: as it grows with the texts, it is never broadcast, however well it compresses.
+        return each.join(taken.hint("merge"), ["ix", "block"]).select("uid", "block", lo.alias("lo"), hi.alias("hi"), "times", part.alias("part"))
 
     def taken(self) -> DataFrame:
         """Every row: doc_id, size, source_size, target, taken."""
