@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from rankloom.storage import cut
 
-#: Rows that a task treats at once, beyond which it waits only for the last group's end.
-ROWS = 200_000
+#: Bytes of rows that a task treats at once, beyond which it waits only for the last group's end.
+BYTES = 32 << 20
 
 
 def starts_of(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
@@ -40,17 +40,17 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType | str, order: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
+def map_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType | str, order: Sequence[str] = (), most_bytes: int = BYTES) -> DataFrame:
     """``run`` over whole groups, sorted by ``order`` inside; without keys, all rows are one group."""
     keys = list(keys)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(n, *keys) if keys else df.repartition(1)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, most = [], 0, rows
+        held, size, most = [], 0, most_bytes
         for b in batches:
             held.append(b)
-            size += b.num_rows
+            size += b.nbytes
             if size < most:
                 continue
             table = pa.Table.from_batches(held)
@@ -58,11 +58,12 @@ def map_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pa.Table, np.n
             if len(first) > 1:
                 yield from run(table.slice(0, first[-1]), first[:-1])
                 table = table.slice(first[-1])
-            held, size = table.combine_chunks().to_batches(), table.num_rows
-            most = max(rows, 2 * size)
-        if size:
+            held, size = table.combine_chunks().to_batches(), table.nbytes
+            most = max(most_bytes, 2 * size)
+        if held:
             table = pa.Table.from_batches(held)
-            yield from run(table, starts_of(table, keys))
+            if table.num_rows:
+                yield from run(table, starts_of(table, keys))
 
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(tasks, schema) if keys or order else dealt.mapInArrow(tasks, schema)
 

@@ -57,3 +57,25 @@ def test_features_drawn_by_spark_and_here_are_the_same(spark):
     for r in df.withColumn("h", F.xxhash64(F.col("key").cast("long"), F.col("node").cast("long"), F.col("f").cast("long"))).orderBy("h", "f").collect():
         got.setdefault((r.key, r.node), []).append(r.f)
     assert all(T.drawn_features(k, n, 6, 3) == fs[:3] for (k, n), fs in got.items())
+
+
+def test_groups_come_whole_however_batches_are_cut(spark):
+    from rankloom.operators import groups
+
+    rows = [(k, i) for k in range(40) for i in range(1 + 37 * k % 50)] + [(None, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, i long").repartition(5)
+
+    def sizes(table, first):
+        n = np.diff(np.append(first, table.num_rows))
+        yield groups.pa.RecordBatch.from_arrays([table.column("k").take(groups.pa.array(first)).combine_chunks(), groups.pa.array(n)], names=["k", "n"])
+
+    want = {k: sum(1 for x, _ in rows if x == k) for k, _ in rows}
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        for most in (1, 700, 1 << 20):
+            got = groups.map_groups(df, ["k"], sizes, "k long, n long", ["i"], most).collect()
+            assert len(got) == len(want) and {r.k: r.n for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    assert groups.map_groups(df.limit(0), ["k"], sizes, "k long, n long").collect() == []
