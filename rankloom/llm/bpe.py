@@ -264,8 +264,14 @@ class Bpe:
 _BUILT: dict[tuple, Bpe] = {}
 
 
+def forget() -> None:
+    """What a task remembers goes with it; the tokenizer stays with the worker."""
+    for bpe in _BUILT.values():
+        bpe.new, bpe.old = {}, {}
+
+
 def built(spec: str, **knobs) -> Bpe:
-    """The worker's tokenizer, built once; what it remembers serves its next tasks."""
+    """The worker's tokenizer, built once."""
     key = (hash(spec), *sorted(knobs.items()))
     if key not in _BUILT:
         _BUILT[key] = Bpe(spec, **knobs)
@@ -310,6 +316,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                 some = b.slice(at, 256)
                 text = some.column("text").cast(pa.large_binary())
                 yield frame([row(bpe, k.as_py(), bpe.node(t.as_py())[1]) for k, t in zip(some.column("doc_id"), text, strict=True)])
+        forget()
 
     short = lean.where(F.length("text") <= long).mapInArrow(tidy(whole), schema)
 
@@ -340,6 +347,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                         yield leaf_batch(some)
                         some = []
                 yield leaf_batch(some)
+        forget()
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = built(spec.value, **knobs)
@@ -353,6 +361,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, texts: bool = False,
                     data, ids, counts = None, np.array(bpe.leaf_of(kind, data.decode()), "<u4").tobytes(), None
                 out.append((uid, k, no, kind, word, through, data, ids, counts))
             yield leaf_batch(out)
+        forget()
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         bpe, pdf = built(spec.value, **knobs), pdf.sort_values("no")
