@@ -265,9 +265,8 @@ _BUILT: dict[tuple, Bpe] = {}
 
 
 def forget() -> None:
-    """What a task remembers goes with it; the tokenizer stays with the worker."""
-    for bpe in _BUILT.values():
-        bpe.new, bpe.old = {}, {}
+    """What a task remembers goes with it, and the tokenizer as well: a worker keeps no more memory than before."""
+    _BUILT.clear()
 
 
 def built(spec: str, **knobs) -> Bpe:
