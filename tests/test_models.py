@@ -139,3 +139,24 @@ def test_streaming_scorer(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
     want = T.apply(df, trees, ["qid"])
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize(("copies", "most"), [(75, 40), (1, 11)])
+def test_grouping_takes_few_rounds_and_settles_ties_of_copies(spark, monkeypatch, copies, most):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(3000 // copies, 3)), copies, axis=0)[rng.permutation(3000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "qid long, features array<double>")
+    rounds, greedy = [], clustering._greedy
+    monkeypatch.setattr(clustering, "_greedy", lambda s, qids, nearest, n: greedy(s, qids, lambda *a: rounds.append(1) or nearest(*a), n))
+    got = {r.qid: r.group_id for r in clustering.greedy_query_groups(df, 2).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 12) + 0.0
+    left, want = np.ones(3000, bool), {}
+    for seed in range(3000):
+        if left[seed]:
+            left[seed] = False
+            near = [q for q in np.argsort(d[seed], kind="stable").tolist() if left[q]][:1]
+            left[near] = False
+            want |= dict.fromkeys([seed, *near], len(set(want.values())))
+    # With 128 seeds a time, 1,500 groups took 12 rounds at least.
+    assert got == want and len(rounds) <= most
