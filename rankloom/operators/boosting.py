@@ -6,8 +6,9 @@ count, as others don't change NDCG at k, so a query's documents meet its k best
 over the k best, and the k best get the sums of the documents below them, added up with map-side combine. A query may be of
 any size.
 
-Models of up to ``CELLS`` rows times features go through all rounds in one task; larger ones take each round as Spark jobs,
-with the score as a column and trees grown over histograms. Both ways give the same trees.
+Models of up to ``CELLS`` rows times features go through all rounds in one task. A larger one without keys takes each round as
+Spark jobs over blocks of whole queries; larger ones of several, or with queries that no task holds, as jobs with the score as
+a column. Trees are grown over histograms then. All ways give the same trees.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 
 from rankloom.operators import groups
 from rankloom.operators import trees as T
-from rankloom.storage import cut
+from rankloom.storage import cut, new_path, remove
 
 
 @dataclass(frozen=True)
@@ -166,7 +167,211 @@ def _by_rounds(rows: DataFrame, keys: list[str], c: Boost, cells: int) -> DataFr
     return out
 
 
-def fit(train: DataFrame, config: Boost | None = None, keys: Sequence[str] = (), cells: int = T.CELLS) -> DataFrame:
+# -- one large model over blocks of whole queries -----------------------------------------------------------------
+
+#: Documents of a block at least; bins of all features of a large model, of which each feature has 256 at least.
+BLOCK, ALL_BINS = 1 << 16, 8192
+BLOCKS = "x binary, code binary, y binary, first binary, s binary, lam binary, weight binary"
+NAMES = [p.split()[0] for p in BLOCKS.split(", ")]
+
+
+def _blocks(ends: list[np.ndarray], base: float, block: int):
+    def run(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = groups.matrix(table, "features"), groups.numbers(table, "y")
+        limits, at = np.append(first, table.num_rows), 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(limits, limits[at] + block)))
+            to = min(to, len(first))
+            a, z = int(limits[at]), int(limits[to])
+            code = np.stack([np.searchsorted(e, x[a:z, f]) for f, e in enumerate(ends)], axis=1).astype(np.int16)
+            cells = (np.ascontiguousarray(x[a:z]), code, y[a:z], limits[at : to + 1] - a, np.full(z - a, base), np.zeros(z - a), np.zeros(z - a))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=NAMES)
+            at = to
+
+    return run
+
+
+def _read(batch: pa.RecordBatch, d: int) -> Iterator[tuple[np.ndarray, ...]]:
+    for i in range(batch.num_rows):
+        x, code, y, first, s, lam, weight = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in zip(NAMES, (float, np.int16, float, np.int64, float, float, float), strict=True))
+        yield x.reshape(-1, d), code.reshape(-1, d), y, first, s, lam, weight
+
+
+def _node_of(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+    node, row = np.ones(len(x), np.int64), np.arange(len(x))
+    while (open_ := feature[node] >= 0).any():
+        node = np.where(open_, 2 * node + (x[row, feature[node]] > threshold[node]), node)
+    return node
+
+
+def _gained(s: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n * (whole - n) > 0, s * s * whole / (n * (whole - n)), -np.inf)
+
+
+def _by_blocks(rows: DataFrame, c: Boost, d: int, block: int, bins: int | None) -> DataFrame:
+    """The same trees for one model of any size, whose queries fit tasks: a round rewrites the blocks' scores and lambdas, a
+    level sums bins of nodes in tasks, and only bins that may hold the best split are summed by value."""
+    spark, n_bins = rows.sparkSession, bins or max(256, 1 << (ALL_BINS // d).bit_length() - 1)
+    probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+    cuts = rows.select(F.posexplode("features").alias("f", "v")).groupBy("f").agg(F.array_distinct(F.percentile_approx("v", probs, F.lit(8 * n_bins))).alias("e")).collect()
+    ends = [np.sort(np.array(e)) for _, e in sorted((r["f"], r["e"]) for r in cuts)]
+    base, total = rows.agg(F.avg("y"), F.count("*")).first()
+    base = base if c.objective == "squared" else 0.0
+    width = 1 << (c.depth + 1)
+    found = [(0, 1, None, None, float(base), int(total))]
+    state, path = None, None
+    made = groups.map_groups(rows.select("qid", "doc_id", "y", "features"), ["qid"], _blocks(ends, base, block), BLOCKS, ["doc_id"])
+    feature, threshold, step = np.full(width, -1), np.zeros(width), np.zeros(width)
+    for r in range(1, c.rounds + 1):
+
+        def marked(batches: Iterator[pa.RecordBatch], tree=(feature, threshold, step)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x, code, y, first, s, _, _ in _read(b, d):
+                    s = s + tree[2][_node_of(x, tree[0], tree[1])]
+                    if c.objective == "squared":
+                        lam, weight = y - s, np.ones(len(y))
+                    else:
+                        lam, weight = np.zeros(len(y)), np.zeros(len(y))
+                        for u, v in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                            lam[u:v], weight[u:v] = query_lambdas(s[u:v], y[u:v], c.k)
+                    yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()) for k in (x, code, y, first, s, lam, weight)], names=NAMES)
+
+        last, path = path, new_path(spark)
+        (made if state is None else state).mapInArrow(marked, BLOCKS).write.parquet(path)
+        state = spark.read.schema(BLOCKS).parquet(path)
+        if last is not None:
+            remove(spark, last)
+        feature, threshold, mean = np.full(width, -1), np.zeros(width), np.zeros(width)
+        for level in range(c.depth):
+            _level(state, d, n_bins, c.min_split, level, feature, threshold, mean)
+            if not (feature[1 << level : 2 << level] >= 0).any():
+                break
+        sums = _leaves(state, d, feature, threshold)
+        n, up, down = np.zeros(width, np.int64), np.zeros(width), np.zeros(width)
+        for node, k, a, b in sums:
+            n[node], up[node], down[node] = k, a, b
+        step = c.rate * np.divide(up, down, out=np.zeros(width), where=down > 1e-12)
+        for node in range(width // 2 - 1, 0, -1):
+            n[node] += n[2 * node] + n[2 * node + 1]
+        for node in np.flatnonzero(n).tolist():
+            inner = feature[node] >= 0
+            found.append((r, node, int(feature[node]) if inner else None, float(threshold[node]) if inner else None, 0.0 if inner else float(step[node]), int(n[node])))
+    return spark.createDataFrame(found, ST.StructType([ST.StructField(n, t) for n, t in NODES]))
+
+
+def _leaves(state: DataFrame, d: int, feature: np.ndarray, threshold: np.ndarray) -> list:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, len(feature)))
+        for b in batches:
+            for x, _, _, _, _, lam, weight in _read(b, d):
+                node = _node_of(x, feature, threshold)
+                sums += [np.bincount(node, v, len(feature)) for v in (np.ones(len(x)), lam, weight)]
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(v[at]) for v in sums]], names=["node", "n", "l", "w"])
+
+    parts = state.select(*NAMES).mapInArrow(run, "node long, n double, l double, w double")
+    return [(r[0], int(r[1]), r[2], r[3]) for r in parts.groupBy("node").agg(F.sum("n"), F.sum("l"), F.sum("w")).collect()]
+
+
+def _level(state: DataFrame, d: int, bins: int, min_split: int, level: int, feature: np.ndarray, threshold: np.ndarray, mean: np.ndarray) -> None:
+    """Fill in the best splits of a level's nodes, and their children's means."""
+    spark, low, slots = state.sparkSession, 1 << level, 1 << level
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for b in batches:
+            for x, code, _, _, _, lam, _ in _read(b, d):
+                node = _node_of(x, feature, threshold)
+                on = node >= low
+                yield x[on], code[on], node[on] - low, lam[on] - mean[node[on]]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = slots * d * bins
+        n, s, p, q, lo, hi = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
+        for x, code, slot, t in opened(batches):
+            for f in range(d):
+                at = (slot * d + f) * bins + code[:, f]
+                n += np.bincount(at, minlength=size)
+                s += np.bincount(at, t, size)
+                p += np.bincount(at, np.maximum(t, 0.0), size)
+                q += np.bincount(at, t * t, size)
+                np.minimum.at(lo, at, x[:, f])
+                np.maximum.at(hi, at, x[:, f])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(v[at]) for v in (n, s, p, q, lo, hi)]], names=["at", "n", "s", "p", "q", "lo", "hi"])
+
+    parts = state.mapInArrow(summed, "at long, n double, s double, p double, q double, lo double, hi double")
+    table = parts.groupBy("at").agg(*[F.sum(k).alias(k) for k in ("n", "s", "p", "q")], F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow().sort_by("at")
+    at, (n, s, p, q, lo, hi) = table.column("at").to_numpy(), (table.column(k).to_numpy() for k in ("n", "s", "p", "q", "lo", "hi"))
+    if not len(at):
+        return
+    own = at // bins
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    group = np.cumsum(np.append(True, own[1:] != own[:-1])) - 1
+    before = lambda v: np.cumsum(v) - v - (np.cumsum(v) - v)[begin][group]
+    whole, n0, s0 = np.add.reduceat(n, begin)[group], before(n), before(s)
+    last = np.append(own[1:] != own[:-1], True)
+    after = np.where(last, np.nan, np.append(lo[1:], np.nan))
+    large = whole >= min_split
+    gain = np.where(~last & large, np.round(_gained(s0 + s, n0 + n, whole), 9), -np.inf)
+    slot, f = own // d, own % d
+    best: dict[int, tuple] = {}
+    reach = np.zeros(slots)
+    for i in np.lexsort((hi, f, -gain)).tolist():
+        if gain[i] > 0 and int(slot[i]) not in best:
+            best[int(slot[i])] = (-gain[i], int(f[i]), hi[i], after[i], n0[i] + n[i], s0[i] + s[i], whole[i])
+            reach[slot[i]] = gain[i]
+        if len(best) == slots or gain[i] <= 0:
+            break
+    # The bounds are those of the trees' levels (see trees.py), for rows of weight 1.
+    side = np.maximum(np.abs(s0 + p), np.abs(s0 - (p - s)))
+    corner = np.maximum(_gained(side, n0 + 1, whole), _gained(side, n0 + n - 1, whole))
+    rest, rest_n = s0 + s, whole - n0 - n
+    apart = np.divide(s0 * s0, n0, out=np.zeros(len(n)), where=n0 > 0) + np.divide(rest * rest, rest_n, out=np.zeros(len(n)), where=rest_n > 0.5) + q
+    bound = np.where(np.isfinite(corner), np.minimum(corner, apart), apart)
+    inside = large & (lo < hi) & (bound * (1 + 1e-9) + 1e-9 >= reach[slot])
+    if inside.any():
+        flag = np.zeros(slots * d * bins, bool)
+        flag[at[inside]] = True
+
+        def by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, code, own_slot, t in opened(batches):
+                for c in range(d):
+                    cell = (own_slot * d + c) * bins + code[:, c]
+                    some = np.flatnonzero(flag[cell])
+                    some = some[np.lexsort((x[some, c], cell[some]))]
+                    if len(some):
+                        cell, v = cell[some], x[some, c]
+                        first = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (v[1:] != v[:-1])))
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(v[first]), pa.array(np.diff(np.append(first, len(cell))).astype(float)), pa.array(np.add.reduceat(t[some], first))], names=["at", "v", "n", "s"])
+
+        known = pa.table({"at": at[inside], "n0": n0[inside], "s0": s0[inside], "whole": whole[inside], "after": pa.array(after[inside], mask=np.isnan(after[inside]))})
+        sums = state.mapInArrow(by_value, "at long, v double, n double, s double").groupBy("at", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        one = W.partitionBy("at").orderBy("v")
+        upto = one.rowsBetween(W.unboundedPreceding, 0)
+        cells = sums.select("at", "v", F.lead("v").over(one).alias("_next"), F.sum("n").over(upto).alias("_n"), F.sum("s").over(upto).alias("_s")).join(F.broadcast(spark.createDataFrame(known)), "at")
+        cells = cells.select((F.expr(f"at div {d * bins}")).alias("slot"), F.expr(f"(at div {bins}) % {d}").alias("f"), "v", F.coalesce("_next", "after").alias("next"), (F.col("n0") + F.col("_n")).alias("nl"), (F.col("s0") + F.col("_s")).alias("sl"), "whole")
+        gain_ = F.round(F.try_divide(F.col("sl") * F.col("sl") * F.col("whole"), F.col("nl") * (F.col("whole") - F.col("nl"))), 9)
+        top = cells.where("next is not null").withColumn("gain", gain_).where("gain > 0").groupBy("slot").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "f", "v", "next", "nl", "sl", "whole")).alias("b"))
+        for r in top.collect():
+            mine = tuple(r["b"])
+            if r["slot"] not in best or mine[:3] < best[r["slot"]][:3]:
+                best[r["slot"]] = mine
+    for k, (_, on, v, following, nl, sl, all_) in best.items():
+        node = low + k
+        feature[node], threshold[node] = on, (v + following) / 2
+        mean[2 * node], mean[2 * node + 1] = mean[node] + sl / nl, mean[node] - sl / (all_ - nl)
+
+
+def _blocked(rows: DataFrame, cells: int) -> int:
+    """The number of features, if each query fits a task and all entries are numbers, else 0."""
+    odd = F.col("y").isNull() | F.isnan("y") | F.col("features").isNull() | F.exists("features", lambda v: v.isNull() | F.isnan(v))
+    each = rows.groupBy("qid").agg(F.sum(F.size("features")).alias("n"), F.min(F.size("features")).alias("a"), F.max(F.size("features")).alias("z"), F.max(F.coalesce(odd, F.lit(True))).alias("odd"))
+    r = each.agg(F.max("n"), F.min("a"), F.max("z"), F.max("odd")).first()
+    return int(r[1]) if r[1] and r[1] == r[2] and not r[3] and r[0] <= cells and r[1] <= ALL_BINS else 0
+
+
+def fit(train: DataFrame, config: Boost | None = None, keys: Sequence[str] = (), cells: int = T.CELLS, block: int = BLOCK, bins: int | None = None) -> DataFrame:
     """The rounds' trees of all models: keys.., round (0 is the base), node, feature, threshold, prediction, n.
 
     ``train``: keys.., qid, doc_id, y, features. The objective ndcg is LambdaMART, squared is MART. Keys and ids must not be
@@ -177,7 +382,9 @@ def fit(train: DataFrame, config: Boost | None = None, keys: Sequence[str] = (),
     small, large = groups.parted(rows, keys, F.size("features"), cells)
     schema = ST.StructType([rows.schema[k] for k in keys] + [ST.StructField(n, t) for n, t in NODES])
     parts = [] if small is None else [groups.map_groups(small, keys, _whole(keys, c), schema, ["qid", "doc_id"])]
-    parts += [] if large is None else [_by_rounds(large, keys, c, cells).select(*schema.names)]
+    if large is not None:
+        d = 0 if keys else _blocked(large, T.CELLS if cells else 0)
+        parts.append(_by_blocks(large, c, d, block, bins).select(*schema.names) if d else _by_rounds(large, keys, c, cells).select(*schema.names))
     return cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 

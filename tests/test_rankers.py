@@ -180,3 +180,16 @@ def test_precomputed_targets_in_three_forms(spark):
     assert pairs.self_supervised(sides).first().target == 5 and pairs.self_supervised(sides, metric="manhattan").first().target == 7
     with pytest.raises(ValueError, match="metric"):
         pairs.self_supervised(sides, metric="other")
+
+
+@pytest.mark.parametrize("objective", ["ndcg", "squared"])
+def test_one_large_model_over_blocks_grows_the_trees_of_a_whole_one(spark, objective):
+    rng = np.random.default_rng(11)
+    rows = [(q, d, float(rng.integers(4)), [float(np.round(rng.normal(), 2)), float(rng.integers(6)), 1.0]) for q, n in enumerate([40, 1, 70, 25, 60]) for d in range(n)]
+    df = spark.createDataFrame(rows, "qid long, doc_id long, y double, features array<double>").repartition(3)
+    c = B.Boost(rounds=2, objective=objective)
+    facts = lambda e: {(r["round"], r["node"]): (r.feature, r.threshold and round(r.threshold, 9), round(r.prediction, 8), r.n) for r in e.collect()}
+    assert B._blocked(df, 210) == 3 and B._blocked(df, 209) == 0
+    assert B._blocked(df.withColumn("y", F.when(F.col("doc_id") != 69, F.col("y"))), 210) == 0
+    whole = facts(B.fit(df, c))
+    assert len(whole) > 9 and whole == facts(B.fit(df, c, cells=1, block=50, bins=8))
