@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
-from rankloom.operators import groups
+from rankloom.operators import blocks, groups
 from rankloom.operators import trees as T
 from rankloom.storage import cut, new_path, remove
 
@@ -169,8 +169,7 @@ def _by_rounds(rows: DataFrame, keys: list[str], c: Boost, cells: int) -> DataFr
 
 # -- one large model over blocks of whole queries -----------------------------------------------------------------
 
-#: Documents of a block at least; bins of all features of a large model, of which each feature has 256 at least.
-BLOCK, ALL_BINS = 1 << 16, 8192
+_blocked = blocks.whole_lists
 BLOCKS = "x binary, code binary, y binary, first binary, s binary, lam binary, weight binary"
 NAMES = [p.split()[0] for p in BLOCKS.split(", ")]
 
@@ -183,8 +182,7 @@ def _blocks(ends: list[np.ndarray], base: float, block: int):
             to = max(at + 1, int(np.searchsorted(limits, limits[at] + block)))
             to = min(to, len(first))
             a, z = int(limits[at]), int(limits[to])
-            code = np.stack([np.searchsorted(e, x[a:z, f]) for f, e in enumerate(ends)], axis=1).astype(np.int16)
-            cells = (np.ascontiguousarray(x[a:z]), code, y[a:z], limits[at : to + 1] - a, np.full(z - a, base), np.zeros(z - a), np.zeros(z - a))
+            cells = (np.ascontiguousarray(x[a:z]), blocks.coded(x[a:z], ends), y[a:z], limits[at : to + 1] - a, np.full(z - a, base), np.zeros(z - a), np.zeros(z - a))
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=NAMES)
             at = to
 
@@ -197,25 +195,11 @@ def _read(batch: pa.RecordBatch, d: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield x.reshape(-1, d), code.reshape(-1, d), y, first, s, lam, weight
 
 
-def _node_of(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> np.ndarray:
-    node, row = np.ones(len(x), np.int64), np.arange(len(x))
-    while (open_ := feature[node] >= 0).any():
-        node = np.where(open_, 2 * node + (x[row, feature[node]] > threshold[node]), node)
-    return node
-
-
-def _gained(s: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(n * (whole - n) > 0, s * s * whole / (n * (whole - n)), -np.inf)
-
-
 def _by_blocks(rows: DataFrame, c: Boost, d: int, block: int, bins: int | None) -> DataFrame:
     """The same trees for one model of any size, whose queries fit tasks: a round rewrites the blocks' scores and lambdas, a
     level sums bins of nodes in tasks, and only bins that may hold the best split are summed by value."""
-    spark, n_bins = rows.sparkSession, bins or max(256, 1 << (ALL_BINS // d).bit_length() - 1)
-    probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    cuts = rows.select(F.posexplode("features").alias("f", "v")).groupBy("f").agg(F.array_distinct(F.percentile_approx("v", probs, F.lit(8 * n_bins))).alias("e")).collect()
-    ends = [np.sort(np.array(e)) for _, e in sorted((r["f"], r["e"]) for r in cuts)]
+    spark, n_bins = rows.sparkSession, bins or blocks.bins_of(d)
+    ends = blocks.cuts(rows, n_bins)
     base, total = rows.agg(F.avg("y"), F.count("*")).first()
     base = base if c.objective == "squared" else 0.0
     width = 1 << (c.depth + 1)
@@ -228,7 +212,7 @@ def _by_blocks(rows: DataFrame, c: Boost, d: int, block: int, bins: int | None)
         def marked(batches: Iterator[pa.RecordBatch], tree=(feature, threshold, step)) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for x, code, y, first, s, _, _ in _read(b, d):
-                    s = s + tree[2][_node_of(x, tree[0], tree[1])]
+                    s = s + tree[2][blocks.node_of(x, tree[0], tree[1])]
                     if c.objective == "squared":
                         lam, weight = y - s, np.ones(len(y))
                     else:
@@ -265,7 +249,7 @@ def _leaves(state: DataFrame, d: int, feature: np.ndarray, threshold: np.ndarray
         sums = np.zeros((3, len(feature)))
         for b in batches:
             for x, _, _, _, _, lam, weight in _read(b, d):
-                node = _node_of(x, feature, threshold)
+                node = blocks.node_of(x, feature, threshold)
                 sums += [np.bincount(node, v, len(feature)) for v in (np.ones(len(x)), lam, weight)]
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(v[at]) for v in sums]], names=["node", "n", "l", "w"])
@@ -276,102 +260,22 @@ def _leaves(state: DataFrame, d: int, feature: np.ndarray, threshold: np.ndarray
 
 def _level(state: DataFrame, d: int, bins: int, min_split: int, level: int, feature: np.ndarray, threshold: np.ndarray, mean: np.ndarray) -> None:
     """Fill in the best splits of a level's nodes, and their children's means."""
-    spark, low, slots = state.sparkSession, 1 << level, 1 << level
+    low = 1 << level
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> blocks.Opened:
         for b in batches:
             for x, code, _, _, _, lam, _ in _read(b, d):
-                node = _node_of(x, feature, threshold)
+                node = blocks.node_of(x, feature, threshold)
                 on = node >= low
-                yield x[on], code[on], node[on] - low, lam[on] - mean[node[on]]
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = slots * d * bins
-        n, s, p, q, lo, hi = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
-        for x, code, slot, t in opened(batches):
-            for f in range(d):
-                at = (slot * d + f) * bins + code[:, f]
-                n += np.bincount(at, minlength=size)
-                s += np.bincount(at, t, size)
-                p += np.bincount(at, np.maximum(t, 0.0), size)
-                q += np.bincount(at, t * t, size)
-                np.minimum.at(lo, at, x[:, f])
-                np.maximum.at(hi, at, x[:, f])
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(v[at]) for v in (n, s, p, q, lo, hi)]], names=["at", "n", "s", "p", "q", "lo", "hi"])
-
-    parts = state.mapInArrow(summed, "at long, n double, s double, p double, q double, lo double, hi double")
-    table = parts.groupBy("at").agg(*[F.sum(k).alias(k) for k in ("n", "s", "p", "q")], F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow().sort_by("at")
-    at, (n, s, p, q, lo, hi) = table.column("at").to_numpy(), (table.column(k).to_numpy() for k in ("n", "s", "p", "q", "lo", "hi"))
-    if not len(at):
-        return
-    own = at // bins
-    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    group = np.cumsum(np.append(True, own[1:] != own[:-1])) - 1
-    before = lambda v: np.cumsum(v) - v - (np.cumsum(v) - v)[begin][group]
-    whole, n0, s0 = np.add.reduceat(n, begin)[group], before(n), before(s)
-    last = np.append(own[1:] != own[:-1], True)
-    after = np.where(last, np.nan, np.append(lo[1:], np.nan))
-    large = whole >= min_split
-    gain = np.where(~last & large, np.round(_gained(s0 + s, n0 + n, whole), 9), -np.inf)
-    slot, f = own // d, own % d
-    best: dict[int, tuple] = {}
-    reach = np.zeros(slots)
-    for i in np.lexsort((hi, f, -gain)).tolist():
-        if gain[i] > 0 and int(slot[i]) not in best:
-            best[int(slot[i])] = (-gain[i], int(f[i]), hi[i], after[i], n0[i] + n[i], s0[i] + s[i], whole[i])
-            reach[slot[i]] = gain[i]
-        if len(best) == slots or gain[i] <= 0:
-            break
-    # The bounds are those of the trees' levels (see trees.py), for rows of weight 1.
-    side = np.maximum(np.abs(s0 + p), np.abs(s0 - (p - s)))
-    corner = np.maximum(_gained(side, n0 + 1, whole), _gained(side, n0 + n - 1, whole))
-    rest, rest_n = s0 + s, whole - n0 - n
-    apart = np.divide(s0 * s0, n0, out=np.zeros(len(n)), where=n0 > 0) + np.divide(rest * rest, rest_n, out=np.zeros(len(n)), where=rest_n > 0.5) + q
-    bound = np.where(np.isfinite(corner), np.minimum(corner, apart), apart)
-    inside = large & (lo < hi) & (bound * (1 + 1e-9) + 1e-9 >= reach[slot])
-    if inside.any():
-        flag = np.zeros(slots * d * bins, bool)
-        flag[at[inside]] = True
-
-        def by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, code, own_slot, t in opened(batches):
-                for c in range(d):
-                    cell = (own_slot * d + c) * bins + code[:, c]
-                    some = np.flatnonzero(flag[cell])
-                    some = some[np.lexsort((x[some, c], cell[some]))]
-                    if len(some):
-                        cell, v = cell[some], x[some, c]
-                        first = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (v[1:] != v[:-1])))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(v[first]), pa.array(np.diff(np.append(first, len(cell))).astype(float)), pa.array(np.add.reduceat(t[some], first))], names=["at", "v", "n", "s"])
-
-        known = pa.table({"at": at[inside], "n0": n0[inside], "s0": s0[inside], "whole": whole[inside], "after": pa.array(after[inside], mask=np.isnan(after[inside]))})
-        sums = state.mapInArrow(by_value, "at long, v double, n double, s double").groupBy("at", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        one = W.partitionBy("at").orderBy("v")
-        upto = one.rowsBetween(W.unboundedPreceding, 0)
-        cells = sums.select("at", "v", F.lead("v").over(one).alias("_next"), F.sum("n").over(upto).alias("_n"), F.sum("s").over(upto).alias("_s")).join(F.broadcast(spark.createDataFrame(known)), "at")
-        cells = cells.select((F.expr(f"at div {d * bins}")).alias("slot"), F.expr(f"(at div {bins}) % {d}").alias("f"), "v", F.coalesce("_next", "after").alias("next"), (F.col("n0") + F.col("_n")).alias("nl"), (F.col("s0") + F.col("_s")).alias("sl"), "whole")
-        gain_ = F.round(F.try_divide(F.col("sl") * F.col("sl") * F.col("whole"), F.col("nl") * (F.col("whole") - F.col("nl"))), 9)
-        top = cells.where("next is not null").withColumn("gain", gain_).where("gain > 0").groupBy("slot").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "f", "v", "next", "nl", "sl", "whole")).alias("b"))
-        for r in top.collect():
-            mine = tuple(r["b"])
-            if r["slot"] not in best or mine[:3] < best[r["slot"]][:3]:
-                best[r["slot"]] = mine
-    for k, (_, on, v, following, nl, sl, all_) in best.items():
+                yield x[on], code[on], node[on] - low, lam[on] - mean[node[on]], None, 0
+
+    for k, (_, on, v, following, nl, sl, all_) in blocks.best_splits(state, opened, d, bins, min_split, low).items():
         node = low + k
         feature[node], threshold[node] = on, (v + following) / 2
         mean[2 * node], mean[2 * node + 1] = mean[node] + sl / nl, mean[node] - sl / (all_ - nl)
 
 
-def _blocked(rows: DataFrame, cells: int) -> int:
-    """The number of features, if each query fits a task and all entries are numbers, else 0."""
-    odd = F.col("y").isNull() | F.isnan("y") | F.col("features").isNull() | F.exists("features", lambda v: v.isNull() | F.isnan(v))
-    each = rows.groupBy("qid").agg(F.sum(F.size("features")).alias("n"), F.min(F.size("features")).alias("a"), F.max(F.size("features")).alias("z"), F.max(F.coalesce(odd, F.lit(True))).alias("odd"))
-    r = each.agg(F.max("n"), F.min("a"), F.max("z"), F.max("odd")).first()
-    return int(r[1]) if r[1] and r[1] == r[2] and not r[3] and r[0] <= cells and r[1] <= ALL_BINS else 0
-
-
-def fit(train: DataFrame, config: Boost | None = None, keys: Sequence[str] = (), cells: int = T.CELLS, block: int = BLOCK, bins: int | None = None) -> DataFrame:
+def fit(train: DataFrame, config: Boost | None = None, keys: Sequence[str] = (), cells: int = T.CELLS, block: int = blocks.BLOCK, bins: int | None = None) -> DataFrame:
     """The rounds' trees of all models: keys.., round (0 is the base), node, feature, threshold, prediction, n.
 
     ``train``: keys.., qid, doc_id, y, features. The objective ndcg is LambdaMART, squared is MART. Keys and ids must not be
@@ -383,7 +287,7 @@ def fit(train: DataFrame, config: Boost | None = None, keys: Sequence[str] = (),
     schema = ST.StructType([rows.schema[k] for k in keys] + [ST.StructField(n, t) for n, t in NODES])
     parts = [] if small is None else [groups.map_groups(small, keys, _whole(keys, c), schema, ["qid", "doc_id"])]
     if large is not None:
-        d = 0 if keys else _blocked(large, T.CELLS if cells else 0)
+        d = 0 if keys else blocks.whole_lists(large, T.CELLS if cells else 0)
         parts.append(_by_blocks(large, c, d, block, bins).select(*schema.names) if d else _by_rounds(large, keys, c, cells).select(*schema.names))
     return cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
@@ -406,23 +310,95 @@ def predict(df: DataFrame, ensemble: DataFrame, keys: Sequence[str] = (), score:
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)
 
 
+def _dice(tree: Column, *ids: str) -> Column:
+    return F.pmod(F.xxhash64(tree.cast("long"), *[F.col(i) for i in ids]), F.lit(1 << 40))
+
+
 def bootstrap_weight(tree: Column, *ids: str) -> Column:
     """How often a row is in a tree's sample: Poisson of mean 1, by a hash of the tree and the row's ids."""
-    u = F.pmod(F.xxhash64(tree.cast("long"), *[F.col(i) for i in ids]), F.lit(1 << 40)) / float(1 << 40)
+    u = _dice(tree, *ids) / float(1 << 40)
     return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
 
 
-def grow_forest(train: DataFrame, n_trees: int, depth: int, features: int, keys: Sequence[str] = (), cells: int = T.CELLS) -> DataFrame:
+def bootstrap_weights(dice: np.ndarray) -> np.ndarray:
+    """The same inside tasks, from the hashes."""
+    return np.searchsorted(POISSON, dice / float(1 << 40), side="right").astype(np.uint8)
+
+
+def grow_forest(train: DataFrame, n_trees: int, depth: int, features: int, keys: Sequence[str] = (), cells: int = T.CELLS, bins: int | None = None) -> DataFrame:
     """Trees keys.., tree_no, node, .. as :func:`trees.grow` gives them, each of a bootstrap sample of its model's rows, a node
-    splitting on one of ``features`` drawn features."""
+    splitting on one of ``features`` drawn features.
+
+    Without keys, rows that no task holds are one pass a level for all trees, over blocks, and not copied for each tree.
+    """
+    if not keys:
+        rows = cut(train.select("qid", "doc_id", F.col("features").cast("array<double>").alias("features"), F.col("y").cast("double").alias("t")))
+        n = rows.agg(F.sum(F.size("features"))).first()[0]
+        if n is not None and n > cells and (d := blocks.width(rows)):
+            drawn = lambda tree, node: T.drawn_features(tree, node, d, features)
+            dice = F.array(*[_dice(F.lit(t), "qid", "doc_id") for t in range(n_trees)])
+            found = blocks.grow(rows.select("features", "t", dice.alias("_dice")), d, depth, 2, n_trees, drawn, bootstrap_weights, bins)
+            schema = "tree_no long, node long, feature int, threshold double, prediction double, n long"
+            return T.finished(train.sparkSession.createDataFrame(found, schema), ["tree_no"])
     copies = train.withColumn("tree_no", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)).cast("array<bigint>")))
-    drawn = copies.withColumn("_w", bootstrap_weight(F.col("tree_no"), *keys, "qid", "doc_id")).where("_w > 0")
-    return T.grow(drawn, [*keys, "tree_no"], depth, "y", weight="_w", draw=("tree_no", features), cells=cells)
+    drawn_rows = copies.withColumn("_w", bootstrap_weight(F.col("tree_no"), *keys, "qid", "doc_id")).where("_w > 0")
+    return T.grow(drawn_rows, [*keys, "tree_no"], depth, "y", weight="_w", draw=("tree_no", features), cells=cells)
+
+
+def _walk(features: list | None, feature: np.ndarray, threshold: np.ndarray) -> int:
+    """The leaf of one row that may lack entries: 0 if a tested one is null; no number is more than any threshold."""
+    node = 1
+    while (f := int(feature[node])) >= 0:
+        v = features[f] if features is not None and f < len(features) else None
+        if v is None:
+            return 0
+        node = 2 * node + int(not v <= threshold[node])
+    return node
+
+
+def _one_forest(df: DataFrame, forest: DataFrame, out_of_bag: bool) -> DataFrame:
+    """qid, doc_id, _s, _n: sum and number of what the trees of one forest, which tasks hold, say of each row."""
+    nodes = forest.select("tree_no", "node", "feature", "threshold", "prediction").toArrow()
+    names, tree = np.unique(nodes.column("tree_no").to_numpy(), return_inverse=True)
+    node = nodes.column("node").to_numpy()
+    span = int(node.max(initial=1)) + 1
+    feature, threshold, said = np.full((len(names), span), -1), np.zeros((len(names), span)), np.full((len(names), span), np.nan)
+    feature[tree, node] = nodes.column("feature").fill_null(-1).to_numpy()
+    threshold[tree, node] = nodes.column("threshold").fill_null(0.0).to_numpy()
+    said[tree, node] = nodes.column("prediction").to_numpy()
+    dice = F.array(*[_dice(F.lit(int(t)), "qid", "doc_id") for t in names]) if out_of_bag else F.array()
+    lean = df.select("qid", "doc_id", F.col("features").cast("array<double>").alias("features"), dice.cast("array<bigint>").alias("_dice"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("features")
+            flat = lists.flatten()
+            x = flat.to_numpy(zero_copy_only=False)
+            even = not lists.null_count and not flat.null_count and not np.isnan(x).any() and b.num_rows and len(set(lists.value_lengths().to_pylist())) == 1
+            x = x.reshape(b.num_rows, -1) if even else lists.to_pylist()
+            use = bootstrap_weights(b.column("_dice").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)) == 0 if out_of_bag else np.ones((b.num_rows, len(names)), bool)
+            sums, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for m in range(len(names)):
+                own = np.flatnonzero(use[:, m])
+                at = blocks.node_of(x[own], feature[m], threshold[m]) if even else np.array([_walk(x[i], feature[m], threshold[m]) for i in own], np.int64)
+                v = said[m, at]
+                known = ~np.isnan(v)
+                sums[own[known]] += v[known]
+                n[own[known]] += 1
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("doc_id"), pa.array(sums), pa.array(n)], names=["qid", "doc_id", "_s", "_n"])
+
+    schema = ST.StructType([df.schema["qid"], df.schema["doc_id"], ST.StructField("_s", ST.DoubleType()), ST.StructField("_n", ST.LongType())])
+    return lean.mapInArrow(run, schema)
 
 
 def forest_scores(df: DataFrame, forest: DataFrame, keys: Sequence[str] = (), score: str = "score", out_of_bag: bool = False) -> DataFrame:
-    """keys.., qid, doc_id, score: the mean of a row's trees; out of bag, of those whose sample it isn't in (null if of all)."""
+    """keys.., qid, doc_id, score: the mean of a row's trees; out of bag, of those whose sample it isn't in (null if of all).
+
+    One forest is sent to tasks; rows meet their model's trees by a join on keys.
+    """
     by = [*keys, "qid", "doc_id"]
+    if not keys:
+        return _one_forest(df, forest, out_of_bag).groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias(score))
     names = forest.select("tree_no").distinct().agg(F.sort_array(F.collect_list("tree_no"))).first()[0]
     copies = df.withColumn("tree_no", F.explode(F.array(*[F.lit(t).cast("long") for t in names])))
     each = T.apply(copies, forest, [*keys, "tree_no"], "_p", "_leaf")
