@@ -2,8 +2,8 @@
 
 ListNet's loss of a query is the cross-entropy between the softmax of its labels and that of its scores; the gradient is a sum
 over documents. A sweep trains all learning rates at once and keeps the weights after several numbers of epochs. Models of up
-to ``CELLS`` rows times features are swept whole by a task; for larger ones an epoch is a job: the queries' normalisers, then
-the gradients' sums.
+to ``CELLS`` rows times features are swept whole by a task; for larger ones an epoch is a job: for one model a pass over blocks
+of whole lists, for models by keys the queries' normalisers, then the gradients' sums.
 
 AdaRank boosts on a distribution over queries: its weak rankers are features, whose NDCG for every query is found once.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from rankloom.functions import vectors
-from rankloom.operators import groups, metrics
+from rankloom.operators import blocks, groups, metrics
 from rankloom.operators import trees as T
 from rankloom.storage import cut
 
@@ -88,6 +88,26 @@ def _by_epochs(rows: DataFrame, keys: list[str], rates: list[float], epochs: lis
     return out
 
 
+def _by_blocks(rows: DataFrame, d: int, rates: list[float], epochs: list[int]) -> DataFrame:
+    """The same sweeps of one large model: an epoch is a pass over blocks of whole lists, of which each task gives a gradient's sums."""
+    state = blocks.lists(rows.withColumnRenamed("_x", "features"))
+    w, n, found = np.zeros((d, len(rates))), 0, []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, lists = np.zeros((d, len(rates))), 0
+        for x, y, first in blocks.read_lists(batches, d):
+            sums += listnet_gradient(w, x, y, first) * len(first)
+            lists += len(first)
+        yield pa.RecordBatch.from_arrays([pa.array([lists]), pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "g"])
+
+    for epoch in range(1, max(epochs) + 1):
+        parts = state.mapInArrow(run, "n long, g array<double>").collect()
+        n = sum(r["n"] for r in parts)
+        w = w - np.array(rates) * np.sum([r["g"] for r in parts], axis=0).reshape(d, -1) / n
+        found += [(r, epoch, w[:, i].tolist()) for i, r in enumerate(rates)] if epoch in epochs else []
+    return rows.sparkSession.createDataFrame(found, "rate double, epoch int, weights array<double>")
+
+
 def standardised(train: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys.., centre, spread: mean and population deviation of each feature of a model (1 where it doesn't vary)."""
     each = train.select(*keys, F.posexplode("features").alias("_f", "_v")).groupBy(*keys, "_f").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_d"))
@@ -116,7 +136,9 @@ def listnet(train: DataFrame, rates: Sequence[float], epochs: Sequence[int], key
     small, large = groups.parted(rows, keys, F.size("_x"), cells)
     schema = ST.StructType([rows.schema[k] for k in keys] + [ST.StructField("rate", ST.DoubleType()), ST.StructField("epoch", ST.IntegerType()), ST.StructField("weights", ST.ArrayType(ST.DoubleType()))])
     parts = [] if small is None else [groups.map_groups(small, keys, _whole(keys, rates, epochs), schema, ["qid", "doc_id"])]
-    parts += [] if large is None else [_by_epochs(large, keys, rates, epochs).select(*schema.names)]
+    if large is not None:
+        d = 0 if keys else blocks.whole_lists(large.withColumnRenamed("_x", "features"), T.CELLS if cells else 0)
+        parts.append(_by_blocks(large, d, rates, epochs) if d else _by_epochs(large, keys, rates, epochs).select(*schema.names))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return cut(out.join(scales, keys) if keys else out.crossJoin(F.broadcast(scales)))
 

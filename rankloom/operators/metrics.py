@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,6 +27,28 @@ def ndcg(df: DataFrame, score: str, k: int | Sequence[int] = 10, keys: Sequence[
     return lists.select(*by, "n", F.explode(each).alias("_e")).select(*by, "_e.k", "n", "_e.ndcg")
 
 
+def ideal_of(y: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """The ideal DCG@k of each list; lists begin at ``first``."""
+    n = np.diff(np.append(first, len(y)))
+    owner = np.repeat(np.arange(len(first)), n)
+    place = np.arange(len(y)) - np.repeat(first, n)
+    return np.bincount(owner, y[np.lexsort((-y, owner))] * np.where(place < k, 1 / np.log2(place + 2), 0.0), len(first))
+
+
+def ndcg_of(s: np.ndarray, first: np.ndarray, y: np.ndarray, ideal: np.ndarray, k: int) -> np.ndarray:
+    """:func:`ndcg` of each list inside a task, for scores that are numbers."""
+    n = np.diff(np.append(first, len(y)))
+    owner = np.repeat(np.arange(len(first)), n)
+    order = np.lexsort((-s, owner))
+    place = np.arange(len(y)) - np.repeat(first, n)
+    gain = np.where(place < k, 1 / np.log2(place + 2), 0.0)
+    ranked = s[order]
+    tie = np.flatnonzero(np.append(True, (ranked[1:] != ranked[:-1]) | (owner[1:] != owner[:-1])))
+    size = np.diff(np.append(tie, len(y)))
+    reached = np.bincount(owner[tie], np.add.reduceat(y[order], tie) / size * np.add.reduceat(gain, tie), len(first))
+    return np.where(n == 1, 1.0, np.divide(reached, ideal, out=np.zeros(len(first)), where=ideal != 0))
+
+
 def summary(per_query: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """mean, population std and median of ndcg."""
     return per_query.groupBy(*keys).agg(F.avg("ndcg").alias("mean"), F.stddev_pop("ndcg").alias("std"), F.percentile("ndcg", F.lit(0.5)).alias("median"))

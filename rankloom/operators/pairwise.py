@@ -4,19 +4,23 @@ RankBoost's weight of a pair is a product of one factor for each of its document
 factor times the sum of the other grades' factors in its query, and the weight that a threshold ranker moves is a running sum
 over documents' counts. A round is a few sums with map-side combine, whatever the number of pairs.
 
-Coordinate ascent tries all steps along a feature, for all models and restarts, in one job over rows times steps.
+Coordinate ascent tries all steps along a feature, for all models and restarts, in one job: over rows times steps, or for one
+model of some size over blocks of whole queries, whose tasks give sums only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankloom.functions import vectors
-from rankloom.operators import metrics
+from rankloom.operators import blocks, metrics
+from rankloom.operators import trees as T
 from rankloom.operators.dataset import dice
 from rankloom.storage import cut
 
@@ -101,12 +105,13 @@ def steps(n: int, first: float) -> list[float]:
     return [0.0] + [s * first * 2**i for i in range(n) for s in (1, -1)]
 
 
-def coordinate_ascent(train: DataFrame, sweeps: int = 2, restarts: int = 2, n_steps: int = 6, first: float = 0.05, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+def coordinate_ascent(train: DataFrame, sweeps: int = 2, restarts: int = 2, n_steps: int = 6, first: float = 0.05, k: int = 10, keys: Sequence[str] = (), cells: int = 100_000) -> DataFrame:
     """keys.., weights, ndcg: linear rankers by line search on mean NDCG@k, the best of their restarts.
 
     ``train``: keys.., qid, doc_id, y, features. The first start weighs all features alike, the others by a hash. A sweep goes
     through the features; for each it takes the step with the largest mean NDCG, to nine decimals, ties to the earlier of
-    :func:`steps`, so the mean never falls. Keys and ids must not be null.
+    :func:`steps`, so the mean never falls. Keys and ids must not be null. One model of more than ``cells`` rows times features
+    is searched over blocks of whole queries.
     """
     keys = list(keys)
     by = [*keys, "_start"]
@@ -117,6 +122,8 @@ def coordinate_ascent(train: DataFrame, sweeps: int = 2, restarts: int = 2, n_st
     salt = lambda i: F.conv(F.substring(dice(*by, salt=f"w{i}"), 1, 8), 16, 10).cast("double") / float(1 << 32)
     weight = F.array(*[F.when(F.col("_start") == 0, F.lit(1.0 / d)).otherwise(salt(i)) for i in range(d)])
     weights = cut(starts.withColumn("weights", weight))
+    if not keys and (size := base.agg(F.sum(F.size("features"))).first()[0]) and size > cells and (same := blocks.whole_lists(base, T.CELLS)):
+        return _ascent_over_blocks(base, same, weights, sweeps, steps(n_steps, first), k)
     tried = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(v).alias("_by")) for i, v in enumerate(steps(n_steps, first))])
     best = None
     for _ in range(sweeps):
@@ -132,6 +139,35 @@ def coordinate_ascent(train: DataFrame, sweeps: int = 2, restarts: int = 2, n_st
     return cut(met.groupBy(*keys).agg(one).select(*keys, F.col("_b.weights").alias("weights"), (-F.col("_b._loss")).alias("ndcg")))
 
 
+def _ascent_over_blocks(base: DataFrame, d: int, starts: DataFrame, sweeps: int, tried: list[float], k: int) -> DataFrame:
+    """The same search for one model: tasks try all steps of all starts on blocks of whole queries, and give sums of NDCG."""
+    state = blocks.lists(base)
+    w = np.array([r["weights"] for r in starts.orderBy("_start").collect()])
+    best = np.zeros(len(w))
+    for _ in range(sweeps):
+        for i in range(d):
+
+            def run(batches: Iterator[pa.RecordBatch], w=w.copy(), i=i) -> Iterator[pa.RecordBatch]:
+                sums, n = np.zeros((len(w), len(tried))), 0
+                for x, y, first in blocks.read_lists(batches, d):
+                    ideal, n = metrics.ideal_of(y, first, k), n + len(first)
+                    for a in range(len(w)):
+                        s = np.zeros(len(x))
+                        for j in range(d):
+                            s = s + x[:, j] * w[a, j]
+                        for b, by in enumerate(tried):
+                            sums[a, b] += metrics.ndcg_of(np.round(s + by * x[:, i], 9), first, y, ideal, k).sum()
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "m"])
+
+            parts = state.mapInArrow(run, "n long, m array<double>").collect()
+            mean = np.round(np.sum([r["m"] for r in parts], axis=0).reshape(len(w), -1) / sum(r["n"] for r in parts), 9)
+            taken = np.argmax(mean, axis=1)
+            best = mean[np.arange(len(w)), taken]
+            w[:, i] += np.array(tried)[taken]
+    one = min(range(len(w)), key=lambda a: (-best[a], a))
+    return base.sparkSession.createDataFrame([(w[one].tolist(), float(best[one]))], "weights array<double>, ndcg double")
+
+
 def linear_scores(df: DataFrame, model: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
     """``df`` with its features times its model's weights."""
     keys = list(keys)

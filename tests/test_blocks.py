@@ -53,3 +53,15 @@ def test_one_large_tree_grows_over_blocks(spark, min_split, monkeypatch):
     some = df.unionByName(spark.createDataFrame([(0, 1000, None, [1.0, 2.0, 3.0])], df.schema))
     T.grow(some, [], 1, cells=0)
     assert len(used) == 1
+
+
+def test_linear_rankers_over_blocks_equal_the_others(spark):
+    from rankloom.operators import linear, pairwise
+
+    rng = np.random.default_rng(6)
+    rows = [(q, d, float(np.clip(d % 4 - (q % 3), 0, 3)), [float(v) for v in np.round(rng.normal(size=2), 1)]) for q in range(15) for d in range(1 + q)]
+    df = spark.createDataFrame(rows, "qid long, doc_id long, y double, features array<double>").repartition(3)
+    a, b = (pairwise.coordinate_ascent(df, 1, 2, 2, k=3, cells=n).first() for n in (10**6, 0))
+    assert np.allclose(a.weights, b.weights, atol=1e-12) and abs(a.ndcg - b.ndcg) < 1e-9
+    small, large = ({(r.rate, r.epoch): r.weights for r in linear.listnet(df, [0.1, 1.0], [1, 3], cells=n).collect()} for n in (10**6, 20))
+    assert small.keys() == large.keys() and all(np.allclose(small[k], large[k], atol=1e-9) for k in small)
