@@ -65,3 +65,25 @@ def test_linear_rankers_over_blocks_equal_the_others(spark):
     assert np.allclose(a.weights, b.weights, atol=1e-12) and abs(a.ndcg - b.ndcg) < 1e-9
     small, large = ({(r.rate, r.epoch): r.weights for r in linear.listnet(df, [0.1, 1.0], [1, 3], cells=n).collect()} for n in (10**6, 20))
     assert small.keys() == large.keys() and all(np.allclose(small[k], large[k], atol=1e-9) for k in small)
+
+
+def test_short_numbers_have_the_texts_of_formats(spark):
+    from rankloom.sources import ltr
+
+    rng = np.random.default_rng(7)
+    values = [0.0, -0.0, 1e-3, 0.001234567, 0.00012, 0.04, 0.1, 1.0, -2.5, 50.0, 2526.0, 99999.5, 999999.0, 999999.5, 1e6, 1234567.0, 1e7, 123.4565, 0.00005, 1.00005, 2.34565, 1e9, -1e-9, *np.round(rng.normal(size=60) * 10.0 ** rng.integers(-6, 8, 60), 5).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(2)
+    for r in df.select("v", ltr.significant(F.col("v")).alias("g"), ltr.fixed(F.col("v"), 4).alias("f"), F.format_string("%.4f", "v").alias("w")).collect():
+        assert r.f == r.w
+        if len(repr(r.v).replace(".", "").replace("-", "").lstrip("0")) <= 6:
+            assert r.g == f"{r.v:g}", r.v
+
+
+def test_given_pairs_meet_documents_and_no_pairs(spark):
+    from rankloom.operators import pairs
+
+    df = spark.createDataFrame([(q, d, float(d * q)) for q in range(4) for d in range(q + 1)], "qid long, doc_id long, v double")
+    given = pairs.pairs(df, ["qid"]).select("qid", "doc_id_a", "doc_id_b", (F.col("v_a") - F.col("v_b")).alias("target"))
+    found = pairs.given_pairs(df, given, ["qid"])
+    assert sorted(map(tuple, found.collect())) == sorted((q, a, b, float((a - b) * q)) for q in range(4) for a in range(q + 1) for b in range(q + 1))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
