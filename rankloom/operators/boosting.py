@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 
 from rankloom.operators import blocks, groups
 from rankloom.operators import trees as T
+from rankloom.operators.metrics import ideal_of
 from rankloom.storage import cut, new_path, remove
 
 
@@ -50,29 +51,48 @@ NODES = [("round", ST.IntegerType()), ("node", ST.LongType()), ("feature", ST.In
 # -- lambdas ------------------------------------------------------------------------------------------------------
 
 
-def query_lambdas(s: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lambda, weight) of each document of a query, in order of doc_id, by scores ``s`` and labels ``y``.
+def list_lambdas(s: np.ndarray, y: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lambda, weight) of each document of some queries, in order of doc_id, by scores ``s`` and labels ``y``.
 
-    Scores are ranked to nine decimals, ties by doc_id. A query without a relevant document has none.
+    ``first``: where each query begins, then the end. Scores are ranked to nine decimals, ties by doc_id. A query without a
+    relevant document has none.
     """
-    order = np.argsort(-np.round(s, 9), kind="stable")[:k]
-    ideal = (np.sort(y)[::-1][:k] / np.log2(np.arange(2, min(k, len(y)) + 2))).sum()
-    if ideal <= 0:
-        return np.zeros(len(s)), np.zeros(len(s))
-    discount = np.zeros(len(s))
-    discount[order] = 1 / np.log2(np.arange(2, len(order) + 2))
-    sign = np.sign(y[order][:, None] - y)
-    delta = np.abs(y[order][:, None] - y) * np.abs(discount[order][:, None] - discount) / ideal
-    rho = 1 / (1 + np.exp(sign * (s[order][:, None] - s)))
-    pull, bend = -sign * delta * rho, delta * rho * (1 - rho)
-    lam, weight = pull.sum(axis=0), bend.sum(axis=0)
-    below = np.ones(len(s), bool)
-    below[order] = False
-    lam[order] -= pull[:, below].sum(axis=1)
-    weight[order] += bend[:, below].sum(axis=1)
+    size, begin = np.diff(first), first[:-1]
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((-np.round(s, 9), owner))
+    place = np.empty(len(s), np.int64)
+    place[order] = np.arange(len(s)) - np.repeat(begin, size)
+    discount = np.where(place < k, 1 / np.log2(place + 2), 0.0)
+    ideal = ideal_of(y, begin, k)
+    below, lam, weight, taken = place >= k, np.zeros(len(s)), np.zeros(len(s)), []
+    share = np.repeat(np.divide(1.0, ideal, out=np.zeros(len(size)), where=ideal > 0), size)
+    for j in range(min(k, int(size.max(initial=0)))):
+        on = size > j
+        top = order[np.where(on, begin + j, 0)]
+        each = lambda v: np.repeat(v[top], size)  # noqa: E731, B023
+        apart = each(y) - y
+        delta = np.abs(apart * (each(discount) - discount)) * share
+        if not on.all():
+            delta *= np.repeat(on, size)
+        sign = np.sign(apart)
+        rho = 1 / (1 + np.exp(sign * (each(s) - s)))
+        pull = delta * rho
+        bend = pull * (1 - rho)
+        pull *= -sign
+        lam += pull
+        weight += bend
+        taken.append((top[on], *(np.bincount(owner, np.where(below, v, 0.0), len(size))[on] for v in (pull, bend))))
+    for top, pull, bend in taken:
+        lam[top] -= pull
+        weight[top] += bend
     return lam, weight
 
 
+def query_lambdas(s: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`list_lambdas` of one query."""
+    return list_lambdas(s, y, np.array([0, len(s)]), k)
+
+
 def lambdas(scored: DataFrame, k: int, keys: Sequence[str] = (), score: str = "s") -> DataFrame:
     """``scored`` (keys.., qid, doc_id, y, score) with lam and weight, as :func:`query_lambdas` gives them for each query.
 
@@ -106,7 +126,7 @@ def lambdas(scored: DataFrame, k: int, keys: Sequence[str] = (), score: str = "s
 # -- boosting -----------------------------------------------------------------------------------------------------
 
 
-def _model_rounds(x: np.ndarray, y: np.ndarray, queries: list[slice], c: Boost) -> Iterator[dict[str, np.ndarray]]:
+def _model_rounds(x: np.ndarray, y: np.ndarray, first: np.ndarray, c: Boost) -> Iterator[dict[str, np.ndarray]]:
     """The rounds' trees of one model, predictions in their leaves; round 0 is the base."""
     s = np.full(len(y), y.mean() if c.objective == "squared" else 0.0)
     yield {"round": np.zeros(1, int), "node": np.ones(1, int), "feature": np.full(1, -1), "threshold": np.full(1, np.nan), "prediction": s[:1].copy(), "n": np.full(1, len(y))}
@@ -114,9 +134,7 @@ def _model_rounds(x: np.ndarray, y: np.ndarray, queries: list[slice], c: Boost)
         if c.objective == "squared":
             target, bend = y - s, np.ones(len(y))
         else:
-            target, bend = np.zeros(len(y)), np.zeros(len(y))
-            for q in queries:
-                target[q], bend[q] = query_lambdas(s[q], y[q], c.k)
+            target, bend = list_lambdas(s, y, first, c.k)
         tree, leaf = T.grow_arrays(x, target, np.ones(len(y)), np.zeros(len(y), np.int64), c.depth, c.min_split)
         size = int(leaf.max()) + 1
         up, down = np.bincount(leaf, target, size), np.bincount(leaf, bend, size)
@@ -133,7 +151,7 @@ def _whole(keys: list[str], c: Boost):
         ends = np.append(first, table.num_rows)
         for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             own = lists[(lists >= a) & (lists <= z)] - a
-            rounds = list(_model_rounds(x[a:z], y[a:z], [slice(u, v) for u, v in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)], c))
+            rounds = list(_model_rounds(x[a:z], y[a:z], own, c))
             cell = {k: np.concatenate([r[k] for r in rounds]) for k, _ in NODES}
             inner = cell["feature"] >= 0
             columns = [table.column(k).take(pa.array(np.full(len(inner), a))).combine_chunks() for k in keys]
@@ -189,16 +207,29 @@ def _blocks(ends: list[np.ndarray], base: float, block: int):
     return run
 
 
-def _read(batch: pa.RecordBatch, d: int) -> Iterator[tuple[np.ndarray, ...]]:
+TYPES = dict(zip(NAMES, (float, np.int16, float, np.int64, float, float, float), strict=True))
+
+
+def _read(batch: pa.RecordBatch, d: int) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each block of a batch."""
     for i in range(batch.num_rows):
-        x, code, y, first, s, lam, weight = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in zip(NAMES, (float, np.int16, float, np.int64, float, float, float), strict=True))
-        yield x.reshape(-1, d), code.reshape(-1, d), y, first, s, lam, weight
+        block = {k: np.frombuffer(batch.column(k)[i].as_buffer(), TYPES[k]) for k in batch.schema.names}
+        yield {k: v.reshape(-1, d) if k in ("x", "code") else v for k, v in block.items()}
+
+
+def _together(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of all blocks of each batch, which a task adds up at once."""
+    for b in batches:
+        if b.num_rows:
+            found = list(_read(b, d))
+            yield tuple(np.concatenate([f[k] for f in found]) if len(found) > 1 else found[0][k] for k in b.schema.names)
 
 
 def _by_blocks(rows: DataFrame, c: Boost, d: int, block: int, bins: int | None) -> DataFrame:
     """The same trees for one model of any size, whose queries fit tasks: a round rewrites the blocks' scores and lambdas, a
     level sums bins of nodes in tasks, and only bins that may hold the best split are summed by value."""
     spark, n_bins = rows.sparkSession, bins or blocks.bins_of(d)
+    blocks.small_batches(spark)
     ends = blocks.cuts(rows, n_bins)
     base, total = rows.agg(F.avg("y"), F.count("*")).first()
     base = base if c.objective == "squared" else 0.0
@@ -211,18 +242,13 @@ def _by_blocks(rows: DataFrame, c: Boost, d: int, block: int, bins: int | None)
 
         def marked(batches: Iterator[pa.RecordBatch], tree=(feature, threshold, step)) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for x, code, y, first, s, _, _ in _read(b, d):
-                    s = s + tree[2][blocks.node_of(x, tree[0], tree[1])]
-                    if c.objective == "squared":
-                        lam, weight = y - s, np.ones(len(y))
-                    else:
-                        lam, weight = np.zeros(len(y)), np.zeros(len(y))
-                        for u, v in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                            lam[u:v], weight[u:v] = query_lambdas(s[u:v], y[u:v], c.k)
-                    yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()) for k in (x, code, y, first, s, lam, weight)], names=NAMES)
+                for f in _read(b, d):
+                    y, s = f["y"], f["s"] + tree[2][blocks.node_of(f["x"], tree[0], tree[1])]
+                    lam, weight = (y - s, np.ones(len(y))) if c.objective == "squared" else list_lambdas(s, y, f["first"], c.k)
+                    yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()) for k in (f["x"], f["code"], y, f["first"], s, lam, weight)], names=NAMES)
 
         last, path = path, new_path(spark)
-        (made if state is None else state).mapInArrow(marked, BLOCKS).write.parquet(path)
+        (made if state is None else state.select("x", "code", "y", "first", "s")).mapInArrow(marked, BLOCKS).write.parquet(path)
         state = spark.read.schema(BLOCKS).parquet(path)
         if last is not None:
             remove(spark, last)
@@ -247,14 +273,13 @@ def _by_blocks(rows: DataFrame, c: Boost, d: int, block: int, bins: int | None)
 def _leaves(state: DataFrame, d: int, feature: np.ndarray, threshold: np.ndarray) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, len(feature)))
-        for b in batches:
-            for x, _, _, _, _, lam, weight in _read(b, d):
-                node = blocks.node_of(x, feature, threshold)
-                sums += [np.bincount(node, v, len(feature)) for v in (np.ones(len(x)), lam, weight)]
+        for x, lam, weight in _together(batches, d):
+            node = blocks.node_of(x, feature, threshold)
+            sums += [np.bincount(node, v, len(feature)) for v in (np.ones(len(x)), lam, weight)]
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(v[at]) for v in sums]], names=["node", "n", "l", "w"])
 
-    parts = state.select(*NAMES).mapInArrow(run, "node long, n double, l double, w double")
+    parts = state.select("x", "lam", "weight").mapInArrow(run, "node long, n double, l double, w double")
     return [(r[0], int(r[1]), r[2], r[3]) for r in parts.groupBy("node").agg(F.sum("n"), F.sum("l"), F.sum("w")).collect()]
 
 
@@ -263,13 +288,12 @@ def _level(state: DataFrame, d: int, bins: int, min_split: int, level: int, feat
     low = 1 << level
 
     def opened(batches: Iterator[pa.RecordBatch]) -> blocks.Opened:
-        for b in batches:
-            for x, code, _, _, _, lam, _ in _read(b, d):
-                node = blocks.node_of(x, feature, threshold)
-                on = node >= low
-                yield x[on], code[on], node[on] - low, lam[on] - mean[node[on]], None, 0
+        for x, code, lam in _together(batches, d):
+            node = blocks.node_of(x, feature, threshold)
+            on = slice(None) if low == 1 else node >= low
+            yield x[on], code[on], node[on] - low, lam[on] - mean[node[on]], None, 0
 
-    for k, (_, on, v, following, nl, sl, all_) in blocks.best_splits(state, opened, d, bins, min_split, low).items():
+    for k, (_, on, v, following, nl, sl, all_) in blocks.best_splits(state.select("x", "code", "lam"), opened, d, bins, min_split, low).items():
         node = low + k
         feature[node], threshold[node] = on, (v + following) / 2
         mean[2 * node], mean[2 * node + 1] = mean[node] + sl / nl, mean[node] - sl / (all_ - nl)

@@ -87,3 +87,33 @@ def test_given_pairs_meet_documents_and_no_pairs(spark):
     found = pairs.given_pairs(df, given, ["qid"])
     assert sorted(map(tuple, found.collect())) == sorted((q, a, b, float((a - b) * q)) for q in range(4) for a in range(q + 1) for b in range(q + 1))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_lambdas_of_many_queries_at_once_and_small_batches_of_blocks(spark):
+    rng = np.random.default_rng(8)
+    size = np.array([1, 5, 30, 2, 12, 3])
+    first = np.append(0, np.cumsum(size))
+    s, y = np.round(rng.normal(size=first[-1]), 1), rng.integers(0, 4, first[-1]).astype(float)
+    y[first[3] : first[4]] = 0
+    lam, weight = B.list_lambdas(s, y, first, 4)
+    for u, v in zip(first[:-1], first[1:], strict=True):
+        order, ideal = sorted(range(u, v), key=lambda i: (-s[i], i)), sum(g / np.log2(j + 2) for j, g in enumerate(sorted(y[u:v], reverse=True)[:4]))
+        disc = {i: 1 / np.log2(j + 2) if j < 4 else 0.0 for j, i in enumerate(order)}
+        want = {i: [0.0, 0.0] for i in order}
+        for i in order:
+            for j in order:
+                if y[i] > y[j] and (disc[i] or disc[j]):
+                    delta, rho = (y[i] - y[j]) * abs(disc[i] - disc[j]) / ideal, 1 / (1 + np.exp(s[i] - s[j]))
+                    want[i][0] += delta * rho
+                    want[j][0] -= delta * rho
+                    for k in (i, j):
+                        want[k][1] += delta * rho * (1 - rho)
+        assert np.allclose([*zip(lam[u:v], weight[u:v], strict=True)], [want[i] for i in range(u, v)], atol=1e-12)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "256m")
+        blocks.small_batches(spark)
+        assert int(spark.conf.get(name)) == blocks.BATCH
+    finally:
+        spark.conf.set(name, before)
