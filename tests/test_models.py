@@ -160,3 +160,14 @@ def test_grouping_takes_few_rounds_and_settles_ties_of_copies(spark, monkeypatch
             want |= dict.fromkeys([seed, *near], len(set(want.values())))
     # With 128 seeds a time, 1,500 groups took 12 rounds at least.
     assert got == want and len(rounds) <= most
+
+
+def test_distances_of_half_the_pairs_equal_rounded_ones_of_all(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), np.round(rng.normal(size=3), 1).tolist()) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, [1.0, None, 2.0]), (42, None)]
+    df = spark.createDataFrame(rows, "qid long, features array<double>")
+    half = {(r.qid, r.other): r.distance for r in clustering.query_distances(df, 6, upper=True).collect()}
+    every = clustering.query_distances(df)
+    want = {(r.qid, r.other): r.d for r in every.selectExpr("qid", "other", "round(distance, 6) AS d").collect() if r.qid < r.other}
+    assert every.count() == 43 * 43 and half == want and len(want) == 43 * 21 and half[(0, 40)] is half[(0, 41)] is half[(0, 42)] is None
+    assert clustering.half_up(np.array([0.5000005, -0.5000005, 1.0000015, 0.1234564]), 6).tolist() == [0.500001, -0.500001, 1.000002, 0.123456]
