@@ -94,3 +94,15 @@ def test_gains_are_compared_as_plain_sums_give_them():
     best = max((g[i], -c, -i) for c, g in enumerate(gains) for i in range(8))
     feature, threshold, gain = T.best_of(x, t, np.ones(9), slot, 1, 2)
     assert (gain[0], feature[0]) == (best[0], -best[1])
+
+
+def test_one_small_tree_is_applied_as_compiled_tests(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, float(rng.normal()), [float(v) for v in rng.normal(size=2)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, target double, features array<double>")
+    tree = T.grow(df, [], 3)
+    more = df.unionByName(spark.createDataFrame([(900, 0.0, None), (901, 0.0, [float("nan"), 9.0]), (902, 0.0, [None, None])], df.schema))
+    one = T.apply(more, tree, [])
+    keyed = T.apply(more.withColumn("m", F.lit(1)), tree.withColumn("m", F.lit(1)), ["m"]).drop("m")
+    assert one.columns == keyed.columns and sorted(map(str, one.collect())) == sorted(map(str, keyed.collect()))
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
