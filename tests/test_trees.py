@@ -96,6 +96,14 @@ def test_gains_are_compared_as_plain_sums_give_them():
     assert (gain[0], feature[0]) == (best[0], -best[1])
 
 
+def test_gains_that_end_in_a_half_are_rounded_as_in_sql():
+    """The gain of 574.5266098605 becomes 574.526609861; that of the other feature is one double less, and rounded down."""
+    x = np.array([[46.0, 3470.0], [34.0, 3487.0], [44.0, 3484.0], [29.0, 3489.0], [6.0, 3483.0]])
+    t = np.array([32036.4, 1600.97, 4167.85, 9895.5, 5287.38]) / 1000
+    feature, threshold, gain = T.best_of(x, t, np.ones(5), np.zeros(5, np.int64), 1, 2)
+    assert (feature[0], threshold[0], gain[0]) == (1, 3476.5, 574.526609861)
+
+
 def test_one_small_tree_is_applied_as_compiled_tests(spark):
     rng = np.random.default_rng(10)
     rows = [(i, float(rng.normal()), [float(v) for v in rng.normal(size=2)]) for i in range(200)]
