@@ -171,3 +171,16 @@ def test_distances_of_half_the_pairs_equal_rounded_ones_of_all(spark):
     want = {(r.qid, r.other): r.d for r in every.selectExpr("qid", "other", "round(distance, 6) AS d").collect() if r.qid < r.other}
     assert every.count() == 43 * 43 and half == want and len(want) == 43 * 21 and half[(0, 40)] is half[(0, 41)] is half[(0, 42)] is None
     assert clustering.half_up(np.array([0.5000005, -0.5000005, 1.0000015, 0.1234564]), 6).tolist() == [0.500001, -0.500001, 1.000002, 0.123456]
+
+
+def test_blocks_of_queries_grow_so_that_copies_do_not_grow_with_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(q, rng.normal(size=3).tolist()) for q in range(200)], "qid long, features array<double>")
+    say = lambda: {(r.qid, r.other): r.distance for r in clustering.query_distances(df, 6, upper=True).collect()}
+    want, sent, real = say(), [], clustering.groups.map_groups
+    monkeypatch.setattr(clustering.groups, "map_groups", lambda dealt, *a, **k: sent.append(dealt.count()) or real(dealt, *a, **k))
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    monkeypatch.setattr(clustering, "BLOCKS", 4, raising=False)
+    assert say() == want and len(want) == 200 * 199 // 2
+    assert sent == [4 * 200]
+    assert clustering.blocks_for(540_000, 8) == 33
