@@ -83,3 +83,14 @@ def test_values_in_ranges_give_the_same_splits(spark):
     assert len(want) == 1
     for ranges in (2, 7, 512):
         assert trees.best_splits(df, [], ranges=ranges).collect() == want
+
+
+def test_configurations_with_one_first_stage_grow_its_trees_once(spark, monkeypatch):
+    rows = [(q, d, float((q + d) % 3), [float(d % 5), float(d)]) for q in range(2) for d in range(12)]
+    df = spark.createDataFrame(rows, "qid long, doc_id long, y double, features array<double>")
+    grown, real = [], rtr.T.grow
+    monkeypatch.setattr(rtr.T, "grow", lambda *a, **k: grown.append(1) or real(*a, **k))
+    configs = [rtr.Config(depth=1, distance_depth=None, k=2, use=use) for use in (("abs_diff",), ("sq_diff",))]
+    scores = X._scores(df.withColumn("m", F.lit(1)), df.withColumn("m", F.lit(1)), configs, ["m"], 5).collect()
+    assert len(grown) == 1 and len({(r.idx, r.qid) for r in scores}) == 4
+    assert len({(r.qid, round(r.ndcg, 9)) for r in scores}) == 2
